@@ -20,8 +20,15 @@ def _cell(value: Column, lo: Column, hi: Column, cells: int) -> Column:
     return F.least(F.floor(width * cells), F.lit(cells - 1)).cast("int")
 
 
-def _with_cells(df: DataFrame, by: list[str], value: str, cells: int) -> DataFrame:
-    """Add ``_cell``: the value's position between its group's minimum and maximum."""
+def _with_cells(df: DataFrame, by: list[str], value: str, cells: int, bounds=None) -> DataFrame:
+    """Add ``_cell``: the value's position between its group's minimum and maximum.
+
+    With known ``bounds`` no pass for the ends is needed; values outside go to the end cells.
+    """
+    if bounds is not None:
+        lo, hi = (F.lit(float(b)) for b in bounds)
+        cell = _cell(F.greatest(lo, F.least(hi, F.col(value))), lo, hi, cells)
+        return df.withColumn("_cell", F.when(F.col(value).isNotNull(), cell))
     ends = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     joined = df.join(ends, by) if by else df.crossJoin(F.broadcast(ends))
     return joined.withColumn("_cell", _cell(F.col(value), F.col("_lo"), F.col("_hi"), cells)).drop("_lo", "_hi")
@@ -32,7 +39,7 @@ def _before(by: list[str], order: str):
 
 
 def rank_within(
-    df: DataFrame, by: list[str], score: str, ties: Sequence[str], name: str = "rank", cells: int = CELLS
+    df: DataFrame, by: list[str], score: str, ties: Sequence[str], name: str = "rank", cells: int = CELLS, bounds=None
 ) -> DataFrame:
     """1-based rank by descending ``score`` (NULL last), then by ``ties`` ascending.
 
@@ -41,7 +48,9 @@ def rank_within(
     """
     d = df.withColumn("_s", -F.coalesce(F.col(score), F.lit(-1.0e300)))
     d = d.withColumn("_k", F.when(F.col(score).isNull(), None).otherwise(F.col("_s")))
-    d = _with_cells(d, by, "_k", cells).withColumn("_cell", F.coalesce(F.col("_cell"), F.lit(cells)))
+    if bounds is not None:
+        bounds = (-bounds[1], -bounds[0])
+    d = _with_cells(d, by, "_k", cells, bounds).withColumn("_cell", F.coalesce(F.col("_cell"), F.lit(cells)))
     counts = d.groupBy(*by, "_cell").agg(F.count("*").alias("_n"))
     offsets = counts.withColumn(
         "_off", F.coalesce(F.sum("_n").over(_before(by, "_cell")), F.lit(0))
@@ -73,7 +82,7 @@ def dense_index(df: DataFrame, by: list[str], key: str, name: str = "idx") -> Da
 
 
 def quantiles(
-    df: DataFrame, by: list[str], value: str, probs: dict[str, float], cells: int = CELLS
+    df: DataFrame, by: list[str], value: str, probs: dict[str, float], cells: int = CELLS, bounds=None
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per named probability.
 
@@ -84,7 +93,7 @@ def quantiles(
     values = (
         df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     )
-    d = _with_cells(values, by, "_v", cells)
+    d = _with_cells(values, by, "_v", cells, bounds)
     per_cell = d.groupBy(*by, "_cell").agg(F.sum("_n").alias("_cn"))
     whole = Window.partitionBy(*by)
     per_cell = (

@@ -149,7 +149,7 @@ def run_score(
         refusal_calibration(F.col("model_refusal_rate"), F.col("human_refusal_rate")).alias("p_refuse"),
     )
     if median:
-        agg = agg.join(quantiles(scored, by, "jsd", {"median_jsd": 0.5}), by)
+        agg = agg.join(quantiles(scored, by, "jsd", {"median_jsd": 0.5}, bounds=(0, 1)), by)
     agg = (
         agg.withColumn("p_dist", F.lit(1.0) - F.col("mean_jsd"))
         .withColumn("p_rank", (F.lit(1.0) + F.col("mean_tau")) / 2.0)

@@ -257,12 +257,12 @@ def excerpt(s):
     return s.texts.select("key", X.excerpt(F.col("text")).alias("excerpt"))
 
 
-@query("round_or_none", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_tax > 0 THEN round(l_extendedprice / l_tax, 6) END AS x FROM lineitem""")
+@query("round_or_none", """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, CASE WHEN l_tax > 0 THEN round(l_extendedprice / l_tax, 6) END AS x FROM lineitem""")
 def round_or_none(s):
     li = s.table("lineitem")
     x = F.try_divide(F.col("l_extendedprice"), F.col("l_tax"))
     x = F.when(F.col("l_tax") == 0, F.lit(float("inf"))).otherwise(x)
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", D.clean_round(x).alias("x"))
+    return li.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_partkey", D.clean_round(x).alias("x"))
 
 
 @query("sps", "SELECT run_id, sps, (3e0 * p_dist + 1e0 * p_rank) / 4e0 AS weighted FROM runscore", "sps weighted", ctes="runscore")
