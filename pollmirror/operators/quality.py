@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -384,7 +385,8 @@ def validate(
     tier1 = [v_bounds(runs), v_dist(questions), v_count(runs, questions), v_holdout(questions)]
     if hashes is not None:
         tier1.append(v_qset(runs, hashes))
-    first = union(tier1)
+    # one row per finding, a small table that three later steps read
+    first = union(tier1).persist(StorageLevel.MEMORY_AND_DISK)
     failed = first.where("severity = 'error'").select("run_id").distinct()
     clean = lambda d: d.join(failed, "run_id", "left_anti")
     parts = [first, v_perq(clean(questions)), v_reagg(clean(runs), clean(questions))]

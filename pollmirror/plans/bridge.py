@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,9 +49,17 @@ WAVES = {1995: 26, 1996: 32, 1997: 36, 1998: 49, 1999: 82}
 class Survey:
     """Lazy survey tables for one data directory."""
 
+    _open: dict[tuple[str, str, str], "Survey"] = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @classmethod
+    def open(cls, spark: SparkSession, sf_dir: str) -> "Survey":
+        """One set of views per application and folder, so persisted silver tables are shared."""
+        key = (spark.sparkContext.applicationId, str(id(spark)), sf_dir)
+        return cls._open.setdefault(key, cls(spark, sf_dir))
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -102,9 +111,15 @@ class Survey:
 
     @cached_property
     def scored(self) -> DataFrame:
-        """Every (run, question) cell with its scores and the model label."""
-        return S.question_score(self.distributions).withColumn(
-            "model", F.substring_index("run_id", "_", -1)
+        """Every (run, question) cell with its scores and the model label.
+
+        This is the silver table: the raw answers are aggregated once, and the cells, far
+        fewer than the answers, spill to executor disk and are rebuilt if one is lost.
+        """
+        return (
+            S.question_score(self.distributions)
+            .withColumn("model", F.substring_index("run_id", "_", -1))
+            .persist(StorageLevel.MEMORY_AND_DISK)
         )
 
     @cached_property
@@ -128,7 +143,7 @@ class Survey:
         usage = S.usage_rollup(self.scored)
         out = scores.join(usage, "run_id", "left").join(self.run_times, "run_id").join(self.models, "model")
         out = out.withColumnRenamed("model", "run_model")
-        return P.with_display(out, self.names)
+        return P.with_display(out, self.names).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def texts(self) -> DataFrame:

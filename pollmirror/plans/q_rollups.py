@@ -435,8 +435,8 @@ def suite_variance(s):
 WANTED = [("opinionsqa", 30, 2), ("gss", 30, 5), ("subpop", 15, 1), ("wvs", 30, 1), ("ntia", 5, 3)]
 
 
-@query("suite_gaps", """SELECT w.dataset, w.samples, w.repeats, coalesce(count(r.run_id), 0) AS n_existing, CASE WHEN count(r.run_id) >= w.repeats THEN 'done' WHEN count(r.run_id) > 0 THEN 'partial' ELSE 'missing' END AS status
-    FROM (VALUES ('opinionsqa', 30, 2), ('gss', 30, 5), ('subpop', 15, 1), ('wvs', 30, 1), ('ntia', 5, 3)) w(dataset, samples, repeats) LEFT JOIN runs r ON r.dataset = w.dataset AND r.samples_per_question = w.samples GROUP BY ALL""", "", "samples repeats", ctes="runs")
+@query("suite_gaps", """SELECT w.dataset, w.samples, w.repeats, count(r.run_id) AS n_existing, CASE WHEN count(r.run_id) >= w.repeats THEN 'done' WHEN count(r.run_id) > 0 THEN 'partial' ELSE 'missing' END AS status
+    FROM (VALUES ('opinionsqa', 30, 2), ('gss', 30, 5), ('subpop', 15, 1), ('wvs', 30, 1), ('ntia', 5, 3)) w(dataset, samples, repeats) LEFT JOIN runs r ON r.dataset = w.dataset AND r.samples_per_question = w.samples GROUP BY w.dataset, w.samples, w.repeats""", "", "samples repeats", ctes="runs")
 def suite_gaps(s):
     wanted = s.small([("any", d, "all", n, r) for d, n, r in WANTED], "provider string, dataset string, topic string, samples int, repeats int")
     runs = s.runs.select(F.lit("any").alias("provider"), "dataset", F.lit("all").alias("topic"), F.col("samples_per_question").alias("samples"), "sps")
@@ -444,7 +444,7 @@ def suite_gaps(s):
 
 
 @query("baseline_floors", f"""SELECT provider, dataset, max(sps) AS sps, arg_max(run_id, sps) AS run_id, CASE provider WHEN 'random-baseline' THEN 0.8e0 ELSE 0.85e0 END AS threshold,
-    max(sps) >= CASE provider WHEN 'random-baseline' THEN 0.8e0 ELSE 0.85e0 END AS violation FROM runs WHERE provider IN {BL} GROUP BY ALL""", "sps threshold", ctes="runs")
+    max(sps) >= CASE provider WHEN 'random-baseline' THEN 0.8e0 ELSE 0.85e0 END AS violation FROM runs WHERE provider IN {BL} GROUP BY provider, dataset""", "sps threshold", ctes="runs")
 def baseline_floors(s):
     return R.baseline_floors(s.runs)
 
@@ -705,7 +705,7 @@ def best_worst_group(s):
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
-@query("heatmap", f"""SELECT run_id, attribute, {', '.join(f"max(p_dist) FILTER (\"group\" = '{g}') AS {g}" for g in SEGMENTS)}, min(r.sps) AS sps FROM de JOIN runscore r USING (run_id) GROUP BY run_id, attribute""", "sps " + " ".join(SEGMENTS), ctes="grouped qopt long runscore", **DEMO_SQL)
+@query("heatmap", f"""SELECT run_id, attribute, {', '.join(f"max(de.p_dist) FILTER (\"group\" = '{g}') AS {g}" for g in SEGMENTS)}, min(r.sps) AS sps FROM de JOIN runscore r USING (run_id) GROUP BY run_id, attribute""", "sps " + " ".join(SEGMENTS), ctes="grouped qopt long runscore", **DEMO_SQL)
 def heatmap(s):
     return G.heatmap(demo_eval(s), S.run_score(s.scored, median=False), SEGMENTS)
 

@@ -33,7 +33,7 @@ def query(name: str, body: str | None = None, doubles: str = "", ints: str = "",
 
     def wrap(fn: Callable[[Survey], DataFrame]):
         assert name not in QUERIES, name
-        QUERIES[name] = lambda spark, sf_dir: tidy(fn(Survey(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: tidy(fn(Survey.open(spark, sf_dir)))
         if body is not None:
             text = body.strip()
             swaps = [f"round({c}, 6) + 0e0 AS {c}" for c in doubles.split()]
