@@ -150,8 +150,9 @@ def value_of(options: Column, p: Column, option: str) -> Column:
 
 def align(options: Column, weights: Column) -> Column:
     """Values of a map laid out along ``options``, absent options as 0."""
-    return F.transform(
-        options, lambda o: F.coalesce(F.try_element_at(weights, o), F.lit(0.0)).cast("double")
+    return bind(
+        weights,
+        lambda w: F.transform(options, lambda o: F.coalesce(F.try_element_at(w, o), F.lit(0.0)).cast("double")),
     )
 
 

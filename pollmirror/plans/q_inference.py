@@ -1 +1,465 @@
-"""Queries (filled in below)."""
+"""Agreement statistics, resampling, ceilings and convergence curves."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import special as SP
+from ..functions import text as X
+from ..operators import agreement as A
+from ..operators import clustering as C
+from ..operators import resample as B
+from ..operators import scoring as S
+from ..operators.rollups import with_tier
+from .oracle import hex8, jsd_of
+from .q_rollups import WAVE_LONG, policies
+from .registry import query
+
+R = 100  # replicates of the hash-drawn checks
+
+
+# --- SQL helpers --------------------------------------------------------------------
+
+
+def gamma_p(a: str, z: str) -> str:
+    """Regularised lower incomplete gamma function."""
+    return (
+        f"CASE WHEN {z} <= 0 THEN 0e0 ELSE list_sum(list_transform(range(0, 300), "
+        f"lambda gi: exp(-({z}) + ({a} + gi) * ln({z}) - lgamma({a} + gi + 1)))) END"
+    )
+
+
+def cdf(x: str) -> str:
+    return f"(0.5e0 * (1e0 + sign({x}) * ({gamma_p('0.5e0', f'(({x}) * ({x}) / 2e0)')})))"
+
+
+def _poly(x: str, cs) -> str:
+    out = f"({cs[0]!r}::DOUBLE)"
+    for c in cs[1:]:
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+def quantile_sql(p: str) -> str:
+    tail = lambda e: f"({_poly(f'sqrt(-2e0 * ln({e}))', SP.C)} / {_poly(f'sqrt(-2e0 * ln({e}))', [*SP.D, 1.0])})"
+    mid = f"({_poly(f'(({p} - 0.5e0) * ({p} - 0.5e0))', SP.A)} * ({p} - 0.5e0) / {_poly(f'(({p} - 0.5e0) * ({p} - 0.5e0))', [*SP.B, 1.0])})"
+    return f"(CASE WHEN {p} < {SP.TAIL} THEN {tail(p)} WHEN {p} <= 1e0 - {SP.TAIL} THEN {mid} ELSE -{tail(f'(1e0 - {p})')} END)"
+
+
+def boot_ctes(source: str, by: str, key: str, value: str, resamples: int, seed: str = "42") -> dict:
+    group = f"concat_ws('/', {by})"
+    return {
+        "bx": f"SELECT {by}, {group} AS g, {value} AS x, row_number() OVER (PARTITION BY {by} ORDER BY substr(md5({key}), 1, 2), {key}) - 1 AS idx, count(*) OVER (PARTITION BY {by}) AS n FROM {source}",
+        "bd": f"SELECT g, b, n, CAST(floor({hex8(f'''concat_ws('|', {seed}, g, b, idx)''')} / 4294967296e0 * n) AS BIGINT) AS t FROM bx, range(0, {resamples}) r(b)",
+        "bm": f"SELECT {', '.join('bx.' + c.strip() for c in by.split(','))}, bd.b, avg(bx.x) AS mean FROM bd JOIN bx ON bx.g = bd.g AND bx.idx = bd.t GROUP BY ALL",
+    }
+
+
+def bca_ctes(by: str, resamples: int) -> dict:
+    lo, hi = f"{1 / (resamples + 1)!r}::DOUBLE", f"{resamples / (resamples + 1)!r}::DOUBLE"
+    zl, zh = quantile_sql("0.025e0"), quantile_sql("0.975e0")
+    on = " AND ".join(f"a.{c.strip()} = b.{c.strip()}" for c in by.split(","))
+    place = lambda z: f"CAST(floor(greatest({lo}, least({hi}, {cdf(f'(z0 + (z0 + {z}) / (1e0 - acc * (z0 + {z})))')})) * {resamples}) AS BIGINT)"
+    return {
+        "mom": f"SELECT {by}, any_value(m) AS estimate, count(*) AS n, sum((x - m) ** 3) / (6e0 * sum((x - m) ** 2) ** 1.5e0) AS acc FROM (SELECT *, avg(x) OVER (PARTITION BY {by}) AS m FROM bx) GROUP BY {by} HAVING count(*) >= 5",
+        "bel": f"SELECT {', '.join('a.' + c.strip() for c in by.split(','))}, greatest({lo}, least({hi}, avg(CASE WHEN round(a.mean, 12) < round(b.estimate, 12) THEN 1e0 ELSE 0e0 END))) AS below FROM bm a JOIN mom b ON {on} GROUP BY ALL",
+        "zz": f"SELECT b.*, {quantile_sql('a.below')} AS z0 FROM bel a JOIN mom b ON {on}",
+        "ab": f"SELECT *, {place(zl)} AS lo_at, {place(zh)} AS hi_at FROM (SELECT * REPLACE (CASE WHEN isnan(acc) OR acc IS NULL THEN 0e0 ELSE acc END AS acc) FROM zz)",
+        "ci": f"SELECT b.*, list_sort(a.l)[b.lo_at + 1] AS ci_lower, list_sort(a.l)[b.hi_at + 1] AS ci_upper FROM (SELECT {by}, list(mean) AS l FROM bm GROUP BY {by}) a JOIN ab b ON {on}",
+    }
+
+
+# --- agreement ----------------------------------------------------------------------
+
+FREQ_SQL = "SELECT dataset, option, count(*) AS count, sum(count(*)) OVER (PARTITION BY dataset) AS total, count(*) / sum(count(*)) OVER (PARTITION BY dataset) AS share FROM base GROUP BY dataset, option"
+
+
+@query("frequency_table", f"""SELECT d.dataset, c.option, coalesce(f.count, 0) AS count, CAST(d.total AS BIGINT) AS total, coalesce(f.count, 0) / d.total AS share FROM (SELECT DISTINCT dataset, total FROM fr) d
+    CROSS JOIN (VALUES ('AF'), ('AO'), ('NF'), ('Refused'), ('Absent')) c(option) LEFT JOIN fr f ON f.dataset = d.dataset AND f.option = c.option""", "share", ctes="base", fr=FREQ_SQL)
+def frequency_table(s):
+    cats = s.small([("AF",), ("AO",), ("NF",), ("Refused",), ("Absent",)], "option string")
+    return A.frequency_table(s.base, ["dataset"], cats)
+
+
+@query("frequency_ci")
+def frequency_ci(s):
+    return B.proportion_ci(A.frequency_table(s.base, ["dataset", "key"]))
+
+
+CHI_SQL = "SELECT key, sum((n - e) ** 2 / e) AS statistic, count(*) - 1 AS df, min(e) AS me, sum(n) AS total FROM (SELECT key, n, sum(n) OVER (PARTITION BY key) / CAST(k AS DOUBLE) AS e FROM qopt) GROUP BY key"
+
+
+@query("chi2_gof", f"""SELECT key, statistic, df, CASE WHEN df > 0 THEN 1e0 - greatest(0e0, least(1e0, {gamma_p('df / 2e0', 'statistic / 2e0')})) ELSE 1e0 END AS p_value,
+    CASE WHEN df > 0 THEN sqrt(statistic / (total * df)) ELSE 0e0 END AS cramers_v, me < 5 AS small_expected FROM chi""", "statistic p_value cramers_v", ctes="qopt", chi=CHI_SQL)
+def chi2_gof(s):
+    return A.chi2_gof(A.frequency_table(s.base, ["key"]), ["key"])
+
+
+RANK_SQL = "SELECT dataset, model AS rater, option AS item, row_number() OVER (PARTITION BY dataset, model ORDER BY count(*) DESC, option) AS rank FROM base GROUP BY dataset, model, option"
+
+
+def rankings(s):
+    from pyspark.sql import Window
+
+    counts = s.base.groupBy("dataset", F.col("model").alias("rater"), F.col("option").alias("item")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy("dataset", "rater").orderBy(F.desc("c"), F.asc("item"))
+    return counts.withColumn("rank", F.row_number().over(w)).drop("c")
+
+
+@query("kendall_w", f"""SELECT dataset, w, n * (k - 1) * w AS chi_squared, 1e0 - greatest(0e0, least(1e0, {gamma_p('(k - 1) / 2e0', 'n * (k - 1) * w / 2e0')})) AS p_value, n, k FROM (
+    SELECT dataset, 12e0 * sum((r - n * (k + 1) / 2e0) ** 2) / (n * n * (k * k * k - k)) AS w, n, k FROM (SELECT *, count(*) OVER (PARTITION BY dataset) AS k FROM (
+    SELECT dataset, item, CAST(sum(rank) AS DOUBLE) AS r, min(n) AS n FROM rk JOIN (SELECT dataset, count(DISTINCT rater) AS n FROM rk GROUP BY dataset) USING (dataset) GROUP BY dataset, item)) GROUP BY dataset, n, k)""",
+       "w chi_squared p_value", ctes="base", rk=RANK_SQL)
+def kendall_w(s):
+    return A.kendall_w(rankings(s), ["dataset"])
+
+
+@query("borda", "SELECT dataset, item, avg(k - rank) AS score FROM rk JOIN (SELECT dataset, count(DISTINCT item) AS k FROM rk GROUP BY dataset) USING (dataset) GROUP BY dataset, item", "score", ctes="base", rk=RANK_SQL)
+def borda(s):
+    return A.borda(rankings(s), ["dataset"])
+
+
+RATE_SQL = "SELECT dataset, key, year(ts) AS item, model AS rater, min(selected_option) AS value, min(in_tok) AS x FROM base GROUP BY ALL"
+
+
+def ratings(s):
+    return s.base.groupBy("dataset", "key", F.year("ts").alias("item"), F.col("model").alias("rater")).agg(
+        F.min("selected_option").alias("value"), F.min("in_tok").alias("x")
+    )
+
+
+def alpha_ctes(value: str, delta: str) -> dict:
+    """Coincidence-matrix form, with pairs, as the independent check."""
+    return {
+        "kc": f"SELECT key, item, v, n, sum(n) OVER (PARTITION BY key, item) AS m FROM (SELECT key, item, {value} AS v, count(*) AS n FROM ra WHERE {value} IS NOT NULL GROUP BY ALL) QUALIFY m >= 2",
+        "kn": "SELECT key, v, CAST(sum(n) AS DOUBLE) AS c, CAST(sum(sum(n)) OVER (PARTITION BY key ORDER BY v) AS DOUBLE) AS cum FROM kc GROUP BY key, v",
+        "kt": "SELECT key, sum(c) AS n, count(*) AS n_values FROM kn GROUP BY key",
+        "ko": f"SELECT a.key, sum(a.n * b.n / (a.m - 1e0) * {delta}) AS o FROM kc a JOIN kc b ON a.key = b.key AND a.item = b.item AND a.v <> b.v JOIN kn x ON x.key = a.key AND x.v = a.v JOIN kn y ON y.key = b.key AND y.v = b.v GROUP BY a.key",
+        "ke": f"SELECT x.key, sum(x.c * y.c * {delta}) AS e FROM kn x JOIN kn y ON x.key = y.key AND x.v <> y.v, (SELECT 1) GROUP BY x.key".replace("a.v", "x.v").replace("b.v", "y.v"),
+        "kalpha": "SELECT kt.key, CASE WHEN n_values = 1 THEN 1e0 ELSE 1e0 - (coalesce(o, 0e0) / n) / (e / (n * (n - 1))) END AS alpha, CAST(n AS BIGINT) AS n, i.n_items, n_values FROM kt LEFT JOIN ko USING (key) LEFT JOIN ke USING (key) JOIN (SELECT key, count(DISTINCT item) AS n_items FROM kc GROUP BY key) i USING (key)",
+    }
+
+
+NOMINAL = alpha_ctes("value", "1e0")
+
+
+@query("kripp_alpha", "SELECT * FROM kalpha", "alpha", ctes="base", ra=RATE_SQL, **NOMINAL)
+def kripp_alpha(s):
+    return A.krippendorff_alpha(ratings(s), ["key"])
+
+
+@query("kripp_alpha_interval", "SELECT * FROM kalpha", "alpha", ctes="base", ra=RATE_SQL, **alpha_ctes("x", "((a.v - b.v) * (a.v - b.v))"))
+def kripp_alpha_interval(s):
+    return A.krippendorff_alpha(ratings(s), ["key"], value="x", level="interval")
+
+
+@query("kripp_alpha_ordinal", "SELECT * FROM kalpha", "alpha", ctes="base", ra=RATE_SQL, **alpha_ctes("value", "(((x.cum - x.c / 2e0) - (y.cum - y.c / 2e0)) ** 2)"))
+def kripp_alpha_ordinal(s):
+    return A.krippendorff_alpha(ratings(s), ["key"], level="ordinal")
+
+
+@query("model_convergence", """SELECT key, alpha, n, n_items, n_values, CASE WHEN alpha >= 0.8e0 THEN 'strong' WHEN alpha >= 0.6e0 THEN 'moderate' WHEN alpha >= 0.4e0 THEN 'weak' ELSE 'none' END AS level, majority, n_divergent, n_models FROM kalpha JOIN (
+    SELECT t.key, m.majority, count(*) FILTER (t.top <> m.majority) AS n_divergent, count(*) AS n_models FROM tops t JOIN (SELECT key, top AS majority FROM (SELECT key, top, count(*) AS c FROM tops GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY key ORDER BY c DESC, top) = 1) m USING (key) GROUP BY ALL) USING (key)""", "alpha", ctes="base", ra=RATE_SQL, **NOMINAL,
+       tops="SELECT key, rater, value AS top FROM (SELECT key, rater, value, count(*) AS c FROM ra GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY key, rater ORDER BY c DESC, value) = 1")
+def model_convergence(s):
+    return A.model_convergence(ratings(s), ["key"])
+
+
+@query("robustness", """SELECT dataset, robustness, n_personas, CAST(floor(median_k) AS BIGINT) AS median_k, CASE WHEN robustness >= 0.8e0 THEN 'robust' WHEN robustness >= 0.6e0 THEN 'moderately robust' WHEN robustness >= 0.4e0 THEN 'sensitive' ELSE 'fragile' END AS label FROM (
+    SELECT dataset, avg(r) AS robustness, count(*) AS n_personas, quantile_cont(CAST(k AS DOUBLE), 0.5) AS median_k FROM (SELECT dataset, key, avg(CASE WHEN selected_option <> 'AF' AND option = 'AO' THEN 1e0 ELSE 0e0 END) AS r, count(*) AS k FROM base GROUP BY dataset, key) GROUP BY dataset)""", "robustness", ctes="base")
+def robustness(s):
+    v = s.base.select("dataset", F.col("key").alias("persona"), F.when(F.col("selected_option") != "AF", F.col("option")).alias("response"))
+    return A.robustness(v.fillna("none", ["response"]), ["dataset"], "AO")
+
+
+# personas: customers; questions: their order priorities and states; label: the market segment
+PERSONA_SQL = """SELECT CAST(c_nationkey AS BIGINT) AS cohort, c_custkey AS persona, question, answer, c_mktsegment AS label FROM customer JOIN (
+    SELECT o_custkey, min(o_orderpriority) AS p, max(o_orderstatus) AS st, max(o_orderpriority) AS q FROM orders GROUP BY o_custkey) o ON o.o_custkey = c_custkey,
+    LATERAL (VALUES ('first', p), ('last', q), ('state', st)) v(question, answer)"""
+
+
+def personas(s):
+    o = s.table("orders").groupBy("o_custkey").agg(F.min("o_orderpriority").alias("p"), F.max("o_orderpriority").alias("q"), F.max("o_orderstatus").alias("st"))
+    d = s.table("customer").join(o, F.col("o_custkey") == F.col("c_custkey"))
+    return d.select(
+        F.col("c_nationkey").cast("bigint").alias("cohort"), F.col("c_custkey").alias("persona"), F.col("c_mktsegment").alias("label"),
+        F.explode(F.create_map(F.lit("first"), "p", F.lit("last"), "q", F.lit("state"), "st")).alias("question", "answer"),
+    )
+
+
+@query("silhouette", """SELECT cohort, avg(CASE WHEN b IS NULL OR greatest(a, b) = 0 THEN 0e0 ELSE (b - a) / greatest(a, b) END) AS silhouette, count(*) AS n_personas FROM (
+    SELECT cohort, persona, max(CASE WHEN own THEN CASE WHEN n <= 1 THEN 0e0 ELSE d / (n - 1) END END) AS a, min(CASE WHEN NOT own THEN d / n END) AS b FROM (
+      SELECT x.cohort, x.persona, y.label, x.label = y.label AS own, sum(CASE WHEN x.answer <> y.answer THEN 2e0 ELSE 0e0 END) AS d, count(DISTINCT y.persona) AS n FROM pe x JOIN pe y ON x.cohort = y.cohort AND x.question = y.question GROUP BY ALL) GROUP BY ALL) GROUP BY cohort""", "silhouette", pe=PERSONA_SQL)
+def silhouette(s):
+    return A.silhouette(personas(s), ["cohort"])
+
+
+@query("persona_cluster")
+def persona_cluster(s):
+    return C.cluster_patterns(personas(s).drop("label"), ["cohort"])
+
+
+@query("concentration", """SELECT model, avg(h) AS entropy, avg(log2(k) - h) AS kl_uniform, avg(1e0 - h / log2(k)) AS concentration, avg(CASE WHEN mx >= 0.99e0 THEN 1e0 ELSE 0e0 END) AS degenerate_share FROM (
+    SELECT run_id, key, min(model) AS model, -sum(CASE WHEN p_model > 0 THEN p_model * log2(p_model) ELSE 0e0 END) AS h, CAST(min(k) AS DOUBLE) AS k, max(p_model) AS mx FROM long GROUP BY run_id, key) WHERE k > 1 GROUP BY model""",
+       "entropy kl_uniform concentration degenerate_share", ctes="long")
+def concentration(s):
+    return A.concentration(s.scored, ["model"])
+
+
+CORE_SQL = {
+    "ent": "SELECT q.key, t.topic, h, CASE WHEN round(h, 12) < 1e0 THEN 'low' WHEN round(h, 12) <= 1.5e0 THEN 'medium' ELSE 'high' END AS band FROM (SELECT key, -sum(p_human * log2(p_human)) AS h FROM qopt GROUP BY key) q JOIN topics t USING (key)",
+    "gsh": "SELECT g.key, g.grp, o.option, coalesce(c.n, 0) / g.total AS p FROM (SELECT key, grp, count(*) AS total FROM grouped GROUP BY ALL) g JOIN qopt o ON o.key = g.key LEFT JOIN (SELECT key, grp, option, count(*) AS n FROM grouped GROUP BY ALL) c ON c.key = g.key AND c.grp = g.grp AND c.option = o.option",
+    "gvar": "SELECT key, avg(v) AS variance FROM (SELECT key, option, var_pop(p) AS v FROM gsh GROUP BY ALL) GROUP BY key",
+    "cand": f"SELECT e.*, coalesce(round(variance, 9), 0e0) AS variance, {hex8(chr(39) + 'core|' + chr(39) + ' || e.key')} AS u FROM ent e LEFT JOIN gvar g USING (key)",
+    "sens": "SELECT *, variance >= (SELECT round(quantile_cont(variance, 2e0 / 3e0), 9) FROM cand) AS sensitive FROM cand",
+    "cho": "SELECT * FROM sens WHERE sensitive QUALIFY row_number() OVER (PARTITION BY topic, band ORDER BY u) <= 4",
+    "fil": "SELECT r.* FROM (SELECT *, row_number() OVER (PARTITION BY topic, band ORDER BY u) AS rn FROM sens WHERE key NOT IN (SELECT key FROM cho)) r LEFT JOIN (SELECT topic, band, count(*) AS have FROM cho GROUP BY ALL) c ON c.topic = r.topic AND c.band = r.band WHERE rn <= 13 - coalesce(have, 0)",
+}
+
+
+@query("core_sample", "SELECT key, topic, band, sensitive FROM cho UNION ALL SELECT key, topic, band, sensitive FROM fil", ctes="topics qopt grouped", **CORE_SQL)
+def core_sample(s):
+    q = s.questions.join(s.texts.select("key", X.topic(F.col("text")).alias("topic")), "key")
+    g = S.question_distributions(s.grouped, ["key", "group"]).select("key", F.map_from_arrays("options", "p_human").alias("m"))
+    from ..functions.distance import align
+
+    g = g.join(s.questions.select("key", F.col("options").alias("all")), "key").select("key", align(F.col("all"), F.col("m")).alias("p"))
+    return A.core_sample(q, g, 13).select("key", "topic", "band", "sensitive")
+
+
+# --- bootstrap ----------------------------------------------------------------------
+
+
+@query("bca_ci", "SELECT run_id, estimate, n, ci_lower, ci_upper FROM ci", "estimate ci_lower ci_upper", ctes="scored", **boot_ctes("scored", "run_id", "key", "parity", R), **bca_ctes("run_id", R))
+def bca_ci(s):
+    reps = B.boot_means_hash(s.scored, ["run_id"], "key", "parity", R)
+    return B.bca_interval(s.scored, reps, ["run_id"], "parity", R)
+
+
+RUN_ROWS = "SELECT run_id, key, metric, x FROM (SELECT run_id, key, jsd, tau, abs(model_refusal_rate - human_refusal_rate) AS r, parity FROM scored), LATERAL (VALUES ('p_dist', jsd), ('p_rank', tau), ('p_refuse', r), ('sps', parity)) v(metric, x)"
+
+
+@query("run_ci", """SELECT run_id, metric, n, CASE WHEN metric IN ('p_dist', 'p_refuse') THEN 1e0 - ci_upper WHEN metric = 'p_rank' THEN (1e0 + ci_lower) / 2e0 ELSE ci_lower END AS ci_lower,
+    CASE WHEN metric IN ('p_dist', 'p_refuse') THEN 1e0 - ci_lower WHEN metric = 'p_rank' THEN (1e0 + ci_upper) / 2e0 ELSE ci_upper END AS ci_upper FROM ci""", "ci_lower ci_upper", ctes="scored",
+       rr=RUN_ROWS, **boot_ctes("rr", "run_id, metric", "key", "x", R), **bca_ctes("run_id, metric", R))
+def run_ci(s):
+    return B.run_ci(s.scored, R, hashed=True)
+
+
+@query("run_ci_kernel")
+def run_ci_kernel(s):
+    return B.run_ci(s.scored, 2000)
+
+
+PAIR_SQL = "SELECT a.dataset, a.key, a.parity - b.parity AS d FROM scored a JOIN scored b ON a.key = b.key AND a.model = 'm1' AND b.model = 'm3'"
+
+
+@query("paired_test", """SELECT dataset, delta, n, p_value, CASE WHEN p_value < 0.05e0 THEN 'significant' ELSE 'not significant' END AS verdict FROM (SELECT o.dataset, o.delta, o.n, avg(CASE WHEN round(abs(m.mean - o.delta), 12) >= round(abs(o.delta), 12) THEN 1e0 ELSE 0e0 END) AS p_value
+    FROM bm m JOIN (SELECT dataset, avg(d) AS delta, count(*) AS n FROM pr GROUP BY dataset) o ON o.dataset = m.dataset GROUP BY ALL)""", "delta p_value", ctes="scored", pr=PAIR_SQL, **boot_ctes("pr", "dataset", "key", "d", R))
+def paired_test(s):
+    a, b = s.scored.where("model = 'm1'"), s.scored.where("model = 'm3'")
+    return B.paired_test(a, b, ["dataset"], resamples=R, hashed=True)
+
+
+@query("j_compare_significance")
+def j_compare_significance(s):
+    a, b = s.scored.where("model = 'm1'"), s.scored.where("model = 'm3'")
+    return B.paired_test(a, b, ["dataset"])
+
+
+@query("ensemble_ci", "SELECT run_id, quantile_cont(mean, 0.025) AS ci_low, quantile_cont(mean, 0.975) AS ci_high FROM bm GROUP BY run_id", "ci_low ci_high", ctes="scored", e4="SELECT * FROM scored WHERE model = 'm4'", **boot_ctes("e4", "run_id", "key", "parity", R))
+def ensemble_ci(s):
+    reps = B.boot_means_hash(s.scored.where("model = 'm4'"), ["run_id"], "key", "parity", R)
+    return B.percentile_ci(reps, ["run_id"])
+
+
+DRIFT = {"wy": """SELECT *, abs(ya - yb) AS gap, concat_ws('|', stem, key_a, key_b) AS pair, 'all' AS a FROM (SELECT *, """ + " , ".join(
+    f"CASE regexp_extract({c}, '([0-9]+)$', 1) WHEN '26' THEN 2017 WHEN '32' THEN 2018 WHEN '36' THEN 2019 WHEN '49' THEN 2020 WHEN '82' THEN 2022 ELSE 0 END AS {a}" for c, a in (("survey_a", "ya"), ("survey_b", "yb"))
+) + " FROM wj) WHERE ya > 0 AND yb > 0"}
+
+
+@query("temporal_drift", "SELECT gap, avg(jsd) AS mean_jsd, count(*) AS n_pairs FROM wy GROUP BY gap", "mean_jsd", "gap", ctes="wopt", **WAVE_LONG, **DRIFT)
+def temporal_drift(s):
+    return B.temporal_drift(s.waves, R, hashed=True)[2]
+
+
+@query("temporal_drift_overall", "SELECT avg(w.jsd) AS mean_drift, count(*) AS n_pairs, count(DISTINCT stem) AS n_stems, min(c.lo) AS ci_low, min(c.hi) AS ci_high FROM wy w, (SELECT quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM bm) c",
+       "mean_drift ci_low ci_high", ctes="wopt", **WAVE_LONG, **DRIFT, **boot_ctes("wy", "a", "pair", "jsd", R))
+def temporal_drift_overall(s):
+    return B.temporal_drift(s.waves, R, hashed=True)[1]
+
+
+# --- ceilings -----------------------------------------------------------------------
+
+
+@query("ceiling")
+def ceiling(s):
+    d = B.ceiling(s.questions.select("dataset", "key", "counts"))
+    return d.select("dataset", "key", "mean", "ci_low", "ci_high", "n_effective", "flag")
+
+
+@query("ceiling_tau")
+def ceiling_tau(s):
+    d = B.ceiling(s.questions.select("dataset", "key", "counts"), "tau")
+    return d.select("dataset", "key", "mean", "ci_low", "ci_high", "n_effective", "flag")
+
+
+# a closed-form stand-in for the random estimate lets SQL check the aggregation
+CE_SQL = "SELECT dataset, key, 1e0 - 1e0 / n AS mean, 1e0 - 2e0 / n AS ci_low, 1e0 - 0.5e0 / n AS ci_high, n AS n_effective, CASE WHEN n >= 40 THEN 'high' WHEN n >= 20 THEN 'medium' ELSE 'low' END AS flag FROM (SELECT dataset, key, CAST(sum(n) AS BIGINT) AS n FROM qopt GROUP BY ALL)"
+CAGG = lambda by, src, w: f"SELECT {by}, sum({w} * mean) / sum({w}) AS mean, sum({w} * ci_low) / sum({w}) AS ci_low, sum({w} * ci_high) / sum({w}) AS ci_high, CAST(sum(n_effective) AS BIGINT) AS n_effective, count(*) AS n_questions, CASE min(CASE flag WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS flag FROM {src} GROUP BY {by}"
+
+
+def closed_form(s):
+    n = F.col("n")
+    flag = F.when(n >= 40, "high").when(n >= 20, "medium").otherwise("low")
+    return s.questions.select(
+        "dataset", "key", (F.lit(1.0) - F.lit(1.0) / n).alias("mean"), (F.lit(1.0) - F.lit(2.0) / n).alias("ci_low"),
+        (F.lit(1.0) - F.lit(0.5) / n).alias("ci_high"), n.alias("n_effective"), flag.alias("flag"),
+    )
+
+
+@query("ceiling_agg", CAGG("dataset", "ce", "n_effective"), "mean ci_low ci_high", ctes="qopt", ce=CE_SQL)
+def ceiling_agg(s):
+    return B.ceiling_agg(closed_form(s), ["dataset"])
+
+
+def wave_counts(s):
+    return s.waves.where("n >= 10").select(F.col("survey").alias("wave"), "key", "counts")
+
+
+@query("ceiling_wave")
+def ceiling_wave(s):
+    per, overall = B.ceiling_levels(B.ceiling(wave_counts(s), resamples=200), ["wave"])
+    cols = ["mean", "ci_low", "ci_high", "n_effective", "n_questions", "flag"]
+    return per.select("wave", *cols).unionByName(overall.select(F.lit("overall").alias("wave"), *cols))
+
+
+@query("ceiling_subgroup")
+def ceiling_subgroup(s):
+    d = S.question_distributions(s.grouped.withColumn("year", F.year("ts")), ["group", "year", "key"]).select(
+        F.concat_ws(" × ", "group", "year").alias("group"), "key", "counts"
+    )
+    return B.ceiling_agg(B.ceiling(d, resamples=100), ["group"])
+
+
+@query("ceiling_subgroup_spread", "SELECT min(mean) AS min, quantile_cont(mean, 0.25) AS p25, quantile_cont(mean, 0.5) AS median, quantile_cont(mean, 0.75) AS p75, max(mean) AS max FROM ce", "min p25 median p75 max", ctes="qopt", ce=CE_SQL)
+def ceiling_subgroup_spread(s):
+    return B.ceiling_spread(closed_form(s))[0]
+
+
+def _inferred(s, n: int, by: str, source):
+    d = source.withColumn("counts", B.counts_from_probs(F.col("p_human"), n)).select(by, "key", "counts")
+    return B.ceiling_agg(B.ceiling(d, resamples=100), [by], inferred=True)
+
+
+@query("ceiling_subpop")
+def ceiling_subpop(s):
+    return _inferred(s, 500, "group", S.question_distributions(s.grouped, ["group", "key"]))
+
+
+@query("ceiling_country")
+def ceiling_country(s):
+    return _inferred(s, 1000, "c_nationkey", S.question_distributions(s.grouped, ["c_nationkey", "key"]))
+
+
+COUNTS_SQL = """SELECT key, option, CAST(c + CASE WHEN d <> 0 AND row_number() OVER (PARTITION BY key ORDER BY CASE WHEN d > 0 THEN -f ELSE f END, option) = 1 THEN d ELSE 0 END AS BIGINT) AS c FROM (
+    SELECT *, 500 - sum(c) OVER (PARTITION BY key) AS d FROM (SELECT key, option, round_even(p_human * 500, 0) AS c, p_human * 500 - floor(p_human * 500) AS f FROM qopt))"""
+
+
+@query("counts_from_probs", COUNTS_SQL, ctes="qopt")
+def counts_from_probs(s):
+    d = s.questions.withColumn("c", B.counts_from_probs(F.col("p_human"), 500))
+    return d.select("key", F.explode(F.arrays_zip(F.col("options").alias("option"), "c")).alias("z")).select("key", "z.option", "z.c")
+
+
+# --- convergence curves -------------------------------------------------------------
+
+DRAW_SQL = {
+    "cumq": "SELECT key, option, sum(n) OVER (PARTITION BY key ORDER BY option) AS hi, sum(n) OVER (PARTITION BY key ORDER BY option) - n AS lo, sum(n) OVER (PARTITION BY key) AS n FROM qopt",
+    "dr": f"SELECT key, b, i, floor({hex8(chr(39) + '42|' + chr(39) + ' || key || ' + chr(39) + '|' + chr(39) + ' || b || ' + chr(39) + '|' + chr(39) + ' || i')} / 4294967296e0 * n) AS at FROM (SELECT DISTINCT key, n FROM cumq), range(0, 2) r(b), range(0, 20) t(i)",
+}
+
+
+@query("multinomial_sample", "SELECT d.key, d.b, c.option, count(*) AS draws FROM dr d JOIN cumq c ON c.key = d.key AND d.at >= c.lo AND d.at < c.hi GROUP BY ALL", "", "b", ctes="qopt", **DRAW_SQL)
+def multinomial_sample(s):
+    return B.multinomial_hash(s.questions, 20, 2)
+
+
+@query("curve_bootstrap")
+def curve_bootstrap(s):
+    return B.curve_bootstrap(s.questions, (20, 50, 100, 200), 100)
+
+
+REAL_SQL = {
+    "pool": "SELECT dataset, key, option, sample_no || '/' || model || '/' || in_row AS respondent, count(*) OVER (PARTITION BY key) AS pool FROM (SELECT *, row_number() OVER (PARTITION BY key, sample_no, model ORDER BY option, selected_option, ts) AS in_row FROM base)",
+    "ord": f"SELECT p.*, b, row_number() OVER (PARTITION BY key, b ORDER BY {hex8(chr(39) + '42|' + chr(39) + ' || key || ' + chr(39) + '|' + chr(39) + ' || b || ' + chr(39) + '|' + chr(39) + ' || respondent')}, respondent, option) AS rk FROM pool p, range(0, 3) r(b)",
+    "tk": "SELECT o.dataset, o.key, b, s.n, o.option, count(*) AS c FROM ord o JOIN (VALUES (10), (20), (50)) s(n) ON s.n <= o.pool AND o.rk <= s.n GROUP BY ALL",
+    "rj": f"SELECT dataset, key, b, n, {jsd_of('ps', 'p_human')} AS jsd FROM (SELECT x.dataset, x.key, x.b, x.n, q.option, q.p_human, coalesce(t.c, 0) / x.n AS ps FROM (SELECT DISTINCT dataset, key, b, n FROM tk) x JOIN qopt q ON q.key = x.key LEFT JOIN tk t ON t.key = x.key AND t.b = x.b AND t.n = x.n AND t.option = q.option) GROUP BY ALL",
+}
+
+
+def respondents(s):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("key", "sample_no", "model").orderBy("option", "selected_option", "ts")
+    d = s.base.withColumn("in_row", F.row_number().over(w))
+    return d.select("dataset", "key", "option", F.concat_ws("/", "sample_no", "model", "in_row").alias("respondent"))
+
+
+def real(s):
+    return B.curve_real(respondents(s), (10, 20, 50), 3)
+
+
+@query("curve_real", "SELECT dataset, key, n, avg(jsd) AS jsd_mean, quantile_cont(jsd, 0.1) AS jsd_p10, quantile_cont(jsd, 0.9) AS jsd_p90, count(*) AS replicates FROM rj GROUP BY ALL", "jsd_mean jsd_p10 jsd_p90", "n", ctes="base qopt", **REAL_SQL)
+def curve_real(s):
+    return real(s)
+
+
+# curves with a closed form over the tables: the mean shrinks with n from a question's own spread
+FLAT_SQL = "SELECT dataset, key, s.n, 0.3e0 * k / s.n + CASE WHEN total < 25 THEN 0.015e0 ELSE 0e0 END AS jsd_mean FROM (SELECT dataset, key, count(*) AS k, CAST(sum(n) AS BIGINT) AS total FROM qopt GROUP BY ALL), (VALUES (20), (50), (100), (200), (500), (1000)) s(n) WHERE s.n <= total * 20"
+CONV_SQL = "SELECT dataset, key, arg_min(CASE WHEN l2 IS NOT NULL THEN n END, n) FILTER (ok) AS convergence_n, min(n) FILTER (ok) AS first_ok, arg_min(l2 IS NOT NULL, n) FILTER (ok) AS has FROM (SELECT *, jsd_mean < 0.02e0 AND (l2 IS NULL OR greatest(jsd_mean - l1, jsd_mean - l2) <= 0.005e0) AS ok FROM (SELECT *, lead(jsd_mean, 1) OVER w AS l1, lead(jsd_mean, 2) OVER w AS l2 FROM cv WINDOW w AS (PARTITION BY key ORDER BY n))) GROUP BY dataset, key"
+
+
+def shaped(s):
+    sizes = F.explode(F.array(*[F.lit(x) for x in (20, 50, 100, 200, 500, 1000)]))
+    d = s.questions.select("dataset", "key", F.size("options").alias("k"), F.col("n").alias("total"), sizes.alias("n")).where("n <= total * 20")
+    return d.withColumn("jsd_mean", F.lit(0.3) * F.col("k") / F.col("n") + F.when(F.col("total") < 25, 0.015).otherwise(0.0))
+
+
+CN_SQL = "SELECT dataset, key, CASE WHEN has THEN first_ok END AS convergence_n FROM cn"
+
+
+@query("convergence_n", CN_SQL, "", "convergence_n", ctes="qopt", cv=FLAT_SQL, cn=CONV_SQL)
+def convergence_n(s):
+    return B.convergence_n(shaped(s), ["dataset", "key"])
+
+
+@query("curve_report", f"SELECT dataset, count(*) AS n_questions, count(convergence_n) AS n_converged, count(*) - count(convergence_n) AS n_unconverged, {', '.join(f'CAST(floor(quantile_cont(CAST(convergence_n AS DOUBLE), {q})) AS BIGINT) AS convergence_n_p{p}' for p, q in ((50, 0.5), (90, 0.9), (99, 0.99)))} FROM ({CN_SQL}) GROUP BY dataset", ctes="qopt", cv=FLAT_SQL, cn=CONV_SQL)
+def curve_report(s):
+    return B.curve_summary(B.convergence_n(shaped(s), ["dataset", "key"]), ["dataset"])
+
+
+@query("curve_compare", "SELECT r.dataset, r.key, r.n, r.jsd_mean - c.jsd_mean AS delta_jsd_mean FROM (SELECT dataset, key, n, avg(jsd) AS jsd_mean FROM rj GROUP BY ALL) r JOIN cv c ON c.key = r.key AND c.n = r.n", "delta_jsd_mean", "n", ctes="base qopt", cv=FLAT_SQL, **REAL_SQL)
+def curve_compare(s):
+    return B.curve_compare(real(s), shaped(s))
+
+
+@query("j_real_vs_bootstrap")
+def j_real_vs_bootstrap(s):
+    return B.curve_compare(real(s), B.curve_bootstrap(s.questions, (20, 50), 100))
+
+
+@query("curve_payload", "SELECT c.dataset, c.key, n, jsd_mean, p.tier FROM cv c JOIN policies p ON p.dataset = split_part(c.dataset, ' ', 1) WHERE p.tier IN ('full', 'gated')", "jsd_mean", "n", ctes="qopt policies", cv=FLAT_SQL)
+def curve_payload(s):
+    rows, _ = B.curve_payload(shaped(s), s.part.select("dataset").distinct(), policies(s))
+    return rows.select("dataset", "key", "n", "jsd_mean", "tier")
+
+
+@query("baseline_lookup", "SELECT q.dataset, q.key, q.option, q.p_human FROM qopt q WHERE dataset = 'gss' AND key = (SELECT min(key) FROM qopt WHERE dataset = 'gss' AND key = 'P1') OR (dataset = 'ntia' AND key = 'P10')", "p_human", ctes="qopt")
+def baseline_lookup(s):
+    out = None
+    for dataset, key in (("gss", "P1"), ("ntia", "P10")):
+        d = B.baseline_lookup(s.questions, policies(s), dataset, key)
+        d = d.select("dataset", "key", F.explode(F.arrays_zip(F.col("options").alias("option"), "p_human")).alias("z")).select("dataset", "key", "z.option", "z.p_human")
+        out = d if out is None else out.unionByName(d)
+    return out

@@ -1 +1,280 @@
-"""Queries (filled in below)."""
+"""Source normalisation over raw rows in each source's layout, derived from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import scoring as S
+from ..sources import sinks as K
+from ..sources import surveys as V
+from .registry import query
+
+# counts per part, ship year and option as text, some of it unusable
+CELL_SQL = """SELECT p_partkey, CAST(year(ts) AS VARCHAR) AS year, option, CASE WHEN option = 'NO' AND count(*) = 1 THEN 'n/a' WHEN option = 'RF' AND count(*) = 1 THEN '0' ELSE CAST(count(*) AS VARCHAR) END AS count
+    FROM base JOIN parts USING (key) GROUP BY p_partkey, year(ts), option"""
+
+
+def count_csv(s):
+    n = F.count("*")
+    text = F.when((F.col("option") == "NO") & (n == 1), "n/a").when((F.col("option") == "RF") & (n == 1), "0").otherwise(n.cast("string"))
+    d = s.base.groupBy("p_partkey", F.year("ts").cast("string").alias("year"), "option").agg(text.alias("count"), n.alias("_n"))
+    d = d.join(s.part.select("p_partkey", "p_name", "p_brand"), "p_partkey")
+    return d.select(
+        F.col("p_partkey").cast("string").alias("question_id"), F.when(F.col("p_brand") == "Brand#1", " ").otherwise(F.col("p_name")).alias("question_text"),
+        "year", F.concat(F.lit(" "), "option").alias("option"), "count", F.monotonically_increasing_id().alias("seq"),
+    )
+
+
+def _count_sql(prefix: str, cond: str) -> str:
+    return f"""SELECT '{prefix}' || p_partkey AS key, p_name AS text, option, n / sum(n) OVER (PARTITION BY p_partkey) AS p FROM (
+        SELECT c.p_partkey, p_name, option, sum(try_cast(count AS DOUBLE)) AS n FROM cc c JOIN parts p ON p.p_partkey = c.p_partkey WHERE p_brand <> 'Brand#1' AND try_cast(count AS DOUBLE) > 0 AND {cond} GROUP BY ALL)"""
+
+
+@query("src_count_csv_year", _count_sql("GSS_", "year = '1998'"), "p", ctes="base parts", cc=CELL_SQL)
+def src_count_csv_year(s):
+    return V.count_table(count_csv(s), "year", "GSS_", "1998").drop("pos")
+
+
+@query("src_count_csv_country", _count_sql("WVS_", "true"), "p", ctes="base parts", cc=CELL_SQL)
+def src_count_csv_country(s):
+    return V.count_table(count_csv(s).withColumnRenamed("year", "country"), "country", "WVS_").drop("pos")
+
+
+# microdata: the order is the respondent, the part the question, repeated answers by line
+def micro_raw(s):
+    li = s.table("lineitem")
+    orders = s.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", F.year("o_orderdate").alias("y"))
+    d = li.join(orders, "l_orderkey")
+    return d.select(
+        F.col("l_orderkey").cast("string").alias("respondent_id"), F.col("y").cast("string").alias("year"), F.col("l_suppkey").cast("string").alias("question_id"),
+        F.when(F.col("l_tax") >= 0.08, " ").otherwise(F.concat("l_returnflag", "l_linestatus")).alias("option"),
+        F.when(F.col("l_quantity") >= 10, F.col("o_orderpriority")).otherwise("").alias("subgroup_priority"),
+        F.concat_ws("-", F.lpad("l_linenumber", 2, "0"), F.lpad("l_partkey", 12, "0"), F.lpad(F.col("l_extendedprice").cast("string"), 14, "0")).alias("seq"),
+    )
+
+
+MICRO_SQL = """SELECT l_orderkey, year(o_orderdate) AS y, l_suppkey, l_returnflag || l_linestatus AS option, CASE WHEN l_quantity >= 10 THEN o_orderpriority ELSE '' END AS prio,
+    concat_ws('-', lpad(CAST(l_linenumber AS VARCHAR), 2, '0'), lpad(CAST(l_partkey AS VARCHAR), 12, '0'), lpad(CAST(l_extendedprice AS VARCHAR), 14, '0')) AS seq
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_tax < 0.08e0"""
+
+
+@query("src_microdata", """SELECT a.rid AS respondent_id, a.wave, a.answers, coalesce(g.prio, '') AS priority FROM (SELECT l_orderkey || '@' || y AS rid, 'GSS:' || y AS wave, string_agg('GSS_' || l_suppkey || '=' || option, ';' ORDER BY 'GSS_' || l_suppkey) AS answers FROM (
+    SELECT l_orderkey, y, l_suppkey, arg_max(option, seq) AS option FROM mi GROUP BY ALL) GROUP BY l_orderkey, y) a JOIN (SELECT l_orderkey || '@' || y AS rid, arg_min(prio, seq) AS prio FROM mi GROUP BY l_orderkey, y) g USING (rid)""", mi=MICRO_SQL)
+def src_microdata(s):
+    m = V.microdata(micro_raw(s), "GSS_")
+    answers = F.array_join(F.transform(F.map_entries("responses"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return m.select("respondent_id", "wave", answers.alias("answers"), F.coalesce(F.try_element_at("subgroup", F.lit("priority")), F.lit("")).alias("priority"))
+
+
+@query("microdata_for_question", "SELECT DISTINCT l_orderkey || '@' || y AS respondent_id FROM mi WHERE l_suppkey = 5", mi=MICRO_SQL)
+def microdata_for_question(s):
+    return V.microdata_for_question(V.microdata(micro_raw(s), "GSS_"), "5", "GSS_").select("respondent_id")
+
+
+# wave files: one document per ship year and part, groups are market segments
+def wave_files(s):
+    counts = s.grouped.groupBy(F.year("ts").alias("y"), "key", "group", "option").agg(F.count("*").cast("double").alias("n"))
+    group = F.when(F.col("group") == "MACHINERY", "nan").otherwise(F.col("group"))
+    docs = counts.groupBy("y", "key", group.alias("group")).agg(F.map_from_entries(F.collect_list(F.struct("option", "n"))).alias("m"))
+    docs = docs.groupBy("y", "key").agg(F.map_from_entries(F.collect_list(F.struct("group", F.to_json("m")))).alias("g"))
+    entry = F.concat(
+        F.lit('{"'), F.col("key"), F.lit('": {"MC_options": ["a"], "question_text": "x"'),
+        F.array_join(F.transform(F.map_entries("g"), lambda e: F.concat(F.lit(', "'), e["key"], F.lit('": '), e["value"])), ""), F.lit("}}"),
+    )
+    return docs.select(F.concat(F.lit("W"), "y").alias("wave_dir"), F.when(F.col("y") == 1997, "SEX").otherwise("NONE").alias("attribute"), entry.alias("raw"))
+
+
+def wave_info(s):
+    years = s.base.select(F.year("ts").alias("y")).distinct()
+    refs = F.when(F.col("p_size") > 25, "['AF', 'AO', \"NF\", 'Refused']").otherwise("AF, AO,NF ,Refused")
+    info = s.part.where("p_size > 3").select("key", F.col("p_name").alias("question"), refs.alias("references"))
+    return info.join(years, F.lit(True)).withColumn("wave_dir", F.concat(F.lit("W"), "y")).drop("y")
+
+
+def _wave_sql(key: str) -> str:
+    return f"""SELECT 'W' || y AS wave_dir, {key} AS key, text, option, CASE option WHEN 'AF' THEN 0 WHEN 'AO' THEN 1 WHEN 'NF' THEN 2 WHEN 'Refused' THEN 3 ELSE -1 END AS pos, n / sum(n) OVER (PARTITION BY y, key) AS p
+        FROM (SELECT year(ts) AS y, g.key, p_name AS text, option, count(*) AS n FROM grouped g JOIN parts p ON p.key = g.key WHERE p_size > 3 GROUP BY ALL)"""
+
+
+@query("src_wave_json", _wave_sql("key"), "p", "pos", ctes="grouped parts")
+def src_wave_json(s):
+    return V.wave_questions(wave_files(s), wave_info(s)).drop("options")
+
+
+@query("src_survey_json", _wave_sql("'W' || y || ':' || key"), "p", "pos", ctes="grouped parts")
+def src_survey_json(s):
+    return V.wave_questions(wave_files(s), wave_info(s), key_prefix=True).drop("options")
+
+
+@query("src_wave_json_tech", _wave_sql("key").replace("WHERE p_size > 3", "WHERE p_size > 3 AND year(ts) IN (1999, 2000)"), "p", "pos", ctes="grouped parts")
+def src_wave_json_tech(s):
+    picked = F.col("wave_dir").isin("W1999", "W2000")
+    return V.wave_questions(wave_files(s).where(picked), wave_info(s).where(picked)).drop("options")
+
+
+@query("group_dist_counts", """SELECT key, 'W' || y AS wave_dir, grp AS "group", option, n / sum(n) OVER (PARTITION BY key, y, grp) AS p FROM (SELECT key, year(ts) AS y, grp, option, count(*) AS n FROM grouped WHERE grp <> 'MACHINERY' AND year(ts) <> 1997 GROUP BY ALL)
+    QUALIFY y = max(y) OVER (PARTITION BY key)""", "p", ctes="grouped")
+def group_dist_counts(s):
+    counts = V.wave_counts(wave_files(s).where("attribute = 'NONE'"))
+    return V.group_distributions(counts).select("key", "wave_dir", "group", "option", "p")
+
+
+# country rows: nations of the ordering customers
+def country_rows(s):
+    g = S.question_distributions(s.grouped.where("c_nationkey IS NOT NULL"), ["key", "c_nationkey"])
+    from ..functions.distance import align
+
+    d = g.join(s.questions.select("key", F.col("options").alias("all")), "key")
+    p = align(F.col("all"), F.map_from_arrays("options", "p_human"))
+    # nations are few, so a question's map of them is bounded
+    d = d.groupBy("key", "all").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("N"), "c_nationkey"), p.alias("p")))).alias("selections"))
+    d = d.join(s.part.select("key", "p_partkey", "p_name"), "key")
+    return d.select(F.col("p_partkey").alias("i"), F.col("p_name").alias("text"), F.col("all").alias("options"), "selections")
+
+
+COUNTRY_SQL = {
+    "cn": "SELECT key, c_nationkey AS c, option, count(*) AS n FROM grouped GROUP BY ALL",
+    "cp": "SELECT key, c, option, n / sum(n) OVER (PARTITION BY key, c) AS p FROM cn",
+    "ck": "SELECT key, count(DISTINCT c) AS k FROM cn GROUP BY key",
+}
+GOQA = "'GOQA_' || p.p_partkey || '_' || substr(sha256(p_name), 1, 8)"
+
+
+@query("src_country_probs", f"SELECT {GOQA} AS key, p_name AS text, q.option, coalesce(x.s, 0e0) / ck.k AS p FROM qopt q JOIN ck ON ck.key = q.key JOIN parts p ON p.key = q.key LEFT JOIN (SELECT key, option, sum(p) AS s FROM cp GROUP BY ALL) x ON x.key = q.key AND x.option = q.option", "p", ctes="grouped qopt parts", **COUNTRY_SQL)
+def src_country_probs(s):
+    return V.country_questions(country_rows(s)).select("key", "text", "option", "p")
+
+
+@query("src_one_country", f"SELECT {GOQA} AS key, q.option, coalesce(x.p, 0e0) AS p FROM qopt q JOIN (SELECT DISTINCT key FROM cn WHERE c = 3) k ON k.key = q.key JOIN parts p ON p.key = q.key LEFT JOIN cp x ON x.key = q.key AND x.option = q.option AND x.c = 3", "p", ctes="grouped qopt parts", **COUNTRY_SQL)
+def src_one_country(s):
+    return V.country_questions(country_rows(s), "N3").select("key", "option", "p")
+
+
+@query("available_countries", "SELECT DISTINCT 'N' || c AS country FROM cn", ctes="grouped", **COUNTRY_SQL)
+def available_countries(s):
+    return V.available_countries(country_rows(s))
+
+
+# subgroup rows: responses lack the trailing refusal, one group has broken rows
+def subgroup_raw(s):
+    g = S.question_distributions(s.grouped, ["key", "group"])
+    from ..functions.distance import align
+
+    d = g.join(s.questions.select("key", F.col("options").alias("all")), "key")
+    p = align(F.col("all"), F.map_from_arrays("options", "p_human"))
+    d = d.select(F.col("key").alias("qkey"), F.lit("Segment").alias("attribute"), "group", F.col("all").alias("options"), p.alias("responses"))
+    ends = F.element_at("options", -1) == "Refused"
+    d = d.withColumn("refusal_rate", F.when(ends, F.element_at("responses", -1)))
+    keep = F.size("responses") - F.when(F.col("group") == "MACHINERY", 2).when(ends, 1).otherwise(0)
+    return d.where(F.size("options") > 2).withColumn("responses", F.slice("responses", F.lit(1), keep)).withColumn("seq", F.lit(1))
+
+
+SUB_SQL = {
+    "so": "SELECT g.key, g.grp, q.option, q.k, coalesce(c.n, 0) / g.total AS p FROM (SELECT key, grp, count(*) AS total FROM grouped WHERE grp <> 'MACHINERY' GROUP BY ALL) g JOIN qopt q ON q.key = g.key AND q.k > 2 LEFT JOIN (SELECT key, grp, option, count(*) AS n FROM grouped GROUP BY ALL) c ON c.key = g.key AND c.grp = g.grp AND c.option = q.option",
+}
+
+
+@query("src_subgroup_rows", "SELECT key AS qkey, option, s / sum(s) OVER (PARTITION BY key) AS p FROM (SELECT key, option, sum(p) AS s FROM so GROUP BY ALL)", "p", ctes="grouped qopt", **SUB_SQL)
+def src_subgroup_rows(s):
+    return V.subgroup_questions(V.align_refusal(subgroup_raw(s))).drop("pos")
+
+
+@query("align_refusal", "SELECT key AS qkey, grp AS \"group\", count(*) AS n_responses, sum(p) AS total FROM so GROUP BY ALL", "total", ctes="grouped qopt", **SUB_SQL)
+def align_refusal(s):
+    d = V.align_refusal(subgroup_raw(s)).where("group <> 'MACHINERY'")
+    return d.select("qkey", "group", F.size("responses").alias("n_responses"), F.aggregate("responses", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("group_dist_probs", "SELECT key AS qkey, grp AS \"group\", option, p FROM so", "p", ctes="grouped qopt", **SUB_SQL)
+def group_dist_probs(s):
+    d = V.subgroup_distributions(V.align_refusal(subgroup_raw(s)), "segment")
+    return d.select("qkey", "group", F.explode("dist").alias("option", "p"))
+
+
+# month rows: answers per part and month laid out wide; empty cells are missing
+OPTIONS = ["AF", "AO", "NF"]
+
+
+def month_rows(s, by: str):
+    d = s.base if by == "dataset" else s.grouped
+    wide = d.groupBy("dataset", *([] if by == "dataset" else ["group"]), F.date_format("ts", "yyyy-MM-dd").alias("date")).pivot("option", OPTIONS).count()
+    return wide.withColumnRenamed("AF", "af ").withColumn("NF", F.col("NF").cast("string"))
+
+
+def _month_sql(cols: str, src: str) -> str:
+    return f"""SELECT {cols}, option, CASE option WHEN 'AF' THEN 0 WHEN 'AO' THEN 1 ELSE 2 END AS pos, avg(x / (a + b + c)) AS p FROM (
+        SELECT {cols}, a, b, c, option, CASE option WHEN 'AF' THEN a WHEN 'AO' THEN b ELSE c END AS x FROM (SELECT {cols}, CAST(ts AS DATE) AS d, count(*) FILTER (option = 'AF') AS a, count(*) FILTER (option = 'AO') AS b, count(*) FILTER (option = 'NF') AS c FROM {src} GROUP BY ALL),
+        (VALUES ('AF'), ('AO'), ('NF')) o(option) WHERE a > 0 AND b > 0 AND c > 0) GROUP BY {cols}, option"""
+
+
+@query("src_monthly_csv", _month_sql("dataset", "base"), "p", "pos", ctes="base")
+def src_monthly_csv(s):
+    return V.monthly(month_rows(s, "dataset"), OPTIONS, ["dataset"])
+
+
+@query("src_monthly_csv_group", f'SELECT dataset, grp AS "group", option, pos, p FROM ({_month_sql("dataset, grp", "grouped")})', "p", "pos", ctes="grouped")
+def src_monthly_csv_group(s):
+    return V.monthly(month_rows(s, "group"), OPTIONS, ["dataset", "group"])
+
+
+# proportion table: one variable per part
+def proportions(s):
+    size = F.col("p_size")
+    cell = lambda k: F.when(size > 45, "1.5").when(size < 3, " ").when(size == 7, "x").otherwise((size * k / 100.0).cast("string"))
+    return s.part.select(
+        F.concat(F.lit('"'), "p_brand", F.lit('"')).alias("dataset"), F.when(size == 9, "isAdult").otherwise(F.concat(F.lit("v"), "p_partkey")).alias("variable"),
+        F.col("p_name").alias("description"), F.when(size > 30, "isAdult").otherwise("").alias("universe"),
+        cell(1).alias("usProp"), cell(2).alias("sexMaleProp"), cell(1).alias("sexFemaleProp"),
+    )
+
+
+NKEY = "'NTIA_' || replace(p_brand, ' ', '_') || '_v' || p_partkey || '_' || CASE WHEN p_size > 30 THEN 'isAdult' ELSE 'all' END"
+NKEEP = "p_size <= 45 AND p_size >= 3 AND p_size NOT IN (7, 9)"
+
+
+@query("src_proportion_table", f"SELECT {NKEY} AS key, p_name || CASE WHEN p_size > 30 THEN ' (among adults)?' ELSE '?' END AS text, option, CASE option WHEN 'Yes' THEN p_size / 100e0 ELSE 1e0 - p_size / 100e0 END AS p FROM parts, (VALUES ('Yes'), ('No')) o(option) WHERE {NKEEP}", "p", ctes="parts")
+def src_proportion_table(s):
+    return V.proportion_questions(proportions(s))
+
+
+@query("src_proportion_group", f"SELECT {NKEY} AS key, g AS \"group\", option, CASE option WHEN 'Yes' THEN p_size * k / 100e0 ELSE 1e0 - p_size * k / 100e0 END AS p FROM parts, (VALUES ('Male', 2), ('Female', 1)) x(g, k), (VALUES ('Yes'), ('No')) o(option) WHERE {NKEEP} AND p_size * k / 100e0 <= 1", "p", ctes="parts")
+def src_proportion_group(s):
+    return V.proportion_groups(proportions(s), "sex")
+
+
+RENORM_SQL = "SELECT key, option, CASE WHEN abs(t - 1e0) > 0.01e0 AND t > 0 THEN p / t ELSE p END AS p FROM (SELECT *, sum(p) OVER (PARTITION BY key) AS t FROM (SELECT key, option, p_human * CASE WHEN k = 7 THEN 1.0037e0 ELSE 1.5e0 END AS p FROM qopt))"
+
+
+@query("question_renormalise", RENORM_SQL, "p", ctes="qopt")
+def question_renormalise(s):
+    f = F.when(F.size("options") == 7, 1.0037).otherwise(1.5)
+    d = s.questions.select("key", F.explode(F.arrays_zip(F.col("options").alias("option"), F.transform("p_human", lambda x: x * f).alias("p"))).alias("z")).select("key", "z.option", "z.p")
+    return V.renormalise(d, ["key"])
+
+
+# --- run documents --------------------------------------------------------------------
+
+
+@query("run_file_meta", """SELECT run_id, CASE WHEN dataset = 'gss' THEN 'later' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS t FROM (SELECT dataset, CASE WHEN dataset = 'gss' THEN run_id ELSE run_id || strftime(max(ts), '_%Y%m%d_%H%M%S') END AS run_id, max(ts) AS ts FROM base GROUP BY base.run_id, dataset)""", ctes="base")
+def run_file_meta(s):
+    d = s.base.groupBy("run_id", "dataset").agg(F.max("ts").alias("ts"))
+    path = F.concat(F.lit("/results/"), "run_id", F.when(F.col("dataset") == "gss", "").otherwise(F.date_format("ts", "_yyyyMMdd_HHmmss")), F.lit(".json"))
+    d = d.withColumn("run_id", X.file_stem(path))
+    return d.select("run_id", X.run_timestamp(F.col("run_id"), F.lit("later")).alias("t"))
+
+
+@query("sink_index", "SELECT run_id, dataset, display_name, n_questions, samples_per_question, sps, p_dist, p_rank, p_refuse, mean_jsd, mean_tau, temperature FROM runs", "sps p_dist p_rank p_refuse mean_jsd mean_tau temperature", "samples_per_question", ctes="runs")
+def sink_index(s):
+    return K.index_rows(s.runs).select(
+        "run_id", "dataset", "display_name", "n_questions", "samples_per_question", "sps", "p_dist", "p_rank", "p_refuse", "mean_jsd", "mean_tau", "temperature"
+    )
+
+
+@query("sink_run_detail", "SELECT r.run_id, r.dataset, round(r.sps, 6) AS sps, count(*) AS n_rows, min(s.key) AS first_key, sum(s.jsd) AS jsd_sum FROM runs r JOIN scored s USING (run_id) GROUP BY ALL", "jsd_sum", ctes="runs scored")
+def sink_run_detail(s):
+    d = K.run_documents(s.runs, s.scored)
+    return d.select(
+        "run_id", "dataset", F.col("scores.sps").alias("sps"), F.size("per_question").cast("bigint").alias("n_rows"),
+        F.col("per_question")[0]["key"].alias("first_key"), F.aggregate("per_question", F.lit(0.0), lambda a, q: a + q["jsd"]).alias("jsd_sum"),
+    )
