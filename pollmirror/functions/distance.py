@@ -38,10 +38,10 @@ def shares(values: Column) -> Column:
 def shares_or_uniform(values: Column) -> Column:
     """Shares over the declared options; zero mass gives the uniform distribution."""
     return bind(
-        total(values),
-        lambda s: F.transform(
-            values,
-            lambda x: F.when(s > 0, x / s).otherwise(F.lit(1.0) / F.size(values)),
+        values,
+        lambda v: bind(
+            F.struct(total(v).alias("s"), (F.lit(1.0) / F.size(v)).alias("u")),
+            lambda r: F.transform(v, lambda x: F.when(r["s"] > 0, x / r["s"]).otherwise(r["u"])),
         ),
     )
 
@@ -51,8 +51,11 @@ def _half(x: Column, m: Column) -> Column:
 
 
 def jsd(p: Column, q: Column) -> Column:
-    """Base-2 Jensen-Shannon divergence; 1.0 when either side has no mass."""
-    sums = F.struct(total(clamped(p)).alias("p"), total(clamped(q)).alias("q"))
+    """Base-2 Jensen-Shannon divergence; 1.0 when either side has no mass.
+
+    Both sides are bound first: inside a lambda an unbound expression would be evaluated
+    again for every element.
+    """
 
     def term(s, x, y):
         a, b = F.greatest(x, F.lit(0.0)) / s["p"], F.greatest(y, F.lit(0.0)) / s["q"]
@@ -61,14 +64,18 @@ def jsd(p: Column, q: Column) -> Column:
             lambda t: _half(t["a"], t["m"]) + _half(t["b"], t["m"]),
         )
 
-    return bind(
-        sums,
-        lambda s: F.when((s["p"] <= 0) | (s["q"] <= 0), F.lit(1.0)).otherwise(
-            F.greatest(
-                F.lit(0.0), total(F.zip_with(p, q, lambda x, y: term(s, x, y))) / 2
-            )
-        ),
-    )
+    def divergence(r):
+        sums = F.struct(total(clamped(r["p"])).alias("p"), total(clamped(r["q"])).alias("q"))
+        return bind(
+            sums,
+            lambda s: F.when((s["p"] <= 0) | (s["q"] <= 0), F.lit(1.0)).otherwise(
+                F.greatest(
+                    F.lit(0.0), total(F.zip_with(r["p"], r["q"], lambda x, y: term(s, x, y))) / 2
+                )
+            ),
+        )
+
+    return bind(F.struct(p.alias("p"), q.alias("q")), divergence)
 
 
 def tau_b(p: Column, q: Column) -> Column:
@@ -77,30 +84,32 @@ def tau_b(p: Column, q: Column) -> Column:
     With s(x, y) the sign of the difference, tau-b is the correlation of the sign
     matrices of both sides, so one double fold over the row's own array yields it.
     """
-    pairs = F.arrays_zip(p.alias("p"), q.alias("q"))
     zero = F.struct(
         F.lit(0.0).alias("pq"), F.lit(0.0).alias("pp"), F.lit(0.0).alias("qq")
     )
 
-    def fold(outer, left):
-        def step(acc, right):
-            sp, sq = F.signum(left["p"] - right["p"]), F.signum(left["q"] - right["q"])
-            return F.struct(
-                (acc["pq"] + sp * sq).alias("pq"),
-                (acc["pp"] + sp * sp).alias("pp"),
-                (acc["qq"] + sq * sq).alias("qq"),
-            )
-
-        return F.aggregate(pairs, outer, step)
-
-    return F.aggregate(
-        pairs,
-        zero,
-        fold,
-        lambda s: F.when(s["pp"] * s["qq"] == 0, F.lit(0.0)).otherwise(
-            s["pq"] / F.sqrt(s["pp"] * s["qq"])
-        ),
-    )
+    def correlation(pairs):
+        def fold(outer, left):
+            def step(acc, right):
+                sp, sq = F.signum(left["p"] - right["p"]), F.signum(left["q"] - right["q"])
+                return F.struct(
+                    (acc["pq"] + sp * sq).alias("pq"),
+                    (acc["pp"] + sp * sp).alias("pp"),
+                    (acc["qq"] + sq * sq).alias("qq"),
+                )
+
+            return F.aggregate(pairs, outer, step)
+
+        return F.aggregate(
+            pairs,
+            zero,
+            fold,
+            lambda s: F.when(s["pp"] * s["qq"] == 0, F.lit(0.0)).otherwise(
+                s["pq"] / F.sqrt(s["pp"] * s["qq"])
+            ),
+        )
+
+    return bind(F.arrays_zip(p.alias("p"), q.alias("q")), correlation)
 
 
 def parity(jsd_col: Column, tau_col: Column, w_jsd: float = 0.5, w_tau: float = 0.5) -> Column:
@@ -132,7 +141,10 @@ def entropy(p: Column) -> Column:
 def uniformity(p: Column) -> Column:
     """Largest absolute distance from 1/n; 1.0 for an empty distribution."""
     return F.when(F.coalesce(F.size(p), F.lit(0)) <= 0, F.lit(1.0)).otherwise(
-        F.array_max(F.transform(p, lambda x: F.abs(x - F.lit(1.0) / F.size(p))))
+        bind(
+            F.struct(p.alias("p"), (F.lit(1.0) / F.size(p)).alias("u")),
+            lambda r: F.array_max(F.transform(r["p"], lambda x: F.abs(x - r["u"]))),
+        )
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,3 +73,26 @@ def chi2_tail(x: Column, df: Column, terms: int = 300) -> Column:
         F.when(x <= 0, F.lit(1.0)).when(df <= 0, F.lit(0.0))
         .otherwise(F.lit(1.0) - F.greatest(F.lit(0.0), F.least(F.lit(1.0), lower)))
     )
+
+
+def normal_quantile_number(p: float) -> float:
+    """The same approximation for one number, for use inside a kernel."""
+
+    def poly(x, cs):
+        out = cs[0]
+        for c in cs[1:]:
+            out = out * x + c
+        return out
+
+    if p <= 0 or p >= 1:
+        return -8.0 if p <= 0 else 8.0
+    if TAIL <= p <= 1.0 - TAIL:
+        q = p - 0.5
+        return poly(q * q, A) * q / poly(q * q, [*B, 1.0])
+    q = math.sqrt(-2.0 * math.log(min(p, 1.0 - p)))
+    x = poly(q, C) / poly(q, [*D, 1.0])
+    return x if p < TAIL else -x
+
+
+def normal_cdf_number(x: float) -> float:
+    return 0.5 * math.erfc(-x / math.sqrt(2.0))

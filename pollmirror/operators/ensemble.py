@@ -61,12 +61,8 @@ def blend(rows: DataFrame, weights: DataFrame, by: list[str], member: str = "mod
 def blend_scores(blended: DataFrame, by: list[str]) -> DataFrame:
     """Blend-level scores; the median is the upper middle value."""
     agg = S.run_score(blended, by, median=False)
-    n = blended.groupBy(*by).agg(F.count("*").alias("_n"))
-    ends = quantiles(blended, by, "jsd", {"_half": 0.5}, bounds=(0, 1))
-    upper = blended.join(ends, by).where(F.col("jsd") >= F.col("_half") - 1e-15).groupBy(*by).agg(
-        F.min("jsd").alias("median_jsd")
-    )
-    return agg.join(upper, by).join(n, by).drop("_n")
+    upper = quantiles(blended, by, "jsd", {"median_jsd": 0.5}, bounds=(0, 1), higher=True)
+    return agg.join(upper, by)
 
 
 def oracle_pick(rows: DataFrame, by: list[str], order: str) -> DataFrame:

@@ -82,9 +82,11 @@ def dense_index(df: DataFrame, by: list[str], key: str, name: str = "idx") -> Da
 
 
 def quantiles(
-    df: DataFrame, by: list[str], value: str, probs: dict[str, float], cells: int = CELLS, bounds=None
+    df: DataFrame, by: list[str], value: str, probs: dict[str, float], cells: int = CELLS, bounds=None, higher: bool = False
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles per group, one column per named probability.
+    """Exact quantiles per group, one column per named probability.
+
+    Between two values they are interpolated linearly, or take the ``higher`` one.
 
     Equal values are counted before anything is ordered, so a value shared by many rows
     costs one row. Cell counts give the cells holding the wanted ranks, and only their
@@ -94,41 +96,38 @@ def quantiles(
         df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     )
     d = _with_cells(values, by, "_v", cells, bounds)
-    per_cell = d.groupBy(*by, "_cell").agg(F.sum("_n").alias("_cn"))
-    whole = Window.partitionBy(*by)
+    # at most `cells` rows per group reach this window
     per_cell = (
-        per_cell.withColumn("_off", F.coalesce(F.sum("_cn").over(_before(by, "_cell")), F.lit(0)))
-        .withColumn("_total", F.sum("_cn").over(whole))
+        d.groupBy(*by, "_cell").agg(F.sum("_n").alias("_cn"))
+        .withColumn("_off", F.coalesce(F.sum("_cn").over(_before(by, "_cell")), F.lit(0)))
+        .withColumn("_total", F.sum("_cn").over(Window.partitionBy(*by)))
     )
-    wanted = F.array(
+    # the ranks each probability needs, kept on the cells that hold one of them
+    positions = F.array(
         *[
-            F.struct(
-                F.lit(name).alias("name"),
-                ((F.col("_total") - 1) * F.lit(float(q))).alias("pos"),
-            )
-            for name, q in probs.items()
+            F.struct(F.lit(i).alias("i"), ((F.col("_total") - 1) * F.lit(float(x))).alias("pos"))
+            for i, x in enumerate(probs.values())
         ]
     )
-    ranks = per_cell.withColumn("_w", F.explode(wanted))
-    ranks = ranks.withColumn("_r", F.explode(F.array_distinct(F.array(F.floor("_w.pos"), F.ceil("_w.pos")))))
-    ranks = ranks.where((F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_cn"))).select(
-        *by, "_cell", "_off", F.col("_w.name").alias("_q"), F.col("_w.pos").alias("_pos"), "_r"
-    )
-    hit_cells = ranks.select(*by, "_cell", "_off").distinct()
-    inside = d.join(hit_cells, [*by, "_cell"]).withColumn(
-        "_start",
-        F.col("_off")
-        + F.coalesce(F.sum("_n").over(_before([*by, "_cell"], "_v")), F.lit(0)),
-    )
-    found = ranks.drop("_off").join(inside.drop("_off"), [*by, "_cell"]).where(
-        (F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_start") + F.col("_n"))
+    end = F.col("_off") + F.col("_cn")
+    holds = lambda r: (r >= F.col("_off")) & (r < end)
+    wanted = F.filter(positions, lambda w: holds(F.floor(w["pos"])) | holds(F.ceil(w["pos"])))
+    targets = per_cell.withColumn("_w", wanted).where(F.size("_w") > 0).select(*by, "_cell", "_off", "_w")
+    inside = d.join(targets, [*by, "_cell"]).withColumn(
+        "_start", F.col("_off") + F.coalesce(F.sum("_n").over(_before([*by, "_cell"], "_v")), F.lit(0))
     )
-    lo = F.min("_v")
-    hi = F.max("_v")
-    frac = F.max("_pos") - F.floor(F.max("_pos"))
-    points = found.groupBy(*by, "_q").agg((lo + (hi - lo) * frac).alias("_x"))
-    return points.groupBy(*by).agg(
-        *[F.max(F.when(F.col("_q") == name, F.col("_x"))).alias(name) for name in probs]
+    here = lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_n"))
+    found = inside.withColumn("_w", F.explode("_w")).select(
+        *by, F.col("_w.i").alias("_i"), F.col("_w.pos").alias("_pos"), "_v",
+        here(F.floor("_w.pos")).alias("_lo"), here(F.ceil("_w.pos")).alias("_hi"),
+    ).where("_lo OR _hi")
+    pick = lambda i, side: F.max(F.when((F.col("_i") == i) & F.col(side), F.col("_v")))
+    frac = lambda i: F.max(F.when(F.col("_i") == i, F.col("_pos") - F.floor("_pos")))
+    return found.groupBy(*by).agg(
+        *[
+            (pick(i, "_hi") if higher else pick(i, "_lo") + (pick(i, "_hi") - pick(i, "_lo")) * frac(i)).alias(name)
+            for i, name in enumerate(probs)
+        ]
     )
 
 

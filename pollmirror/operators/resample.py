@@ -174,33 +174,29 @@ def proportion_ci(counts: DataFrame, resamples: int = 2000, seed: int = 42, conf
     Resampling n answers and counting one category is a binomial draw, so each row needs
     its count and total only.
     """
-    d = counts.withColumn("_id", F.xxhash64(*[F.col(c) for c in counts.columns]))
-    schema = T.StructType(d.schema.fields + [T.StructField("_below", T.DoubleType()), T.StructField("_reps", T.ArrayType(T.DoubleType()))])
+    d = counts.where("total > 0").withColumn("_id", F.xxhash64(*[F.col(c) for c in counts.columns]))
+    schema = T.StructType(d.schema.fields + [T.StructField("ci_lower", T.DoubleType()), T.StructField("ci_upper", T.DoubleType())])
+    edge = 1.0 / (resamples + 1)
+    ends = [SP.normal_quantile_number(q) for q in ((1.0 - confidence) / 2.0, (1.0 + confidence) / 2.0)]
+
+    def interval(seeded: int, count: int, total: int) -> tuple[float, float]:
+        p = count / total
+        if total < 5:
+            return p, p
+        draws = np.sort(np.random.default_rng([seed, seeded & 0xFFFFFFFFFFFFFFFF]).binomial(total, p, resamples))
+        z0 = SP.normal_quantile_number(min(1.0 - edge, max(edge, float((draws < count).mean()))))
+        skew = (1.0 - 2.0 * p) / np.sqrt(p * (1.0 - p)) if 0.0 < p < 1.0 else 0.0
+        accel = skew / (6.0 * np.sqrt(total))
+        at = [SP.normal_cdf_number(z0 + (z0 + z) / (1.0 - accel * (z0 + z))) for z in ends]
+        lo, hi = (draws[int(min(1.0 - edge, max(edge, a)) * resamples)] / total for a in at)
+        return float(lo), float(hi)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            below, reps = [], []
-            for i, c, n in zip(pdf["_id"], pdf["count"], pdf["total"]):
-                x = np.sort(np.random.default_rng([seed, int(i) & 0xFFFFFFFFFFFFFFFF]).binomial(n, c / n, resamples))
-                below.append(float((x < c).mean()))
-                reps.append(x / n)
-            yield pdf.assign(_below=below, _reps=reps)
-
-    r = d.where("total > 0").mapInPandas(draw, schema)
-    lo, hi = 1.0 / (resamples + 1), resamples / (resamples + 1.0)
-    clamp = lambda c: F.greatest(F.lit(lo), F.least(F.lit(hi), c))
-    p = F.col("count") / F.col("total")
-    skew = F.when((p > 0) & (p < 1), (F.lit(1.0) - p * 2) / F.sqrt(p * (F.lit(1.0) - p))).otherwise(F.lit(0.0))
-    r = r.withColumn("_z0", SP.normal_quantile(clamp(F.col("_below")))).withColumn("_a", skew / (F.sqrt("total") * 6.0))
-    alpha = (1.0 - confidence) / 2.0
-
-    def bound(q):
-        z = F.col("_z0") + SP.normal_quantile(F.lit(q))
-        a = clamp(SP.normal_cdf(F.col("_z0") + z / (F.lit(1.0) - F.col("_a") * z)))
-        at = F.when(F.col("total") >= 5, F.element_at("_reps", F.floor(a * resamples).cast("int") + 1))
-        return F.coalesce(at, p)
+            found = [interval(int(i), int(c), int(n)) for i, c, n in zip(pdf["_id"], pdf["count"], pdf["total"])]
+            yield pdf.assign(ci_lower=[f[0] for f in found], ci_upper=[f[1] for f in found])
 
-    return r.withColumn("ci_lower", bound(alpha)).withColumn("ci_upper", bound(1.0 - alpha)).drop("_id", "_below", "_reps", "_z0", "_a")
+    return d.mapInPandas(draw, schema).drop("_id")
 
 
 # --- split-half ceilings -------------------------------------------------------------

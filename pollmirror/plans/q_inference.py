@@ -15,7 +15,7 @@ from .oracle import hex8, jsd_of
 from .q_rollups import WAVE_LONG, policies
 from .registry import query
 
-R = 100  # replicates of the hash-drawn checks
+R = 50  # replicates of the hash-drawn checks
 
 
 # --- SQL helpers --------------------------------------------------------------------

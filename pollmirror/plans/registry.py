@@ -16,12 +16,15 @@ ORACLES: dict[str, str] = {}
 
 
 def tidy(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round doubles once at the sink and widen integers, so both engines agree on types."""
+    """Round doubles at the sink and widen integers, so both engines agree on types.
+
+    The first, finer rounding settles exact ties that carry floating point noise.
+    """
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), places) + F.lit(0.0)
+            c = F.round(F.round(c.cast("double"), places + 6), places) + F.lit(0.0)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         cols.append(c.alias(f.name))
@@ -36,7 +39,7 @@ def query(name: str, body: str | None = None, doubles: str = "", ints: str = "",
         QUERIES[name] = lambda spark, sf_dir: tidy(fn(Survey.open(spark, sf_dir)))
         if body is not None:
             text = body.strip()
-            swaps = [f"round({c}, 6) + 0e0 AS {c}" for c in doubles.split()]
+            swaps = [f"round(round({c}, 12), 6) + 0e0 AS {c}" for c in doubles.split()]
             swaps += [f"CAST({c} AS BIGINT) AS {c}" for c in ints.split()]
             if swaps:
                 text = f"SELECT * REPLACE ({', '.join(swaps)}) FROM ({text})"
