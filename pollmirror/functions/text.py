@@ -9,10 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import tables as T
-
-
-def _sql_text(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+from .distance import bind
 
 
 def topic(text: Column, taxonomy: dict[str, list[str]] | None = None) -> Column:
@@ -20,12 +17,16 @@ def topic(text: Column, taxonomy: dict[str, list[str]] | None = None) -> Column:
 
     Plain substring tests short-circuit in taxonomy order; the whole text is searched.
     """
-    low = F.lower(text)
-    out = None
-    for name, words in (taxonomy or T.TOPICS).items():
-        hit = reduce(lambda a, b: a | b, [low.contains(w) for w in words])
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return F.when(text.isNull() | (text == ""), None).otherwise(out.otherwise(T.FALLBACK_TOPIC))
+
+    def first(low):
+        out = None
+        for name, words in (taxonomy or T.TOPICS).items():
+            hit = reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+            out = F.when(hit, name) if out is None else out.when(hit, name)
+        return out.otherwise(T.FALLBACK_TOPIC)
+
+    # bound, so the text is lower-cased once and not once per keyword
+    return F.when(text.isNull() | (text == ""), None).otherwise(bind(F.lower(text), first))
 
 
 def is_refusal_text(text: Column) -> Column:

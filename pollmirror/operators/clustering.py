@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -81,7 +83,7 @@ def cluster_patterns(points: DataFrame, by: list[str], min_k: int = 2, max_k: in
         + [T.StructField("pattern", T.StringType()), T.StructField("size", T.LongType()), T.StructField("cluster", T.LongType()), T.StructField("n_clusters", T.LongType()), T.StructField("silhouette", T.DoubleType())]
     )
 
-    def run(keys, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(keys: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(_p=["|".join(p) for p in pdf["pattern"]]).sort_values("_p")
         codes = pd.factorize(np.concatenate([np.asarray(list(p), dtype=object) for p in pdf["pattern"]]))[0]
         x = codes.reshape(len(pdf), -1)

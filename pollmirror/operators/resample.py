@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,14 @@ def _number(*parts) -> int:
     return int.from_bytes(hashlib.sha256("|".join(map(str, parts)).encode()).digest()[:8], "big")
 
 
+def spread(df: DataFrame, by: list[str]) -> DataFrame:
+    """Even partitions for a CPU-bound kernel. The explicit number keeps adaptive execution
+    from merging them because their bytes are few."""
+    spark = df.sparkSession
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    return df.repartition(n, *by)
+
+
 # --- bootstrap replicates of a mean -------------------------------------------------
 
 
@@ -65,7 +74,7 @@ def boot_means(df: DataFrame, by: list[str], key: str, value: str, resamples: in
     rows = d.select(*by, "_chunk", "_key", "_x").withColumn("_ids", F.lit(None).cast("array<int>")).withColumn("_sizes", F.lit(None).cast("array<bigint>"))
     names = list(by)
 
-    def draw(keys, pdf: pd.DataFrame) -> pd.DataFrame:
+    def draw(keys: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         head = pdf[pdf["_sizes"].notna()].iloc[0]
         data = pdf[pdf["_sizes"].isna()].sort_values(["_key", "_x"])["_x"].to_numpy()
         sizes_ = np.asarray(head["_sizes"], dtype=np.int64)
@@ -249,7 +258,7 @@ def ceiling(counts: DataFrame, metric: str = "jsd", resamples: int = 1000, seed:
             yield pdf.assign(**{k: [r[i] for r in rows] for i, k in enumerate(("mean", "ci_low", "ci_high"))})
 
     total = F.aggregate("counts", F.lit(0.0), lambda a, x: a + x)
-    d = counts.where(total > 0).repartition(*[c for c in counts.columns if c != "counts"][:2])
+    d = spread(counts.where(total > 0), [c for c in counts.columns if c != "counts"][:2])
     return d.mapInPandas(run, schema).withColumn("n_effective", total.cast("bigint")).withColumn("flag", quality_flag(total))
 
 
@@ -329,7 +338,7 @@ def curve_bootstrap(questions: DataFrame, sizes: Sequence[int] = SAMPLE_SIZES, r
     cell is seeded by its own key.
     """
     grid = questions.select("dataset", "key", F.col("p_human").alias("p"), F.explode(F.array(*[F.lit(int(s)) for s in sizes])).alias("n"))
-    grid = grid.where(F.size("p") > 0).repartition("key", "n")
+    grid = spread(grid.where(F.size("p") > 0), ["key", "n"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
