@@ -331,35 +331,65 @@ def multinomial_hash(questions: DataFrame, n: int, replicates: int = 1, seed: in
     return d.groupBy("key", "b", hit.alias("option")).agg(F.count("*").alias("draws"))
 
 
-def curve_bootstrap(questions: DataFrame, sizes: Sequence[int] = SAMPLE_SIZES, replicates: int = 500, seed: int = 42) -> DataFrame:
-    """Mean, p10 and p90 of the JSD between a sample of n and its population, per (question, n).
+CURVE = "dataset string, key string, n long, jsd_mean double, jsd_p10 double, jsd_p90 double, replicates long"
 
-    ``questions``: dataset, key, p_human. The (question, n) grid is spread evenly; every
-    cell is seeded by its own key.
-    """
-    grid = questions.select("dataset", "key", F.col("p_human").alias("p"), F.explode(F.array(*[F.lit(int(s)) for s in sizes])).alias("n"))
-    grid = spread(grid.where(F.size("p") > 0), ["key", "n"])
+
+def _curve(grid: DataFrame, draw, replicates: int, seed: int) -> DataFrame:
+    """Curve points of (dataset, key, w, n) rows; ``draw(rng, w, n)`` gives replicate shares and the population."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for ds, key, p, n in zip(pdf["dataset"], pdf["key"], pdf["p"], pdf["n"]):
-                p = np.maximum(np.asarray(p, dtype=np.float64), 0.0)
-                if p.sum() <= 0:
-                    d = np.ones(replicates)
-                else:
-                    p = p / p.sum()
-                    rng = np.random.default_rng(_number(seed, ds, key, n))
-                    d = _jsd_rows(rng.multinomial(n, p, size=replicates) / n, np.broadcast_to(p, (replicates, len(p))))
+            for ds, key, w, n in zip(pdf["dataset"], pdf["key"], pdf["w"], pdf["n"]):
+                sample, full = draw(np.random.default_rng(_number(seed, ds, key, n)), np.asarray(w), int(n))
+                d = _jsd_rows(sample, np.broadcast_to(full, sample.shape))
                 lo, hi = np.percentile(d, [10, 90])
                 out.append((ds, key, n, float(d.mean()), lo, hi, replicates))
             yield pd.DataFrame(out, columns=["dataset", "key", "n", "jsd_mean", "jsd_p10", "jsd_p90", "replicates"])
 
-    return grid.mapInPandas(run, "dataset string, key string, n long, jsd_mean double, jsd_p10 double, jsd_p90 double, replicates long")
+    return spread(grid, ["key", "n"]).mapInPandas(run, CURVE)
+
+
+def _sizes(sizes: Sequence[int]) -> Column:
+    return F.explode(F.array(*[F.lit(int(s)) for s in sizes]))
+
+
+def curve_bootstrap(questions: DataFrame, sizes: Sequence[int] = SAMPLE_SIZES, replicates: int = 500, seed: int = 42) -> DataFrame:
+    """Mean, p10 and p90 of the JSD between a sample of n and its population, per (question, n).
+
+    ``questions``: dataset, key, p_human. The (question, n) grid is spread evenly; every
+    cell is seeded by its own key.
+    """
+
+    def draw(rng, w, n):
+        p = np.maximum(w.astype(np.float64), 0.0)
+        if p.sum() <= 0:
+            return np.tile(np.eye(2)[0], (replicates, 1)), np.eye(2)[1]
+        p = p / p.sum()
+        return rng.multinomial(n, p, size=replicates) / n, p
+
+    grid = questions.where(F.size("p_human") > 0).select("dataset", "key", F.col("p_human").alias("w"), _sizes(sizes).alias("n"))
+    return _curve(grid, draw, replicates, seed)
+
+
+def curve_real_counts(questions: DataFrame, sizes: Sequence[int] = SAMPLE_SIZES, replicates: int = 500, seed: int = 42) -> DataFrame:
+    """The curve of respondents drawn without replacement, from a question's option counts alone.
+
+    Tallying n respondents drawn without replacement is a multivariate hypergeometric draw
+    from the option counts, so no respondent row is copied: this is the path for large
+    microdata. Sizes above the pool are skipped. ``questions``: dataset, key, counts, n.
+    """
+
+    def draw(rng, w, n):
+        c = w.astype(np.int64)
+        return rng.multivariate_hypergeometric(c, n, size=replicates, method="marginals") / n, c / c.sum()
+
+    d = questions.select("dataset", "key", F.col("counts").alias("w"), F.col("n").alias("_pool"), _sizes(sizes).alias("n"))
+    return _curve(d.where(F.col("n") <= F.col("_pool")).drop("_pool"), draw, replicates, seed)
 
 
 def curve_real(answers: DataFrame, sizes: Sequence[int] = SAMPLE_SIZES, replicates: int = 500, seed: int = 42) -> DataFrame:
-    """The same curve from subsampling respondents without replacement.
+    """The same curve by hash order of the respondent rows; SQL engines get the same draws.
 
     Per replicate the respondents of a question are put in hash order once and every n
     takes its prefix, so points of one replicate at different n are correlated; each

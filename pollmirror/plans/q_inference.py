@@ -415,6 +415,11 @@ def curve_real(s):
     return real(s)
 
 
+@query("curve_real_kernel")
+def curve_real_kernel(s):
+    return B.curve_real_counts(s.questions, (10, 20, 50), 100)
+
+
 # curves with a closed form over the tables: the mean shrinks with n from a question's own spread
 FLAT_SQL = "SELECT dataset, key, s.n, 0.3e0 * k / s.n + CASE WHEN total < 25 THEN 0.015e0 ELSE 0e0 END AS jsd_mean FROM (SELECT dataset, key, count(*) AS k, CAST(sum(n) AS BIGINT) AS total FROM qopt GROUP BY ALL), (VALUES (20), (50), (100), (200), (500), (1000)) s(n) WHERE s.n <= total * 20"
 CONV_SQL = "SELECT dataset, key, arg_min(CASE WHEN l2 IS NOT NULL THEN n END, n) FILTER (ok) AS convergence_n, min(n) FILTER (ok) AS first_ok, arg_min(l2 IS NOT NULL, n) FILTER (ok) AS has FROM (SELECT *, jsd_mean < 0.02e0 AND (l2 IS NULL OR greatest(jsd_mean - l1, jsd_mean - l2) <= 0.005e0) AS ok FROM (SELECT *, lead(jsd_mean, 1) OVER w AS l1, lead(jsd_mean, 2) OVER w AS l2 FROM cv WINDOW w AS (PARTITION BY key ORDER BY n))) GROUP BY dataset, key"
@@ -446,7 +451,7 @@ def curve_compare(s):
 
 @query("j_real_vs_bootstrap")
 def j_real_vs_bootstrap(s):
-    return B.curve_compare(real(s), B.curve_bootstrap(s.questions, (20, 50), 100))
+    return B.curve_compare(B.curve_real_counts(s.questions, (20, 50), 100), B.curve_bootstrap(s.questions, (20, 50), 100))
 
 
 @query("curve_payload", "SELECT c.dataset, c.key, n, jsd_mean, p.tier FROM cv c JOIN policies p ON p.dataset = split_part(c.dataset, ' ', 1) WHERE p.tier IN ('full', 'gated')", "jsd_mean", "n", ctes="qopt policies", cv=FLAT_SQL)

@@ -156,6 +156,17 @@ def test_real_curve_skips_sizes_above_the_pool(spark):
     assert set(rows) == {10, 30} and rows[30].jsd_mean == pytest.approx(0.0, abs=1e-12) and rows[10].replicates == 4
 
 
+def test_real_curve_from_counts_has_the_same_law(spark):
+    rows = [("d", "k", f"r{i}", "abc"[min(i % 5, 2)]) for i in range(60)]
+    d = spark.createDataFrame(rows, "dataset string, key string, respondent string, option string")
+    q = spark.createDataFrame([("d", "k", [12, 12, 36], 60)], "dataset string, key string, counts array<long>, n long")
+    a = {r.n: r for r in B.curve_real(d, (10, 30), 200).collect()}
+    b = {r.n: r for r in B.curve_real_counts(q, (10, 30, 100), 2000).collect()}
+    assert set(b) == {10, 30}
+    for n in (10, 30):
+        assert a[n].jsd_mean == pytest.approx(b[n].jsd_mean, rel=0.25)
+
+
 def test_counts_from_probs(spark):
     cases = [([1 / 3, 1 / 3, 1 / 3], 500), ([0.125] * 8, 500), ([0.7, 0.3], 500)]
     d = spark.createDataFrame([(p,) for p, _ in cases], "p array<double>")
