@@ -10,7 +10,6 @@ from ..operators import agreement as A
 from ..operators import clustering as C
 from ..operators import resample as B
 from ..operators import scoring as S
-from ..operators.rollups import with_tier
 from .oracle import hex8, jsd_of
 from .q_rollups import WAVE_LONG, policies
 from .registry import query

@@ -9,7 +9,7 @@ from ..functions import provider as P
 from ..functions import tables as T
 from ..functions import text as X
 from ..operators import scoring as S
-from .oracle import YEAR_OF_SURVEY, hex8, jsd_of, parity_of, private, tau_cte, topic_case
+from .oracle import YEAR_OF_SURVEY, jsd_of, private, tau_cte
 from .registry import query
 
 LONG = "run_id, key, option"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import distance as D
 from ..operators import quality as V
 from ..operators import scoring as S
 from .oracle import parity_of, private

@@ -6,7 +6,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from pollmirror.operators import quality as V
 from pollmirror.operators import scoring as S
