@@ -96,7 +96,7 @@ def battery(token: Column) -> Column:
     Against prose speak few equal characters and many changes between digits, capitals and small
     letters, both measured with the spread that a token of this length has. Randomness is tested
     by chi-squared uniformity over the inferred alphabet, the runs above and below its middle,
-    and the correlation of neighbours. Padding at the end is not looked at.
+    and the correlation of neighbours. Padding at the end is not looked at; fewer than two characters give null.
     """
     body = F.regexp_replace(token, "=+$", "")
     chars = F.split(body, "")
@@ -144,7 +144,7 @@ def battery(token: Column) -> Column:
             F.length(F.bin(n.cast("bigint"))).alias("cls"),
         )
 
-    return F.transform(F.array(base), judged)[0]
+    return F.when(F.length(body) > 1, F.transform(F.array(base), judged)[0])
 
 
 
