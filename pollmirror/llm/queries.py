@@ -10,18 +10,23 @@ from .bpe import bpe_digests
 from .common import load
 from .exact_dedup import EXACT_SQL, exact_dedup
 from .language_id import identify_languages
+from .licenses import scan_licenses
 from .mixing import mix_report, mix_sql
+from .near_dedup import near_duplicates
 from .secrets import scan_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": lambda s, d: identify_languages(load(s, d, "documents")),
     "op2_mix_sources": lambda s, d: mix_report(load(s, d, "documents")),
+    "op5_near_dedup": lambda s, d: near_duplicates(load(s, d, "documents")),
     "op6_exact_dedup": lambda s, d: exact_dedup(load(s, d, "documents")),
+    "op7_license_scan": lambda s, d: scan_licenses(load(s, d, "documents")).drop("spans"),
     "op9_secret_scan": lambda s, d: scan_secrets(load(s, d, "documents")),
     "op10_bpe": lambda s, d: bpe_digests(load(s, d, "documents")),
 }
 ORACLES: dict[str, str] = {
     "op1_language_id": lambda s, d: identify_languages(load(s, d, "documents")),
     "op2_mix_sources": f"SELECT doc_id, size, source_size, target, taken, copies FROM ({mix_sql()})",
+    "op5_near_dedup": lambda s, d: near_duplicates(load(s, d, "documents")),
     "op6_exact_dedup": EXACT_SQL,
 }
