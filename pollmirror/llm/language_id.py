@@ -195,3 +195,21 @@ def predict_languages(docs: DataFrame, model: Filters, text: str = "text", id_co
 def identify_languages(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """Fit on the rows outside the held-out fifth, predict for all rows."""
     return predict_languages(docs, fit_filters(docs.where(fold(id_col, 5) != 0), text, lang, id_col), text, id_col)
+
+
+def keep_languages(docs: DataFrame, model: Filters, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language.
+
+    Rejected are texts predicted ``und`` and texts with a score of 0, which no filter knows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                b = batch.slice(start, 512)
+                lang, score = shared.value.predict(b.column(at).to_pylist())
+                yield b.filter(pa.array([x != UND and s > 0 for x, s in zip(lang, score)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
