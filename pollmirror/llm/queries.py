@@ -34,10 +34,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
-    "op1_language_id": lambda s, d: identify_languages(load(s, d, "documents")),
     "op2_mix_sources": f"SELECT doc_id, size, source_size, target, taken, copies FROM ({mix_sql()})",
-    "op3_nearest_neighbours": lambda s, d: nearest(load(s, d, "embeddings")),
-    "op4_quality": lambda s, d: classify_quality(load(s, d, "documents"), load(s, d, "labels")),
-    "op5_near_dedup": lambda s, d: near_duplicates(load(s, d, "documents")),
     "op6_exact_dedup": EXACT_SQL,
 }
