@@ -22,6 +22,8 @@ from .common import LOWER, mix64, slices, text_of, word_hashes, written
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
 WORDS, PERCENT = 4, 80
+#: 64-bit words of a parity sketch.
+PARITY = 32
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -71,6 +73,36 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return key
 
 
+def parities(sets: list[np.ndarray], words: int = PARITY) -> np.ndarray:
+    """One row of ``words`` words per set: bit i is the parity of the elements hashed to i.
+
+    Every element that only one of two sets has flips one bit, so their words never differ in
+    more bits than the sets differ in elements.
+    """
+    x = mix64(np.concatenate(sets)) if len(sets) else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    out = np.zeros(len(sets) * words, np.uint64)
+    at = owner * words + ((x >> np.uint64(6)) % np.uint64(words)).astype(np.int64)
+    np.bitwise_xor.at(out, at, np.uint64(1) << (x & np.uint64(63)))
+    return out.reshape(len(sets), words)
+
+
+def parity_table(texts: DataFrame, k: int) -> DataFrame:
+    """cls, its band keys and parity words w0, w1, ... of every row (doc_id, t)."""
+    names = [f"w{i}" for i in range(PARITY)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch["t"].cast(pa.binary()).to_pylist()
+            for a, b in slices(raw):
+                sets = shingle_sets(raw[a:b], k)
+                bits, keys = parities(sets).view(np.int64), band_keys(sketches(sets)).view(np.int64)
+                bands = pa.array(list(keys), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), bands, *map(pa.array, bits.T.copy())], ["cls", "bands", *names])
+
+    return texts.select("doc_id", "t").mapInArrow(run, "cls bigint, bands array<bigint>, " + ", ".join(f"{n} bigint" for n in names))
+
+
 def sketch_table(docs: DataFrame, text: str, id_col: str, k: int) -> DataFrame:
     """doc_id, n_shingles, the 128-bit digest (d1, d2) of the shingle set, and its band keys."""
 
@@ -139,9 +171,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     Documents of equal shingle sets are one class. In every band bucket each class is first
     compared with the bucket's least one. Buckets that then lie in one component have nothing
-    left to find; in the others every class outside the bucket's largest component is compared
-    with all classes of other components. So no link is lost that shares a bucket, and a group
-    of copies costs about one comparison per copy.
+    left to find; in the others every class outside the bucket's largest component is held
+    against all classes of other components, by size and parity words, which never rule out a
+    linked pair; the pairs left are confirmed on full sets. So no link is lost that shares a
+    bucket, and a group of copies costs about one comparison per copy. Many texts that share
+    buckets but are not linked still cost one parity test per pair and bucket.
 
     ``kept`` is doc_id = component_id, the least id reachable over links. A null or empty text,
     or one without words, has no shingles and is linked with nothing; a row with a null id is
@@ -170,9 +204,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     parts = inside.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
     largest = parts.groupBy("key").agg(F.max(F.struct("m", "root")).getField("root").alias("top"), F.count(F.lit(1)).alias("n_parts")).where("n_parts > 1")
     mixed = written(inside.join(largest.select("key", "top"), "key"), "mixed")
-    outside = mixed.where("root <> top").select("key", F.col("cls").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"))
-    cross = outside.join(mixed.select("key", "cls", "n", "root"), "key").where((F.col("root") != F.col("root_x")) & near(F.col("n"), F.col("n_x")))
-    cross = cross.select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    open_ids = mixed.select(F.col("cls").alias("doc_id")).distinct()
+    signs = written(parity_table(texts.join(open_ids, "doc_id", "left_semi"), k), "parities")
+    signed = mixed.join(signs, "cls").withColumn("out", F.col("root") != F.col("top")).drop("top")
+    left = signed.where("out").select([F.col(c).alias(f"{c}_x") for c in signed.columns]).withColumnRenamed("key_x", "key")
+    flips = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"w{i}_x"))) for i in range(PARITY)), F.lit(0))
+    once = (~F.col("out") | (F.col("cls") > F.col("cls_x"))) & (F.array_min(F.array_intersect("bands", "bands_x")) == F.col("key"))
+    apart = (F.col("root") != F.col("root_x")) & near(F.col("n"), F.col("n_x"))
+    right = signed.withColumnRenamed("key", "key_y")
+    cross = left.join(right, (F.col("key") == F.col("key_y")) & apart & ((100 + percent) * flips <= (100 - percent) * (F.col("n") + F.col("n_x"))) & once)
+    cross = cross.select(F.least("cls_x", "cls").alias("a"), F.greatest("cls_x", "cls").alias("b")).join(star, ["a", "b"], "left_anti")
     cross = written(cross, "cross")
     if not cross.isEmpty():
         labels = components(written(links.union(verified(cross, texts, k, percent)), "links"))
