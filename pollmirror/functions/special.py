@@ -50,29 +50,38 @@ def normal_cdf(x: Column, terms: int = 200) -> Column:
     return F.when(x <= -8, F.lit(0.0)).when(x >= 8, F.lit(1.0)).otherwise(F.lit(0.5) + density * series)
 
 
-def _log_gamma_half(df: Column) -> Column:
-    """log gamma(df / 2 + 1) for a whole df."""
-    odd = (df % 2) == 1
-    steps = F.sequence(F.lit(1), F.greatest(F.ceil(df / 2.0), F.lit(1)).cast("int"))
-    whole = F.aggregate(steps, F.lit(0.0), lambda a, j: a + F.when(j <= df / 2.0, F.log(j.cast("double"))).otherwise(0.0))
-    half = F.aggregate(steps, F.lit(0.5723649429247001), lambda a, j: a + F.log(j.cast("double") - 0.5))
-    return F.when(odd, half).otherwise(whole)
-
-
-def chi2_tail(x: Column, df: Column, terms: int = 300) -> Column:
-    """Upper tail of the chi-squared distribution."""
-    a, z = df / 2.0, x / 2.0
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(terms)),
-        F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
-        lambda acc, n: bind(acc["t"] * z / (a + n), lambda t: F.struct(t.alias("t"), (acc["s"] + t).alias("s"))),
-        lambda acc: acc["s"],
-    )
-    lower = F.exp(-z + a * F.log(z) - _log_gamma_half(df)) * series
-    return (
-        F.when(x <= 0, F.lit(1.0)).when(df <= 0, F.lit(0.0))
-        .otherwise(F.lit(1.0) - F.greatest(F.lit(0.0), F.least(F.lit(1.0), lower)))
+def _upper_normal(x: Column, levels: int = 120) -> Column:
+    """P(|Z| > x) of a normal Z for x >= 0: one minus the series up to 2, a continued fraction beyond."""
+    fraction = F.aggregate(
+        F.sequence(F.lit(levels), F.lit(1), F.lit(-1)), x.cast("double"), lambda acc, n: x + n.cast("double") / acc
     )
+    far = F.exp(-(x * x) / 2.0) * 0.7978845608028654 / fraction
+    return F.when(x < 2.0, (F.lit(1.0) - normal_cdf(F.least(x, F.lit(2.0)))) * 2.0).otherwise(far)
+
+
+def chi2_tail(x: Column, df: Column) -> Column:
+    """Upper tail of the chi-squared distribution for a whole df.
+
+    A finite sum of positive terms z^j / gamma(j + 1) e^-z, z = x / 2, over the whole j < df / 2
+    for an even df and the half ones for an odd df, which also has the normal tail. Terms are
+    carried as logarithms, so none overflows and nothing cancels.
+    """
+
+    def tail(z: Column) -> Column:
+        odd = (df % 2) == 1
+        first = F.when(odd, F.log(z) * 0.5 + 0.12078223763524522).otherwise(F.lit(0.0)) - z
+        count = F.when(odd, F.floor((df - 1) / 2.0)).otherwise(F.floor(df / 2.0)).cast("int")
+        shift = F.when(odd, F.lit(0.5)).otherwise(F.lit(0.0))
+        steps = F.when(count > 1, F.sequence(F.lit(1), F.greatest(count - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        total = F.aggregate(
+            steps,
+            F.struct(first.alias("t"), F.when(count > 0, F.exp(first)).otherwise(F.lit(0.0)).alias("s")),
+            lambda acc, j: bind(acc["t"] + F.log(z) - F.log(j + shift), lambda t: F.struct(t.alias("t"), (acc["s"] + F.exp(t)).alias("s"))),
+            lambda acc: acc["s"],
+        )
+        return F.least(F.lit(1.0), total + F.when(odd, _upper_normal(F.sqrt(z * 2.0))).otherwise(F.lit(0.0)))
+
+    return F.when(x <= 0, F.lit(1.0)).when(df <= 0, F.lit(0.0)).otherwise(bind(F.greatest(x.cast("double"), F.lit(1e-300)) / 2.0, tail))
 
 
 def normal_quantile_number(p: float) -> float:

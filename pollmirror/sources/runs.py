@@ -23,18 +23,20 @@ RUN_SCHEMA = f"""
     per_question array<struct<key:string,text:string,options:array<string>,human_distribution:map<string,double>,
         model_distribution:map<string,double>,jsd:double,kendall_tau:double,parity:double,n_samples:int,n_parse_failures:int,
         temporal_year:int,model_refusal_rate:double,human_refusal_rate:double,
-        token_usage:struct<input_tokens:bigint,output_tokens:bigint,call_count:bigint>>>,
-    _corrupt_record string"""
+        token_usage:struct<input_tokens:bigint,output_tokens:bigint,call_count:bigint>>>"""
 
 
 def scan_runs(spark: SparkSession, path: str, marker: str) -> DataFrame:
-    """Typed documents of one folder; unreadable files and foreign documents are left out."""
-    d = (
-        spark.read.schema(RUN_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record").option("pathGlobFilter", "*.json").json(path)
-        .withColumn("run_id", X.file_stem(F.col("_metadata.file_name")))
-    )
-    d = d.where(F.col("_corrupt_record").isNull() & (F.col("benchmark") == marker)).drop("_corrupt_record")
+    """Typed documents of one folder; texts that are no JSON object and foreign documents are left out.
+
+    Every field is read at its own type: one of another type is null, and the rest of its
+    document stays, whichever columns are asked for.
+    """
+    text = F.col("raw")
+    doc = F.try_parse_json(text)
+    # literals such as NaN and repeated keys are read by the JSON functions alone
+    typed = F.when(doc.isNotNull(), F.try_variant_get(doc, "$", f"struct<{RUN_SCHEMA}>")).otherwise(F.from_json(text, RUN_SCHEMA))
+    d = scan_bronze(spark, path).select("run_id", typed.alias("d")).where(F.col("d.benchmark") == marker).select("d.*", "run_id")
     return d.withColumn("ts", X.run_timestamp(F.col("run_id"), F.col("timestamp")))
 
 

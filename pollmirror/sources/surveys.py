@@ -20,13 +20,19 @@ SKIPPED_SUBKEYS = ["MC_options", "question_text"]
 
 
 def read_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
-    """CSV with a header, all columns as text, plus ``seq``; missing columns are an error."""
+    """CSV with a header, all columns as text, plus ``seq``; missing columns are an error.
+
+    ``seq`` orders lines by file, then block of the file, then place in the block. Numbers in
+    file names count as numbers, so part 2 comes before part 10.
+    """
     d = spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(path)
-    d = d.toDF(*[c.lstrip("﻿") for c in d.columns])
+    file = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), r"(\d+)", "0" * 20 + "$1"), r"\d*(\d{20})", "$1")
+    place = F.struct(file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    d = d.select(*[F.col(f"`{c}`").alias(c.lstrip("﻿")) for c in d.columns], place.alias("seq"))
     missing = [c for c in required if c not in d.columns]
     if missing:
         raise ValueError(f"{path} lacks columns {missing}")
-    return d.withColumn("seq", F.monotonically_increasing_id())
+    return d
 
 
 def read_wave_files(spark: SparkSession, root: str) -> DataFrame:
@@ -177,9 +183,13 @@ def wave_questions(files: DataFrame, info: DataFrame, key_prefix: bool = False)
 
 
 def group_distributions(counts: DataFrame, wave_order: str = "wave_dir") -> DataFrame:
-    """Counts -> shares per (question, group); unnamed groups out, the latest wave's question wins."""
+    """Counts -> shares per (question, group); unnamed groups out, the latest wave's question wins.
+
+    Waves are ordered by the number in their name, then by name.
+    """
     d = shares(counts.where("group <> 'nan'"), [wave_order, "attribute", "key", "group"], "n")
-    latest = d.groupBy("attribute", "key").agg(F.max(wave_order).alias(wave_order))
+    number = F.regexp_extract(F.col(wave_order).cast("string"), r"(\d+)", 1).try_cast("bigint")
+    latest = d.groupBy("attribute", "key").agg(F.max_by(wave_order, F.struct(number, wave_order)).alias(wave_order))
     return d.join(latest, ["attribute", "key", wave_order])
 
 

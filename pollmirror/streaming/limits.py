@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,9 +16,11 @@ LIMIT, WINDOW_SECONDS = 60, 3600
 def rate_limit(stream: DataFrame, limit: int = LIMIT, seconds: int = WINDOW_SECONDS, delay: str = "1 hour") -> DataFrame:
     """Mark each submission allowed or not: refused once ``limit`` accepted ones lie in the trailing window.
 
-    The count is taken before the new row, and refused rows do not count, so a key's state
-    never holds more than ``limit`` times however many rows the key has. ``stream``: id,
-    api_key, submitted_at.
+    The count is taken before the new row, and refused rows do not count. A key's rows of a
+    micro-batch are decided in time order (ties by id), however many Arrow batches they come in;
+    a late row counts the accepted ones in its own trailing window. A key's state holds the
+    accepted times that a row within the watermark can still reach: at most ``limit`` per window
+    of the allowed delay. ``stream``: id, api_key, submitted_at.
     """
     out = "id long, api_key long, submitted_at timestamp, allowed boolean"
 
@@ -26,19 +28,18 @@ def rate_limit(stream: DataFrame, limit: int = LIMIT, seconds: int = WINDOW_SECO
         if state.hasTimedOut:
             state.remove()
             return
-        times: deque = deque(state.get[0] if state.exists else [])
-        for pdf in frames:
-            pdf = pdf.sort_values(["submitted_at", "id"])
-            flags = []
-            for ts in pdf["submitted_at"].astype("datetime64[us]").astype("int64") / 1e6:
-                while times and times[0] < ts - seconds:
-                    times.popleft()
-                ok = len(times) < limit
-                if ok:
-                    times.append(float(ts))
-                flags.append(ok)
-            yield pdf.assign(allowed=flags)[["id", "api_key", "submitted_at", "allowed"]]
-        state.update((list(times),))
+        times: list[float] = list(state.get[0]) if state.exists else []
+        rows = pd.concat(frames).sort_values(["submitted_at", "id"], kind="stable")
+        flags = []
+        for ts in (rows["submitted_at"].astype("datetime64[us]").astype("int64") / 1e6).tolist():
+            end = bisect_right(times, ts)
+            ok = end - bisect_left(times, ts - seconds) < limit
+            if ok:
+                times.insert(end, ts)
+            flags.append(ok)
+        yield rows.assign(allowed=flags)[["id", "api_key", "submitted_at", "allowed"]]
+        times = times[bisect_left(times, state.getCurrentWatermarkMs() / 1000 - seconds) :]
+        state.update((times,))
         if times:
             state.setTimeoutTimestamp(max(int((times[-1] + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
 

@@ -113,6 +113,13 @@ def test_tails(spark):
     d = spark.createDataFrame([(14.0, 2), (3.84, 1), (7.3, 5), (0.0, 3)], "x double, k int")
     got = [r[0] for r in d.select(SP.chi2_tail(F.col("x"), F.col("k"))).collect()]
     assert got == pytest.approx([math.exp(-7.0), math.erfc(math.sqrt(3.84 / 2)), 0.19926, 1.0], abs=1e-4)
+    xs = [0.01, 0.5, 3.0, 7.9, 8.1, 50.0, 600.0, 1000.0, 1400.0, 1e4, 1e6]
+    d = spark.createDataFrame([(x,) for x in xs], "x double")
+    one, four, big = zip(*[tuple(r) for r in d.select(*[SP.chi2_tail(F.col("x"), F.lit(k)) for k in (1, 4, 1000)]).collect()])
+    assert one == pytest.approx([math.erfc(math.sqrt(x / 2)) for x in xs], rel=1e-9, abs=1e-300)
+    assert four == pytest.approx([math.exp(-x / 2) * (1 + x / 2) for x in xs], rel=1e-9, abs=1e-300)
+    poisson = [math.fsum(math.exp(-x / 2 + j * math.log(x / 2) - math.lgamma(j + 1)) for j in range(500)) for x in xs]
+    assert big == pytest.approx(poisson, rel=1e-8, abs=1e-300)
     zs = [-3.0, -0.5, 0.0, 1.96, 4.0]
     d = spark.createDataFrame([(z,) for z in zs], "z double")
     got = [r[0] for r in d.select(SP.normal_cdf(F.col("z"))).collect()]

@@ -1,7 +1,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from pollmirror.sources import runs as RS
 from pollmirror.sources import surveys as V
 
 
@@ -35,6 +37,39 @@ def test_count_table(spark, tmp_path, stratum):
     assert [r.option for r in sorted(both, key=lambda r: r.pos)] == ["Yes", "No"]
 
 
+def test_lines_are_ordered_over_files(spark, tmp_path):
+    for name, answers in (("part-2.csv", ["old"]), ("part-10.csv", ["new"] * 3000)):
+        (tmp_path / name).write_text("respondent_id,option\n" + "".join(f"r,{a}{i}\n" for i, a in enumerate(answers)))
+    raw = V.read_csv(spark, str(tmp_path), ["respondent_id", "option"])
+    last = raw.groupBy("respondent_id").agg(F.max_by("option", "seq").alias("last"), F.min_by("option", "seq").alias("first")).first()
+    assert (last["first"], last["last"]) == ("old0", "new2999")
+
+
+def test_latest_wave_is_the_largest_number(spark):
+    rows = [(w, "SEX", "K", "x", o, n) for w, o, n in (("W99", "a", 1.0), ("W100", "b", 1.0))]
+    d = spark.createDataFrame(rows, "wave_dir string, attribute string, key string, `group` string, option string, n double")
+    assert {r.wave_dir for r in V.group_distributions(d).collect()} == {"W100"}
+
+
+def test_mistyped_fields_lose_no_document(spark, tmp_path):
+    good = {"benchmark": "survey", "config": {"dataset": "d"}, "aggregate": {"n_questions": 5, "mean_jsd": 0.2}}
+    texts = {
+        "a": json.dumps(good),
+        "b": json.dumps(good | {"aggregate": {"n_questions": "five", "mean_jsd": 0.2}, "scores": [1], "per_question": [{"key": "k", "jsd": "x"}, 3]}),
+        "c": json.dumps(good | {"aggregate": {"n_questions": 5, "mean_jsd": float("nan")}}),
+        "d": "[1]",
+        "e": "no document",
+        "f": "{}",
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    docs = RS.scan_runs(spark, str(tmp_path), "survey")
+    runs = {r.run_id: r for r in RS.runs_of(docs).collect()}
+    assert set(runs) == {"a", "b", "c"} == {r.run_id for r in docs.select("run_id").collect()}
+    assert [runs[k].n_questions for k in "abc"] == [5, None, 5] and runs["b"].mean_jsd == 0.2 and runs["b"].dataset == "d"
+    assert runs["b"].sps is None
+
+
 def test_missing_column_is_an_error(spark, tmp_path):
     path = tmp_path / "c.csv"
     path.write_text("question_id,option\nQ1,Yes\n")

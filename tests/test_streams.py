@@ -1,6 +1,7 @@
 import json
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pollmirror.streaming import common as C
@@ -25,6 +26,21 @@ def test_rate_limit_counts_accepted_rows_only(spark, tmp_path):
     assert got == {**want, 100: True}
 
 
+def test_rate_limit_orders_a_key_over_all_its_batches(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    times = rng.integers(0, 40_000, 25_000)
+    rows = [(i, 1, START + timedelta(seconds=int(t))) for i, t in enumerate(times)]
+    spark.createDataFrame(rows, "id long, api_key long, submitted_at timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, api_key long, submitted_at timestamp").parquet(str(tmp_path / "in"))
+    C.drain(L.rate_limit(stream), str(tmp_path / "out"), str(tmp_path / "ck"))
+    got = {r.id: r.allowed for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    kept, want = [], {}
+    for t, i in sorted((int(t), i) for i, t in enumerate(times)):
+        want[i] = sum(k >= t - 3600 for k in kept) < 60
+        kept += [t] if want[i] else []
+    assert got == want
+
+
 def test_trailing_counts(spark):
     times = [0, 5, 3_599, 3_604, 3_606, 9_000]
     d = spark.createDataFrame([(i, 1, START + timedelta(seconds=t)) for i, t in enumerate(times)], "id long, api_key long, submitted_at timestamp")
