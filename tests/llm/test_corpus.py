@@ -87,6 +87,38 @@ def test_near_duplicates_equal_brute_force(docs, spark):
     assert got == {i: (root[i], len(sets[i])) for i in range(len(texts))}
 
 
+def test_group_of_texts_around_the_threshold_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(150):
+        t = list(base)
+        for at in rng.choice(120, int(rng.integers(1, 9)), replace=False):
+            t[at] = f"v{rng.integers(10**9)}"
+        texts.append(" ".join(t))
+    sets = [set(zip(*[t.split()[i:] for i in range(4)])) for t in texts]
+    label = list(range(150))
+    for i in range(150):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert 10 < len(set(label)) < 140
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert [r.component_id for r in sorted(got.collect(), key=lambda r: r.doc_id)] == label
+
+
+def test_parities_never_differ_in_more_bits_than_elements():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 40, 3000):
+        x = rng.integers(0, 2**63, 2 * n).astype(np.uint64)
+        for cut in (0, n // 10, n):
+            a, b = np.unique(x[: n + cut]), np.unique(x[cut : n + 2 * cut])
+            wa, wb = near_dedup.parities([a, b])
+            assert np.bitwise_count(wa ^ wb).sum() <= len(np.setxor1d(a, b))
+    assert near_dedup.parities([]).shape == (0, near_dedup.PARITY)
+
+
 def test_sketches_fill_and_estimate():
     a = near_dedup.shingle_sets([b" ".join(b"x%d" % i for i in range(n)) for n in (1, 5, 700)], 4)
     got = near_dedup.sketches(a)
