@@ -151,6 +151,12 @@ class Survey:
             F.concat(F.lit("P"), "doc_id").alias("key"), "text"
         )
 
+    @cached_property
+    def topics(self) -> DataFrame:
+        """Topic of every question, from its document or, where it has none, its own text."""
+        d = self.part.select("key", "p_name").join(self.texts, "key", "left")
+        return d.select("key", X.topic(F.coalesce("text", "p_name")).alias("topic"))
+
     @cached_property
     def grouped(self) -> DataFrame:
         """Answers with the market segment of the ordering customer."""

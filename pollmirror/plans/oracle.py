@@ -146,6 +146,7 @@ CTES: dict[str, tuple[list[str], str]] = {
         JOIN (SELECT run_id, CAST(sum(in_tok) AS BIGINT) AS input_tokens, CAST(sum(out_tok) AS BIGINT) AS output_tokens FROM scored GROUP BY run_id) u ON u.run_id = r.run_id"""),
     "texts": ([], "SELECT 'P' || doc_id AS key, text FROM documents"),
     "topics": (["texts"], f"SELECT key, text, {topic_case('text')} AS topic FROM texts"),
+    "qtopics": (["parts", "texts"], f"SELECT key, {topic_case('text')} AS topic FROM (SELECT p.key, coalesce(t.text, p.p_name) AS text FROM parts p LEFT JOIN texts t ON t.key = p.key)"),
     "grouped": (["base"], """
         SELECT b.*, c.c_mktsegment AS grp, c.c_nationkey FROM base b JOIN orders o ON o.o_orderkey = b.sample_no
         JOIN customer c ON c.c_custkey = o.o_custkey"""),

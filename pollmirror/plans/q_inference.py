@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import special as SP
-from ..functions import text as X
 from ..operators import agreement as A
 from ..operators import clustering as C
 from ..operators import resample as B
@@ -206,7 +205,7 @@ def concentration(s):
 
 
 CORE_SQL = {
-    "ent": "SELECT q.key, t.topic, h, CASE WHEN round(h, 12) < 1e0 THEN 'low' WHEN round(h, 12) <= 1.5e0 THEN 'medium' ELSE 'high' END AS band FROM (SELECT key, -sum(p_human * log2(p_human)) AS h FROM qopt GROUP BY key) q JOIN topics t USING (key)",
+    "ent": "SELECT q.key, t.topic, h, CASE WHEN round(h, 12) < 1e0 THEN 'low' WHEN round(h, 12) <= 1.5e0 THEN 'medium' ELSE 'high' END AS band FROM (SELECT key, -sum(p_human * log2(p_human)) AS h FROM qopt GROUP BY key) q JOIN qtopics t USING (key)",
     "gsh": "SELECT g.key, g.grp, o.option, coalesce(c.n, 0) / g.total AS p FROM (SELECT key, grp, count(*) AS total FROM grouped GROUP BY ALL) g JOIN qopt o ON o.key = g.key LEFT JOIN (SELECT key, grp, option, count(*) AS n FROM grouped GROUP BY ALL) c ON c.key = g.key AND c.grp = g.grp AND c.option = o.option",
     "gvar": "SELECT key, avg(v) AS variance FROM (SELECT key, option, var_pop(p) AS v FROM gsh GROUP BY ALL) GROUP BY key",
     "cand": f"SELECT e.*, coalesce(round(variance, 9), 0e0) AS variance, {hex8(chr(39) + 'core|' + chr(39) + ' || e.key')} AS u FROM ent e LEFT JOIN gvar g USING (key)",
@@ -216,9 +215,9 @@ CORE_SQL = {
 }
 
 
-@query("core_sample", "SELECT key, topic, band, sensitive FROM cho UNION ALL SELECT key, topic, band, sensitive FROM fil", ctes="topics qopt grouped", **CORE_SQL)
+@query("core_sample", "SELECT key, topic, band, sensitive FROM cho UNION ALL SELECT key, topic, band, sensitive FROM fil", ctes="qtopics qopt grouped", **CORE_SQL)
 def core_sample(s):
-    q = s.questions.join(s.texts.select("key", X.topic(F.col("text")).alias("topic")), "key")
+    q = s.questions.join(s.topics, "key")
     g = S.question_distributions(s.grouped, ["key", "group"]).select("key", F.map_from_arrays("options", "p_human").alias("m"))
     from ..functions.distance import align
 

@@ -379,24 +379,24 @@ def concordance_summary(s):
 
 
 def with_topic(s):
-    return s.scored.join(s.texts.select("key", X.topic(F.col("text")).alias("topic")), "key")
+    return s.scored.join(s.topics, "key")
 
 
-@query("topic_mean", "SELECT run_id, topic, avg(parity) AS mean_parity FROM scored JOIN topics USING (key) WHERE topic IS NOT NULL GROUP BY ALL", "mean_parity", ctes="scored topics")
+@query("topic_mean", "SELECT run_id, topic, avg(parity) AS mean_parity FROM scored JOIN qtopics USING (key) WHERE topic IS NOT NULL GROUP BY ALL", "mean_parity", ctes="scored qtopics")
 def topic_mean(s):
     return with_topic(s).where("topic IS NOT NULL").groupBy("run_id", "topic").agg(F.avg("parity").alias("mean_parity"))
 
 
 TOPIC_SQL = {"tm": """SELECT run_id, topic, min(dataset) AS dataset, avg(parity) AS sps, count(parity) AS n, 1e0 - avg(jsd) AS p_dist, (1e0 + avg(tau)) / 2e0 AS p_rank,
-    greatest(0e0, 1e0 - avg(abs(model_refusal_rate - human_refusal_rate))) AS p_refuse FROM scored JOIN topics USING (key) WHERE topic IS NOT NULL GROUP BY run_id, topic"""}
+    greatest(0e0, 1e0 - avg(abs(model_refusal_rate - human_refusal_rate))) AS p_refuse FROM scored JOIN qtopics USING (key) WHERE topic IS NOT NULL GROUP BY run_id, topic"""}
 
 
-@query("topic_metrics", "SELECT run_id, topic, sps, n, p_dist, p_rank, p_refuse FROM tm", "sps p_dist p_rank p_refuse", ctes="scored topics", **TOPIC_SQL)
+@query("topic_metrics", "SELECT run_id, topic, sps, n, p_dist, p_rank, p_refuse FROM tm", "sps p_dist p_rank p_refuse", ctes="scored qtopics", **TOPIC_SQL)
 def topic_metrics(s):
     return R.topic_metrics(with_topic(s))
 
 
-@query("topic_replicates", "SELECT dataset, topic, avg(sps) AS mean, CASE WHEN count(*) = 1 THEN 0e0 ELSE stddev_samp(sps) END AS std, count(*) AS n_replicates FROM tm GROUP BY ALL", "mean std", ctes="scored topics", **TOPIC_SQL)
+@query("topic_replicates", "SELECT dataset, topic, avg(sps) AS mean, CASE WHEN count(*) = 1 THEN 0e0 ELSE stddev_samp(sps) END AS std, count(*) AS n_replicates FROM tm GROUP BY ALL", "mean std", ctes="scored qtopics", **TOPIC_SQL)
 def topic_replicates(s):
     t = R.topic_metrics(with_topic(s)).withColumn("dataset", F.substring_index("run_id", "_", 1))
     return R.topic_replicates(t, ["dataset"])

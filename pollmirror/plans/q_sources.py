@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import tables as T
 from ..functions import text as X
 from ..operators import scoring as S
 from ..sources import sinks as K
@@ -107,17 +111,15 @@ def src_survey_json(s):
     return V.wave_questions(wave_files(s), wave_info(s), key_prefix=True).drop("options")
 
 
-@query("src_wave_json_tech", _wave_sql("key").replace("WHERE p_size > 3", "WHERE p_size > 3 AND year(ts) IN (1999, 2000)"), "p", "pos", ctes="grouped parts")
+@query("src_wave_json_tech", _wave_sql("key"), "p", "pos", ctes="grouped parts")
 def src_wave_json_tech(s):
-    picked = F.col("wave_dir").isin("W1999", "W2000")
-    return V.wave_questions(wave_files(s).where(picked), wave_info(s).where(picked)).drop("options")
+    return V.wave_questions(wave_files(s), wave_info(s)).drop("options")
 
 
-@query("group_dist_counts", """SELECT key, 'W' || y AS wave_dir, grp AS "group", option, n / sum(n) OVER (PARTITION BY key, y, grp) AS p FROM (SELECT key, year(ts) AS y, grp, option, count(*) AS n FROM grouped WHERE grp <> 'MACHINERY' AND year(ts) <> 1997 GROUP BY ALL)
-    QUALIFY y = max(y) OVER (PARTITION BY key)""", "p", ctes="grouped")
+@query("group_dist_counts", """SELECT attribute, key, 'W' || y AS wave_dir, grp AS "group", option, n / sum(n) OVER (PARTITION BY key, y, grp) AS p FROM (SELECT CASE year(ts) WHEN 1997 THEN 'SEX' ELSE 'NONE' END AS attribute, key, year(ts) AS y, grp, option, count(*) AS n FROM grouped WHERE grp <> 'MACHINERY' GROUP BY ALL)
+    QUALIFY y = max(y) OVER (PARTITION BY attribute, key)""", "p", ctes="grouped")
 def group_dist_counts(s):
-    counts = V.wave_counts(wave_files(s).where("attribute = 'NONE'"))
-    return V.group_distributions(counts).select("key", "wave_dir", "group", "option", "p")
+    return V.group_distributions(V.wave_counts(wave_files(s))).select("attribute", "key", "wave_dir", "group", "option", "p")
 
 
 # country rows: nations of the ordering customers
@@ -156,7 +158,7 @@ def available_countries(s):
     return V.available_countries(country_rows(s))
 
 
-# subgroup rows: responses lack the trailing refusal, one group has broken rows
+# subgroup rows: responses lack the trailing refusal, one group has rows that are too long
 def subgroup_raw(s):
     g = S.question_distributions(s.grouped, ["key", "group"])
     from ..functions.distance import align
@@ -166,12 +168,13 @@ def subgroup_raw(s):
     d = d.select(F.col("key").alias("qkey"), F.lit("Segment").alias("attribute"), "group", F.col("all").alias("options"), p.alias("responses"))
     ends = F.element_at("options", -1) == "Refused"
     d = d.withColumn("refusal_rate", F.when(ends, F.element_at("responses", -1)))
-    keep = F.size("responses") - F.when(F.col("group") == "MACHINERY", 2).when(ends, 1).otherwise(0)
-    return d.where(F.size("options") > 2).withColumn("responses", F.slice("responses", F.lit(1), keep)).withColumn("seq", F.lit(1))
+    kept = F.slice("responses", F.lit(1), F.size("responses") - F.when(ends, 1).otherwise(0))
+    broken = F.concat("responses", F.array(F.lit(0.0), F.lit(0.0)))
+    return d.withColumn("responses", F.when(F.col("group") == "MACHINERY", broken).otherwise(kept)).withColumn("seq", F.lit(1))
 
 
 SUB_SQL = {
-    "so": "SELECT g.key, g.grp, q.option, q.k, coalesce(c.n, 0) / g.total AS p FROM (SELECT key, grp, count(*) AS total FROM grouped WHERE grp <> 'MACHINERY' GROUP BY ALL) g JOIN qopt q ON q.key = g.key AND q.k > 2 LEFT JOIN (SELECT key, grp, option, count(*) AS n FROM grouped GROUP BY ALL) c ON c.key = g.key AND c.grp = g.grp AND c.option = q.option",
+    "so": "SELECT g.key, g.grp, q.option, q.k, coalesce(c.n, 0) / g.total AS p FROM (SELECT key, grp, count(*) AS total FROM grouped WHERE grp <> 'MACHINERY' GROUP BY ALL) g JOIN qopt q ON q.key = g.key LEFT JOIN (SELECT key, grp, option, count(*) AS n FROM grouped GROUP BY ALL) c ON c.key = g.key AND c.grp = g.grp AND c.option = q.option",
 }
 
 
@@ -218,14 +221,17 @@ def src_monthly_csv_group(s):
     return V.monthly(month_rows(s, "group"), OPTIONS, ["dataset", "group"])
 
 
-# proportion table: one variable per part
+# proportion table: one variable per part; the k-th group of an attribute from its end has k times its share
+PROPS = [(a, prefix, label, len(g) - i) for a, g in T.PROPORTION_GROUPS.items() for i, (prefix, label) in enumerate(g)]
+
+
 def proportions(s):
     size = F.col("p_size")
     cell = lambda k: F.when(size > 45, "1.5").when(size < 3, " ").when(size == 7, "x").otherwise((size * k / 100.0).cast("string"))
     return s.part.select(
         F.concat(F.lit('"'), "p_brand", F.lit('"')).alias("dataset"), F.when(size == 9, "isAdult").otherwise(F.concat(F.lit("v"), "p_partkey")).alias("variable"),
         F.col("p_name").alias("description"), F.when(size > 30, "isAdult").otherwise("").alias("universe"),
-        cell(1).alias("usProp"), cell(2).alias("sexMaleProp"), cell(1).alias("sexFemaleProp"),
+        cell(1).alias("usProp"), *[cell(k).alias(f"{prefix}Prop") for _, prefix, _, k in PROPS],
     )
 
 
@@ -238,9 +244,13 @@ def src_proportion_table(s):
     return V.proportion_questions(proportions(s))
 
 
-@query("src_proportion_group", f"SELECT {NKEY} AS key, g AS \"group\", option, CASE option WHEN 'Yes' THEN p_size * k / 100e0 ELSE 1e0 - p_size * k / 100e0 END AS p FROM parts, (VALUES ('Male', 2), ('Female', 1)) x(g, k), (VALUES ('Yes'), ('No')) o(option) WHERE {NKEEP} AND p_size * k / 100e0 <= 1", "p", ctes="parts")
+PROP_ROWS = ", ".join(f"('{a}', '{label}', {k})" for a, _, label, k in PROPS)
+
+
+@query("src_proportion_group", f"SELECT a AS attribute, {NKEY} AS key, g AS \"group\", option, CASE option WHEN 'Yes' THEN p_size * k / 100e0 ELSE 1e0 - p_size * k / 100e0 END AS p FROM parts, (VALUES {PROP_ROWS}) x(a, g, k), (VALUES ('Yes'), ('No')) o(option) WHERE {NKEEP} AND p_size * k / 100e0 <= 1", "p", ctes="parts")
 def src_proportion_group(s):
-    return V.proportion_groups(proportions(s), "sex")
+    raw = proportions(s)
+    return reduce(DataFrame.unionByName, [V.proportion_groups(raw, a).withColumn("attribute", F.lit(a)) for a in T.PROPORTION_GROUPS])
 
 
 RENORM_SQL = "SELECT key, option, CASE WHEN abs(t - 1e0) > 0.01e0 AND t > 0 THEN p / t ELSE p END AS p FROM (SELECT *, sum(p) OVER (PARTITION BY key) AS t FROM (SELECT key, option, p_human * CASE WHEN k = 7 THEN 1.0037e0 ELSE 1.5e0 END AS p FROM qopt))"

@@ -44,7 +44,3 @@ def routes_manifest(questions: DataFrame) -> DataFrame:
     """Sorted distinct safe keys per gated dataset, private ones left out."""
     d = questions.where((F.col("tier") == "gated") & ~X.is_private(F.col("dataset"), F.col("key")))
     return d.groupBy("dataset").agg(F.array_sort(F.collect_set(X.safe_key(F.col("key")))).alias("keys"))
-
-
-def write_index(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    df.write.mode("overwrite").partitionBy("dataset").format(fmt).save(path)

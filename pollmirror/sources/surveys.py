@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tables as T
-from ..operators.ranking import top_per_group
 
 SKIPPED_SUBKEYS = ["MC_options", "question_text"]
 
@@ -55,11 +54,6 @@ def read_wave_info(spark: SparkSession, root: str) -> DataFrame:
     return d.withColumn("wave_dir", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
 
 
-def read_json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines or documents with a declared schema (country or subgroup rows)."""
-    return spark.read.schema(schema).json(path)
-
-
 # --- helpers --------------------------------------------------------------------------
 
 
@@ -310,7 +304,3 @@ def write_questions(long: DataFrame, path: str) -> None:
 def cached_questions(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
     d = spark.read.parquet(path)
     return d if dataset is None else d.where(F.col("dataset") == dataset)
-
-
-def latest_per_key(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    return top_per_group(rows, key, [F.desc(order)])
