@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Curves of two projected coordinates each; a query probes those where its projection is longest.
-CURVES, PROBES = 32, 16
-#: Rows of a block of the ordering, and blocks that a probe reads on each side of its own.
-BLOCK_ROWS, SIDE = 1024, 2
-BITS = 15
+#: Curves of ``COORDINATES`` projected coordinates each; a query probes those where its projection is longest.
+CURVES, COORDINATES, PROBES = 32, 3, 16
+#: A probe reads at least this share of the rows, in blocks of the ordering of bounded size.
+SHARE = 0.05
+BLOCK_ROWS, MAX_BLOCK_ROWS, SIDE = 1024, 8192, 2
+BITS = 13
 EVERY, TOP = 20, 20
 
 
@@ -41,21 +42,32 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+def windows(rows: int) -> tuple[int, int]:
+    """Rows of a block, and blocks that a probe reads on each side of its own, for a table of ``rows`` distinct vectors.
+
+    A window holds at least ``SHARE`` of the rows. Up to about 100,000 rows it is 5 blocks of 1,024; then
+    blocks grow to ``MAX_BLOCK_ROWS``, which bounds the memory of a task; then more blocks are read.
+    """
+    wanted = int(np.ceil(SHARE * rows))
+    block = min(max(BLOCK_ROWS, -(-wanted // (2 * SIDE + 1))), MAX_BLOCK_ROWS)
+    return block, max(SIDE, -(-(-(-wanted // block) - 1) // 2))
+
+
 def curve_keys(vectors: np.ndarray, scale: float, curves: int = CURVES) -> tuple[np.ndarray, np.ndarray]:
     """Keys and projected lengths of vectors (one row each) on every curve.
 
-    Coordinates come in pairs from random rotations, as many as the curves need; every curve has
-    a shift of its own.
+    Coordinates come in groups of ``COORDINATES`` from random rotations, as many as the curves need;
+    every curve has a shift of its own.
     """
     dim = vectors.shape[1]
     rng = np.random.default_rng([dim, 17])
     turned = []
-    while sum(t.shape[1] for t in turned) < 2 * curves:
+    while sum(t.shape[1] for t in turned) < COORDINATES * curves:
         turned.append(vectors @ np.linalg.qr(rng.standard_normal((dim, dim)))[0])
-    y = np.concatenate(turned, axis=1)[:, : 2 * curves].reshape(len(vectors), curves, 2) / scale
-    shift = rng.random((curves, 2)) * 0.25
+    y = np.concatenate(turned, axis=1)[:, : COORDINATES * curves].reshape(len(vectors), curves, COORDINATES) / scale
+    shift = rng.random((curves, COORDINATES)) * 0.25
     cells = np.clip((y + 4 + shift) / 8.25 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
-    keys = hilbert_keys(cells.reshape(-1, 2), BITS).reshape(len(vectors), curves)
+    keys = hilbert_keys(cells.reshape(-1, COORDINATES), BITS).reshape(len(vectors), curves)
     return keys, np.linalg.norm(y, axis=2)
 
 
@@ -73,11 +85,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def nearest(vectors: DataFrame, vec: str = "embedding", id_col: str = "vec_id", every: int = EVERY, top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score: for every vector whose id is divisible by ``every`` its ``top`` nearest found.
 
-    All distinct vectors are put in order along ``CURVES`` Hilbert curves of two projected
-    coordinates, range-partitioned by (curve, key), and cut into blocks of equal size. A query
-    reads its own block and ``SIDE`` blocks on each side of the curves where its projection is
-    longest; what it finds there is merged and ranked by the inner product in double precision.
-    Windows have a fixed size, so the work is linear in queries and rows.
+    All distinct vectors are put in order along ``CURVES`` Hilbert curves of ``COORDINATES``
+    projected coordinates, range-partitioned by (curve, key), and cut into blocks of equal size. A
+    query reads its own block and blocks on each side (``windows``) of the curves where its projection
+    is longest; what it finds there is merged and ranked by the inner product in double precision.
+    Windows hold a fixed share of the rows at least, so that recall does not fall as rows are added;
+    the work is queries times rows.
 
     Equal vectors are one entry; of each at most ``top`` + 1 smallest ids can be in a result, and
     only those are expanded. Ties go to the smaller id. Vectors that are null, empty, zero or hold
@@ -130,9 +143,10 @@ def nearest(vectors: DataFrame, vec: str = "embedding", id_col: str = "vec_id",
     offset = F.lit(0).cast("bigint")
     if before:
         offset = F.element_at(F.create_map(*[F.lit(x) for p in before for x in (p, before[p])]), F.col("part")).cast("bigint")
-    index = index.withColumn("block", F.floor((offset + F.col("at")) / BLOCK_ROWS).cast("bigint"))
+    block_rows, side = windows(total // CURVES)
+    index = index.withColumn("block", F.floor((offset + F.col("at")) / block_rows).cast("bigint"))
     entries = index.select("block", "curve", "cls", F.lit(False).alias("ask"), "v")
-    asked = index.where("probe").withColumn("block", F.explode(F.sequence(F.col("block") - SIDE, F.col("block") + SIDE)))
+    asked = index.where("probe").withColumn("block", F.explode(F.sequence(F.col("block") - side, F.col("block") + side)))
     both = entries.unionByName(asked.select("block", "curve", "cls", F.lit(True).alias("ask"), "v"))
 
     def search(table: pa.Table) -> pa.Table:
@@ -143,13 +157,20 @@ def nearest(vectors: DataFrame, vec: str = "embedding", id_col: str = "vec_id",
             q, e = np.flatnonzero(ask & (curve == c)), np.flatnonzero(~ask & (curve == c))
             if not len(e):
                 continue
+            e = e[np.argsort(cls[e])]  # ties go to the smaller id
             there = _matrix(table["v"].take(pa.array(e)))
             for a in range(0, len(q), 512):
                 scores = _matrix(table["v"].take(pa.array(q[a : a + 512]))) @ there.T
-                best = np.argsort(-scores, axis=1, kind="stable")[:, : top + 1]
+                k = min(top + 1, len(e))
+                least = np.partition(scores, len(e) - k, axis=1)[:, len(e) - k]
+                row, col = np.nonzero(scores >= least[:, None])
+                order = np.lexsort((col, -scores[row, col], row))
+                row, col = row[order], col[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                row, col = row[rank < k].reshape(-1, k), col[rank < k].reshape(-1, k)
                 out[0] += cls[q[a : a + 512]].tolist()
-                out[1] += list(cls[e][best])
-                out[2] += list(np.take_along_axis(scores, best, 1))
+                out[1] += list(cls[e][col])
+                out[2] += list(scores[row, col])
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.float64()))], names=["q", "c", "s"])
 
     found = both.groupBy("block").applyInArrow(search, "q bigint, c array<bigint>, s array<double>")

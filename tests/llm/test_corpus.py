@@ -165,6 +165,28 @@ def test_neighbours_equal_brute_force_on_a_small_table(spark):
         assert [i for _, i in sorted(found)] == np.lexsort((np.arange(200), -s))[:20].tolist()
 
 
+def test_neighbour_windows_keep_their_share_and_recall_as_rows_grow():
+    for n in (0, 1, 5_000, 200_000, 3_000_000, 10**9):
+        block, side = neighbours.windows(n)
+        assert (2 * side + 1) * block >= 0.05 * n and block <= 8192
+    n, asked = 200_000, 20
+    x = np.random.default_rng(8).standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    keys = np.concatenate([neighbours.curve_keys(x[a : a + 10_000], 1 / 8)[0] for a in range(0, n, 10_000)])
+    lengths = neighbours.curve_keys(x[:asked], 1 / 8)[1]
+    block, side = neighbours.windows(n)
+    places = [np.argsort(keys[:, c], kind="stable") for c in range(keys.shape[1])]
+    found = 0
+    for q in range(asked):
+        seen = np.zeros(n, bool)
+        for c in np.argsort(-lengths[q])[: neighbours.PROBES]:
+            own = int(np.flatnonzero(places[c] == q)[0]) // block
+            seen[places[c][max(own - side, 0) * block : (own + side + 1) * block]] = True
+        near = np.argsort(-(x @ x[q]))[1:21]
+        found += seen[near].sum()
+    assert found / (20 * asked) >= 0.9
+
+
 def test_quality_field_finds_noise_lines(spark):
     rows = [(i, EN if i % 3 else "#### %%%% !!!! 1234 ####", 1 if i % 3 else 0) for i in range(90)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
