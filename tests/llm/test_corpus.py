@@ -187,6 +187,43 @@ def test_neighbour_windows_keep_their_share_and_recall_as_rows_grow():
     assert found / (20 * asked) >= 0.9
 
 
+@pytest.mark.parametrize("share", [5e-7, 1e-4, 1.0])
+def test_ppm_equals_brute_force_however_rare_the_contexts(spark, monkeypatch, share):
+    monkeypatch.setattr(ppm, "RUN_SHARE", share, raising=False)
+    rng = np.random.default_rng(9)
+    texts = ["ab" * 600_000, *["".join(rng.choice(list("abcde fXé"), 40)) for _ in range(60)], "", "zzzz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in ppm.score_texts(df).collect()}
+    assert not got[0].held_out and any(r.held_out for r in got.values())
+    trie = {}
+    symbols = {i: [256] * 4 + list(t.encode().translate(ppm.LOWER)) + [256] for i, t in enumerate(texts)}
+    for i, x in symbols.items():
+        for at in range(4, len(x)) if not got[i].held_out else ():
+            for order in range(5):
+                node = trie.setdefault(tuple(x[at - order : at]), {})
+                node[x[at]] = node.get(x[at], 0) + 1
+    for i, x in symbols.items():
+        if i == 0:
+            continue
+        lp = 0.0
+        for at in range(4, len(x)):
+            longer = {}
+            for order in range(4, -1, -1):
+                node = trie.get(tuple(x[at - order : at]))
+                if node is None:
+                    continue
+                left = {s: c for s, c in node.items() if s not in longer}
+                total = sum(left.values()) + len(left)
+                if x[at] in left:
+                    lp += np.log(left[x[at]] / total)
+                    break
+                lp += np.log(len(left) / total) if left else 0.0
+                longer = node
+            else:
+                lp -= np.log(257 - len(trie[()]))
+        assert got[i].score == pytest.approx(lp / np.log(10), abs=1e-6), i
+
+
 def test_quality_field_finds_noise_lines(spark):
     rows = [(i, EN if i % 3 else "#### %%%% !!!! 1234 ####", 1 if i % 3 else 0) for i in range(90)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
