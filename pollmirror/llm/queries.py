@@ -16,6 +16,7 @@ from .licenses import scan_licenses
 from .mixing import mix_report, mix_sql
 from .near_dedup import near_duplicates
 from .neighbours import nearest
+from .packing import packing_digests
 from .ppm import score_texts
 from .quality import classify_quality
 from .secrets import scan_secrets
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ppm_score": lambda s, d: score_texts(load(s, d, "documents")),
     "op9_secret_scan": lambda s, d: scan_secrets(load(s, d, "documents")),
     "op10_bpe": lambda s, d: bpe_digests(load(s, d, "documents")),
+    "op13_packing": lambda s, d: packing_digests(load(s, d, "documents")),
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {

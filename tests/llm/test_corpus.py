@@ -135,7 +135,33 @@ def test_bpe_equals_the_library_and_comes_back():
     texts = ["", "a  b\n\n c's 's!!'s", "<|endoftext|> x<|endoftext|>", "é ß　 中\0\r\n", "x" * 3000, "don't  \t 12a"]
     for text, (ids, back) in zip(texts, c.encode([x.encode() for x in texts])):
         want = t.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(ids, "<u4").tolist() == want and back.decode() == text == c.decode(want)
+        assert ids.tolist() == want and back.decode() == text == c.decode(want)
+
+
+@pytest.mark.parametrize("cache", [600_000, 300])
+def test_bpe_equals_the_library_on_random_texts_whatever_the_cache_holds(monkeypatch, cache):
+    rng = np.random.default_rng(11)
+    parts = [
+        "'", " ", "  ", "\n", "\t", "'s", "'ll", "'S", "a", "b", "the", " the", "é", "ñ", "ß", "\u00a0", "\u2003", "\u3000", "\x85", "日", "本", "1", "22", "!", "!!",
+        "\0", "<|endoftext|>", "<|", "\u0301", "😀", "א", "ſ", "İ", "…", "’", "ý", "\x7f", "-", "\u2028", "\u1680", "qzx", "Zeitgeist", "naïve",
+    ]
+    texts = ["".join(rng.choice(parts, int(rng.integers(0, 30)))) for _ in range(2000)]
+    monkeypatch.setattr(bpe, "CACHE", cache)
+    monkeypatch.setattr(bpe, "BLOCK", 4096)
+    c = bpe.Codec(bpe.default_vocabulary())
+    want = c.tokenizer.encode_batch(texts, add_special_tokens=False)
+    for _ in range(2):  # fresh, and with what the first time left
+        for text, e, (ids, back) in zip(texts, want, c.encode([t.encode() for t in texts])):
+            assert ids.tolist() == e.ids and back.decode() == c.tokenizer.decode(e.ids, skip_special_tokens=False)
+    assert len(c.keys) <= max(cache, 300)
+
+
+def test_two_fragments_of_one_key_do_no_harm(monkeypatch):
+    c = bpe.Codec(bpe.default_vocabulary())
+    texts = [b"some words here", b"and other words there", b""]
+    monkeypatch.setattr(bpe, "mix64", lambda x: x * np.uint64(0))
+    got = list(c.encode(texts))
+    assert [g.tolist() for g, _ in got] == [c.tokenizer.encode(t.decode()).ids for t in texts] and [b for _, b in got] == texts
 
 
 def test_base_secrets_equal_the_patterns(spark):
