@@ -19,7 +19,9 @@ from .neighbours import nearest
 from .packing import packing_digests
 from .ppm import score_texts
 from .quality import classify_quality
+from .search import SEARCH_SQL, rank_documents
 from .secrets import scan_secrets
+from .whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": lambda s, d: identify_languages(load(s, d, "documents")),
@@ -32,10 +34,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ppm_score": lambda s, d: score_texts(load(s, d, "documents")),
     "op9_secret_scan": lambda s, d: scan_secrets(load(s, d, "documents")),
     "op10_bpe": lambda s, d: bpe_digests(load(s, d, "documents")),
+    "op11_ranked_search": lambda s, d: rank_documents(load(s, d, "documents"), load(s, d, "benchmark")),
+    "op12_whitening": lambda s, d: whiten(load(s, d, "embeddings")),
     "op13_packing": lambda s, d: packing_digests(load(s, d, "documents")),
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op2_mix_sources": f"SELECT doc_id, size, source_size, target, taken, copies FROM ({mix_sql()})",
     "op6_exact_dedup": EXACT_SQL,
+    "op11_ranked_search": SEARCH_SQL,
 }
