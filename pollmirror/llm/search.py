@@ -237,6 +237,6 @@ tfs AS (SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(wo
 weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), total),
 added AS (SELECT r, term, doc_id, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))) AS v FROM tfs JOIN docs USING (r) JOIN weights USING (term), total),
 scores AS (SELECT item_id, r, doc_id, CAST(sum(v) AS BIGINT) AS score FROM wanted JOIN added USING (term) GROUP BY item_id, r, doc_id)
-SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0
-QUALIFY row_number() OVER best <= {TOP} WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= {TOP}
 """
