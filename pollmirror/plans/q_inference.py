@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import special as SP
+from ..functions.tables import SAMPLE_SIZES
 from ..operators import agreement as A
-from ..operators import clustering as C
+from ..operators import clustering as K
+from ..operators import curves as C
 from ..operators import resample as B
 from ..operators import scoring as S
 from .oracle import hex8, jsd_of
@@ -194,7 +196,7 @@ def silhouette(s):
 
 @query("persona_cluster")
 def persona_cluster(s):
-    return C.cluster_patterns(personas(s).drop("label"), ["cohort"])
+    return K.cluster_patterns(personas(s).drop("label"), ["cohort"])
 
 
 @query("concentration", """SELECT model, avg(h) AS entropy, avg(log2(k) - h) AS kl_uniform, avg(1e0 - h / log2(k)) AS concentration, avg(CASE WHEN mx >= 0.99e0 THEN 1e0 ELSE 0e0 END) AS degenerate_share FROM (
@@ -385,76 +387,92 @@ def multinomial_sample(s):
 
 @query("curve_bootstrap")
 def curve_bootstrap(s):
-    return B.curve_bootstrap(s.questions, (20, 50, 100, 200), 100)
+    return B.curve_bootstrap(s.questions)
 
 
-REAL_SQL = {
-    "pool": "SELECT dataset, key, option, sample_no || '/' || model || '/' || in_row AS respondent, count(*) OVER (PARTITION BY key) AS pool FROM (SELECT *, row_number() OVER (PARTITION BY key, sample_no, model ORDER BY option, selected_option, ts) AS in_row FROM base)",
-    "ord": f"SELECT p.*, b, row_number() OVER (PARTITION BY key, b ORDER BY {hex8(chr(39) + '42|' + chr(39) + ' || key || ' + chr(39) + '|' + chr(39) + ' || b || ' + chr(39) + '|' + chr(39) + ' || respondent')}, respondent, option) AS rk FROM pool p, range(0, 3) r(b)",
-    "tk": "SELECT o.dataset, o.key, b, s.n, o.option, count(*) AS c FROM ord o JOIN (VALUES (10), (20), (50)) s(n) ON s.n <= o.pool AND o.rk <= s.n GROUP BY ALL",
-    "rj": f"SELECT dataset, key, b, n, {jsd_of('ps', 'p_human')} AS jsd FROM (SELECT x.dataset, x.key, x.b, x.n, q.option, q.p_human, coalesce(t.c, 0) / x.n AS ps FROM (SELECT DISTINCT dataset, key, b, n FROM tk) x JOIN qopt q ON q.key = x.key LEFT JOIN tk t ON t.key = x.key AND t.b = x.b AND t.n = x.n AND t.option = q.option) GROUP BY ALL",
-}
+# exact means: one sum over the draws that an option's count can give, per distinct (count, pool) and size
+SIZES = ", ".join(f"({n})" for n in SAMPLE_SIZES)
 
 
-def respondents(s):
-    from pyspark.sql import Window
+def curve_ctes(name: str, replace: bool) -> dict:
+    """Exact curve means from factorials, as the independent check."""
+    choose = lambda a, b: f"lgamma({a} + 1) - lgamma({b} + 1) - lgamma({a} - {b} + 1)"
+    if replace:
+        low, high, log, where = "0", "n", f"{choose('n', 'x')} + x * ln(p) + (n - x) * ln(1e0 - p)", ""
+        var = "n * p * (1e0 - p)"
+    else:
+        low, high, where = "greatest(0, n - (pool - c))", "least(n, c)", " AND n <= pool"
+        log = f"{choose('c', 'x')} + {choose('(pool - c)', '(n - x)')} - ({choose('pool', 'n')})"
+        var = "n * p * (1e0 - p) * (pool - n) / (pool - 1)"
+    return {
+        f"{name}p": "SELECT DISTINCT c, pool FROM (SELECT n AS c, CAST(sum(n) OVER (PARTITION BY key) AS BIGINT) AS pool FROM qopt)",
+        f"{name}t": f"""SELECT c, pool, n, sum(w * g) / sum(w) AS term FROM (SELECT c, pool, n, exp({log}) AS w, (CASE WHEN x > 0 THEN x / n * log2(x / n / ((x / n + p) / 2e0)) ELSE 0e0 END + p * log2(p / ((x / n + p) / 2e0))) / 2e0 AS g FROM (
+            SELECT *, unnest(range(CAST(greatest({low}, floor(n * p - 10 * sqrt({var}) - 10)) AS BIGINT), CAST(least({high}, ceil(n * p + 10 * sqrt({var}) + 10)) AS BIGINT) + 1)) AS x FROM (
+            SELECT c, pool, c / pool AS p, CAST(s.n AS BIGINT) AS n FROM {name}p, (VALUES {SIZES}) s(n) WHERE c < pool{where}))) GROUP BY c, pool, n""",
+        name: f"SELECT q.dataset, q.key, q.s AS n, sum(coalesce(t.term, 0e0)) AS jsd_mean FROM (SELECT dataset, key, o.n AS c, CAST(sum(o.n) OVER (PARTITION BY key, s.n) AS BIGINT) AS pool, CAST(s.n AS BIGINT) AS s FROM qopt o, (VALUES {SIZES}) s(n)) q LEFT JOIN {name}t t ON t.c = q.c AND t.pool = q.pool AND t.n = q.s {'' if replace else 'WHERE q.s <= q.pool'} GROUP BY ALL",
+    }
+
+
+CURVE = curve_ctes("cv", True)
+REAL_CURVE = curve_ctes("rv", False)
 
-    w = Window.partitionBy("key", "sample_no", "model").orderBy("option", "selected_option", "ts")
-    d = s.base.withColumn("in_row", F.row_number().over(w))
-    return d.select("dataset", "key", "option", F.concat_ws("/", "sample_no", "model", "in_row").alias("respondent"))
 
+@query("curve_expected", "SELECT * FROM cv", "jsd_mean", ctes="qopt", **CURVE)
+def curve_expected(s):
+    return C.expected_curve(s.questions)
 
-def real(s):
-    return B.curve_real(respondents(s), (10, 20, 50), 3)
 
+@query("curve_real_expected", "SELECT * FROM rv", "jsd_mean", ctes="qopt", **REAL_CURVE)
+def curve_real_expected(s):
+    return C.expected_curve(s.questions, replace=False)
 
-@query("curve_real", "SELECT dataset, key, n, avg(jsd) AS jsd_mean, quantile_cont(jsd, 0.1) AS jsd_p10, quantile_cont(jsd, 0.9) AS jsd_p90, count(*) AS replicates FROM rj GROUP BY ALL", "jsd_mean jsd_p10 jsd_p90", "n", ctes="base qopt", **REAL_SQL)
+
+@query("curve_real")
 def curve_real(s):
-    return real(s)
+    return B.curve_real_counts(s.questions)
 
 
 @query("curve_real_kernel")
 def curve_real_kernel(s):
-    return B.curve_real_counts(s.questions, (10, 20, 50), 100)
+    return C.curve_walk(s.questions, replace=False, whole=True).drop("convergence_n")
 
 
-# curves with a closed form over the tables: the mean shrinks with n from a question's own spread
-FLAT_SQL = "SELECT dataset, key, s.n, 0.3e0 * k / s.n + CASE WHEN total < 25 THEN 0.015e0 ELSE 0e0 END AS jsd_mean FROM (SELECT dataset, key, count(*) AS k, CAST(sum(n) AS BIGINT) AS total FROM qopt GROUP BY ALL), (VALUES (20), (50), (100), (200), (500), (1000)) s(n) WHERE s.n <= total * 20"
 CONV_SQL = "SELECT dataset, key, arg_min(CASE WHEN l2 IS NOT NULL THEN n END, n) FILTER (ok) AS convergence_n, min(n) FILTER (ok) AS first_ok, arg_min(l2 IS NOT NULL, n) FILTER (ok) AS has FROM (SELECT *, jsd_mean < 0.02e0 AND (l2 IS NULL OR greatest(jsd_mean - l1, jsd_mean - l2) <= 0.005e0) AS ok FROM (SELECT *, lead(jsd_mean, 1) OVER w AS l1, lead(jsd_mean, 2) OVER w AS l2 FROM cv WINDOW w AS (PARTITION BY key ORDER BY n))) GROUP BY dataset, key"
+CN_SQL = "SELECT dataset, key, CASE WHEN has THEN first_ok END AS convergence_n FROM cn"
 
 
-def shaped(s):
-    sizes = F.explode(F.array(*[F.lit(x) for x in (20, 50, 100, 200, 500, 1000)]))
-    d = s.questions.select("dataset", "key", F.size("options").alias("k"), F.col("n").alias("total"), sizes.alias("n")).where("n <= total * 20")
-    return d.withColumn("jsd_mean", F.lit(0.3) * F.col("k") / F.col("n") + F.when(F.col("total") < 25, 0.015).otherwise(0.0))
+def converged(s):
+    return B.convergence_n(C.expected_curve(s.questions), ["dataset", "key"])
 
 
-CN_SQL = "SELECT dataset, key, CASE WHEN has THEN first_ok END AS convergence_n FROM cn"
+@query("convergence_n", CN_SQL, "", "convergence_n", ctes="qopt", **CURVE, cn=CONV_SQL)
+def convergence_n(s):
+    return converged(s)
 
 
-@query("convergence_n", CN_SQL, "", "convergence_n", ctes="qopt", cv=FLAT_SQL, cn=CONV_SQL)
-def convergence_n(s):
-    return B.convergence_n(shaped(s), ["dataset", "key"])
+@query("convergence_walk")
+def convergence_walk(s):
+    return C.walk_convergence(C.curve_walk(s.questions))
 
 
-@query("curve_report", f"SELECT dataset, count(*) AS n_questions, count(convergence_n) AS n_converged, count(*) - count(convergence_n) AS n_unconverged, {', '.join(f'CAST(floor(quantile_cont(CAST(convergence_n AS DOUBLE), {q})) AS BIGINT) AS convergence_n_p{p}' for p, q in ((50, 0.5), (90, 0.9), (99, 0.99)))} FROM ({CN_SQL}) GROUP BY dataset", ctes="qopt", cv=FLAT_SQL, cn=CONV_SQL)
+@query("curve_report", f"SELECT dataset, count(*) AS n_questions, count(convergence_n) AS n_converged, count(*) - count(convergence_n) AS n_unconverged, {', '.join(f'CAST(floor(quantile_cont(CAST(convergence_n AS DOUBLE), {q})) AS BIGINT) AS convergence_n_p{p}' for p, q in ((50, 0.5), (90, 0.9), (99, 0.99)))} FROM ({CN_SQL}) GROUP BY dataset", ctes="qopt", **CURVE, cn=CONV_SQL)
 def curve_report(s):
-    return B.curve_summary(B.convergence_n(shaped(s), ["dataset", "key"]), ["dataset"])
+    return B.curve_summary(converged(s), ["dataset"])
 
 
-@query("curve_compare", "SELECT r.dataset, r.key, r.n, r.jsd_mean - c.jsd_mean AS delta_jsd_mean FROM (SELECT dataset, key, n, avg(jsd) AS jsd_mean FROM rj GROUP BY ALL) r JOIN cv c ON c.key = r.key AND c.n = r.n", "delta_jsd_mean", "n", ctes="base qopt", cv=FLAT_SQL, **REAL_SQL)
+@query("curve_compare", "SELECT r.dataset, r.key, r.n, r.jsd_mean - c.jsd_mean AS delta_jsd_mean FROM rv r JOIN cv c ON c.key = r.key AND c.n = r.n", "delta_jsd_mean", "n", ctes="qopt", **CURVE, **REAL_CURVE)
 def curve_compare(s):
-    return B.curve_compare(real(s), shaped(s))
+    return B.curve_compare(C.expected_curve(s.questions, replace=False), C.expected_curve(s.questions))
 
 
 @query("j_real_vs_bootstrap")
 def j_real_vs_bootstrap(s):
-    return B.curve_compare(B.curve_real_counts(s.questions, (20, 50), 100), B.curve_bootstrap(s.questions, (20, 50), 100))
+    return B.curve_compare(B.curve_real_counts(s.questions), B.curve_bootstrap(s.questions))
 
 
-@query("curve_payload", "SELECT c.dataset, c.key, n, jsd_mean, p.tier FROM cv c JOIN policies p ON p.dataset = split_part(c.dataset, ' ', 1) WHERE p.tier IN ('full', 'gated')", "jsd_mean", "n", ctes="qopt policies", cv=FLAT_SQL)
+@query("curve_payload", "SELECT c.dataset, c.key, n, jsd_mean, p.tier FROM cv c JOIN policies p ON p.dataset = split_part(c.dataset, ' ', 1) WHERE p.tier IN ('full', 'gated')", "jsd_mean", "n", ctes="qopt policies", **CURVE)
 def curve_payload(s):
-    rows, _ = B.curve_payload(shaped(s), s.part.select("dataset").distinct(), policies(s))
+    rows, _ = B.curve_payload(C.expected_curve(s.questions), s.part.select("dataset").distinct(), policies(s))
     return rows.select("dataset", "key", "n", "jsd_mean", "tier")
 
 
