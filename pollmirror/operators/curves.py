@@ -25,13 +25,15 @@ REACH = 10
 CELLS = 1 << 20
 
 
-def expected_terms(count: np.ndarray, pool: np.ndarray, n: int, replace: bool = True) -> np.ndarray:
-    """Mean JSD term of an option that ``count`` of ``pool`` chose, when n answers are drawn.
+def expected_value(value: Callable[[np.ndarray, np.ndarray], np.ndarray], count: np.ndarray, pool: np.ndarray, n: int | np.ndarray, replace: bool = True) -> np.ndarray:
+    """Mean of ``value(x / n, count / pool)`` when x of n drawn answers fall on an option that ``count`` of ``pool`` chose.
 
-    The weights of the possible draws follow from the ratio of neighbouring ones and are normalised, so
-    no factorials are needed.
+    ``value`` is not asked where no or every respondent chose the option: the draw is certain, and 0 is
+    returned. The weights of the possible draws follow from the ratio of neighbouring ones and are
+    normalised, so no factorials are needed.
     """
     count, pool = count.astype(np.float64), pool.astype(np.float64)
+    n = np.broadcast_to(np.asarray(n, np.float64), count.shape)
     out = np.zeros(len(count))
     p = count / pool
     sd = np.sqrt(n * p * (1 - p) * (1.0 if replace else np.maximum(pool - n, 0) / np.maximum(pool - 1, 1)))
@@ -43,26 +45,32 @@ def expected_terms(count: np.ndarray, pool: np.ndarray, n: int, replace: bool =
     step = max(1, CELLS // width)
     for a in range(0, len(todo), step):
         i = todo[a : a + step]
+        size, top, q = n[i, None], high[i, None], p[i, None]
         x = low[i, None] + np.arange(width)
-        inside = x <= high[i, None]
-        before = np.where(inside, x, high[i, None])[:, 1:] - 1  # each weight from the one before it
-        before = np.maximum(before, 0)
+        inside = x <= top
+        before = np.maximum(np.where(inside, x, top)[:, 1:] - 1, 0)  # each weight from the one before it
         if replace:
-            ratio = (n - before) / (before + 1) * (p[i] / (1 - p[i]))[:, None]
+            ratio = (size - before) / (before + 1) * (q / (1 - q))
         else:
             c, rest = count[i, None], pool[i, None] - count[i, None]
-            ratio = (c - before) / (before + 1) * (n - before) / np.maximum(rest - n + before + 1, 1)
-        ratio = np.where(inside[:, 1:], ratio, 1.0)
-        log = np.concatenate([np.zeros((len(i), 1)), np.cumsum(np.log(ratio), axis=1)], axis=1)
+            ratio = (c - before) / (before + 1) * (size - before) / np.maximum(rest - size + before + 1, 1)
+        log = np.concatenate([np.zeros((len(i), 1)), np.cumsum(np.log(np.where(inside[:, 1:], ratio, 1.0)), axis=1)], axis=1)
         log = np.where(inside, log, -np.inf)
         weight = np.exp(log - log.max(axis=1, keepdims=True))
-        e, q = x / n, p[i, None]
-        m = (e + q) / 2
-        term = (np.where(e > 0, e * np.log2(np.where(e > 0, e, 1.0) / m), 0.0) + q * np.log2(q / m)) / 2
-        out[i] = (weight * np.where(inside, term, 0.0)).sum(axis=1) / weight.sum(axis=1)
+        out[i] = (weight * np.where(inside, value(np.minimum(x, top) / size, q), 0.0)).sum(axis=1) / weight.sum(axis=1)
     return out
 
 
+def _jsd_term(e: np.ndarray, q: np.ndarray) -> np.ndarray:
+    m = (e + q) / 2
+    return (np.where(e > 0, e * np.log2(np.where(e > 0, e, 1.0) / m), 0.0) + q * np.log2(q / m)) / 2
+
+
+def expected_terms(count: np.ndarray, pool: np.ndarray, n: int, replace: bool = True) -> np.ndarray:
+    """Mean JSD term of an option that ``count`` of ``pool`` chose, when n answers are drawn."""
+    return expected_value(_jsd_term, count, pool, n, replace)
+
+
 def expected_curve(questions: DataFrame, sizes: Sequence[int] = SAMPLE_SIZES, replace: bool = True) -> DataFrame:
     """dataset, key, n, jsd_mean: the exact mean of every curve point.
 

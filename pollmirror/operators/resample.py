@@ -23,6 +23,8 @@ from ..functions.tables import SAMPLE_SIZES
 from .ranking import dense_index, quantiles, rank_within
 
 CHUNK_ROWS = 20_000
+#: Distinct count vectors whose ceilings a task remembers.
+KNOWN = 50_000
 DRAWS_AT_ONCE = 2_000_000
 
 
@@ -236,25 +238,33 @@ def quality_flag(n: Column) -> Column:
 def ceiling(counts: DataFrame, metric: str = "jsd", resamples: int = 1000, seed: int = 42) -> DataFrame:
     """Split-half ceiling per row of ``counts`` (array column, options in sorted order).
 
-    Each row draws pairs of multinomial halves in one numpy call; rows are spread by
-    Spark and share nothing.
+    Each row draws pairs of multinomial halves in one numpy call, all from the same seed, so
+    rows of equal counts have equal ceilings and a task draws each distinct one once. Rows are
+    spread by Spark and share nothing.
     """
     kernel, is_distance = KERNELS[metric]
     schema = T.StructType(counts.schema.fields + [T.StructField(c, T.DoubleType()) for c in ("mean", "ci_low", "ci_high")])
 
+    def one(c: np.ndarray) -> tuple[float, float, float]:
+        n = int(c.sum())
+        if n // 2 < 1:
+            return 0.0, 0.0, 0.0
+        half = np.random.default_rng(seed).multinomial(n // 2, c / n, size=(resamples, 2)) / (n // 2)
+        d = kernel(half[:, 0], half[:, 1])
+        lo, hi = np.percentile(d, [2.5, 97.5])
+        return (1.0 - d.mean(), 1.0 - hi, 1.0 - lo) if is_distance else (d.mean(), lo, hi)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, tuple[float, float, float]] = {}
         for pdf in batches:
             rows = []
             for c in pdf["counts"]:
                 c = np.asarray(c, dtype=np.float64)
-                n = int(c.sum())
-                if n // 2 < 1:
-                    rows.append((0.0, 0.0, 0.0))
-                    continue
-                half = np.random.default_rng(seed).multinomial(n // 2, c / n, size=(resamples, 2)) / (n // 2)
-                d = kernel(half[:, 0], half[:, 1])
-                lo, hi = np.percentile(d, [2.5, 97.5])
-                rows.append((1.0 - d.mean(), 1.0 - hi, 1.0 - lo) if is_distance else (d.mean(), lo, hi))
+                if (key := c.tobytes()) not in known:
+                    if len(known) >= KNOWN:
+                        known.clear()
+                    known[key] = one(c)
+                rows.append(known[key])
             yield pdf.assign(**{k: [r[i] for r in rows] for i, k in enumerate(("mean", "ci_low", "ci_high"))})
 
     total = F.aggregate("counts", F.lit(0.0), lambda a, x: a + x)
@@ -263,14 +273,14 @@ def ceiling(counts: DataFrame, metric: str = "jsd", resamples: int = 1000, seed:
 
 
 def ceiling_agg(ceilings: DataFrame, by: list[str], weight: str = "n_effective", inferred: bool = False) -> DataFrame:
-    """Weighted means of estimate and bounds, summed n, worst flag; inferred counts cap it at medium."""
+    """Weighted means of estimate and, where there are any, bounds, summed n, worst flag; inferred counts cap it at medium."""
     w = F.col(weight)
     rank = F.when(F.col("flag") == "low", 0).when(F.col("flag") == "medium", 1).otherwise(2)
     mean = lambda c: F.sum(w * F.col(c)) / F.sum(w)
     worst = F.min(rank)
     worst = F.least(worst, F.lit(1)) if inferred else worst
     return ceilings.groupBy(*by).agg(
-        mean("mean").alias("mean"), mean("ci_low").alias("ci_low"), mean("ci_high").alias("ci_high"),
+        *[mean(c).alias(c) for c in ("mean", "ci_low", "ci_high") if c in ceilings.columns],
         F.sum("n_effective").alias("n_effective"), F.count("*").alias("n_questions"),
         F.when(worst == 0, "low").when(worst == 1, "medium").otherwise("high").alias("flag"),
     )
@@ -283,10 +293,10 @@ def ceiling_levels(ceilings: DataFrame, level: list[str], inferred: bool = False
     return per, overall
 
 
-def ceiling_spread(per_group: DataFrame, worst: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Quartiles of the group ceilings, the worst groups and the flag counts."""
+def ceiling_spread(per_group: DataFrame, worst: int = 5, ties: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Quartiles of the group ceilings, the worst groups (equal ones by ``ties``) and the flag counts."""
     q = quantiles(per_group, [], "mean", {"min": 0.0, "p25": 0.25, "median": 0.5, "p75": 0.75, "max": 1.0}, bounds=(0, 1))
-    return q, per_group.orderBy("mean").limit(worst), per_group.groupBy("flag").agg(F.count("*").alias("n"))
+    return q, per_group.orderBy("mean", *ties).limit(worst), per_group.groupBy("flag").agg(F.count("*").alias("n"))
 
 
 def counts_from_probs(p: Column, n: int) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import special as SP
 from ..functions.tables import SAMPLE_SIZES
 from ..operators import agreement as A
+from ..operators import ceilings as E
 from ..operators import clustering as K
 from ..operators import curves as C
 from ..operators import resample as B
@@ -304,23 +305,38 @@ def ceiling_tau(s):
     return d.select("dataset", "key", "mean", "ci_low", "ci_high", "n_effective", "flag")
 
 
-# a closed-form stand-in for the random estimate lets SQL check the aggregation
-CE_SQL = "SELECT dataset, key, 1e0 - 1e0 / n AS mean, 1e0 - 2e0 / n AS ci_low, 1e0 - 0.5e0 / n AS ci_high, n AS n_effective, CASE WHEN n >= 40 THEN 'high' WHEN n >= 20 THEN 'medium' ELSE 'low' END AS flag FROM (SELECT dataset, key, CAST(sum(n) AS BIGINT) AS n FROM qopt GROUP BY ALL)"
-CAGG = lambda by, src, w: f"SELECT {by}, sum({w} * mean) / sum({w}) AS mean, sum({w} * ci_low) / sum({w}) AS ci_low, sum({w} * ci_high) / sum({w}) AS ci_high, CAST(sum(n_effective) AS BIGINT) AS n_effective, count(*) AS n_questions, CASE min(CASE flag WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS flag FROM {src} GROUP BY {by}"
+def ceiling_ctes(name: str, source: str, by: str) -> dict:
+    """Exact mean ceilings from factorials: per option E phi(h draws) - E phi(2h draws), phi(x) = x log2 x."""
+    cols = ", ".join(f"{c.strip()}" for c in by.split(","))
+    flag = "CASE WHEN pool >= 400 THEN 'high' WHEN pool >= 200 THEN 'medium' ELSE 'low' END"
+    reach = "(10 * sqrt(m * p * (1e0 - p)) + 10)"
+    return {
+        f"{name}c": f"SELECT {cols}, n AS c, CAST(sum(n) OVER (PARTITION BY {cols}) AS BIGINT) AS pool FROM {source}",
+        f"{name}t": f"""SELECT c, pool, sum(CASE WHEN k = 1 THEN v ELSE -v END) AS term FROM (SELECT c, pool, k, sum(w * CASE WHEN x > 0 THEN x / m * log2(x / m) ELSE 0e0 END) / sum(w) AS v FROM (
+            SELECT *, exp(lgamma(m + 1) - lgamma(x + 1) - lgamma(m - x + 1) + x * ln(p) + (m - x) * ln(1e0 - p)) AS w FROM (
+            SELECT *, unnest(range(CAST(greatest(0, floor(m * p - {reach})) AS BIGINT), CAST(least(m, ceil(m * p + {reach})) AS BIGINT) + 1)) AS x FROM (
+            SELECT c, pool, c / pool AS p, k, k * (pool // 2) AS m FROM (SELECT DISTINCT c, pool FROM {name}c), (VALUES (1), (2)) s(k) WHERE c < pool AND pool >= 2))) GROUP BY c, pool, k) GROUP BY c, pool""",
+        name: f"SELECT {cols}, CASE WHEN pool >= 2 THEN 1e0 - sum(coalesce(t.term, 0e0)) ELSE 0e0 END AS mean, pool AS n_effective, {flag} AS flag FROM {name}c LEFT JOIN {name}t t USING (c, pool) GROUP BY {cols}, pool",
+    }
 
 
-def closed_form(s):
-    n = F.col("n")
-    flag = F.when(n >= 40, "high").when(n >= 20, "medium").otherwise("low")
-    return s.questions.select(
-        "dataset", "key", (F.lit(1.0) - F.lit(1.0) / n).alias("mean"), (F.lit(1.0) - F.lit(2.0) / n).alias("ci_low"),
-        (F.lit(1.0) - F.lit(0.5) / n).alias("ci_high"), n.alias("n_effective"), flag.alias("flag"),
-    )
+CAGG = lambda by, src: f"SELECT {by}, sum(n_effective * mean) / sum(n_effective) AS mean, CAST(sum(n_effective) AS BIGINT) AS n_effective, count(*) AS n_questions, CASE min(CASE flag WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS flag FROM {src} GROUP BY {by}"
+CEILING = ceiling_ctes("ce", "qopt", "dataset, key")
 
 
-@query("ceiling_agg", CAGG("dataset", "ce", "n_effective"), "mean ci_low ci_high", ctes="qopt", ce=CE_SQL)
+@query("ceiling_expected", "SELECT * FROM ce", "mean", ctes="qopt", **CEILING)
+def ceiling_expected(s):
+    return E.expected_ceiling(s.questions.select("dataset", "key", "counts")).drop("counts")
+
+
+@query("ceiling_agg", CAGG("dataset", "ce"), "mean", ctes="qopt", **CEILING)
 def ceiling_agg(s):
-    return B.ceiling_agg(closed_form(s), ["dataset"])
+    return B.ceiling_agg(E.expected_ceiling(s.questions.select("dataset", "key", "counts")), ["dataset"])
+
+
+@query("ceiling_agg_drawn")
+def ceiling_agg_drawn(s):
+    return B.ceiling_agg(B.ceiling(s.questions.select("dataset", "key", "counts")), ["dataset"])
 
 
 def wave_counts(s):
@@ -329,27 +345,66 @@ def wave_counts(s):
 
 @query("ceiling_wave")
 def ceiling_wave(s):
-    per, overall = B.ceiling_levels(B.ceiling(wave_counts(s), resamples=200), ["wave"])
+    per, overall = B.ceiling_levels(B.ceiling(wave_counts(s)), ["wave"])
     cols = ["mean", "ci_low", "ci_high", "n_effective", "n_questions", "flag"]
     return per.select("wave", *cols).unionByName(overall.select(F.lit("overall").alias("wave"), *cols))
 
 
+@query("ceiling_wave_expected", CAGG("wave", "wce"), "mean", ctes="wopt", wq="SELECT survey AS wave, key, option, n FROM wopt QUALIFY sum(n) OVER (PARTITION BY key) >= 10", **ceiling_ctes("wce", "wq", "wave, key"))
+def ceiling_wave_expected(s):
+    return B.ceiling_agg(E.expected_ceiling(wave_counts(s)), ["wave"])
+
+
+# subgroups: a question is one brand of a data set; market segment, nation and year are the attributes
+CUT_SQL = """SELECT dataset, brand, attribute, grp, option, count(*) AS n FROM (
+    SELECT g.dataset, p_brand AS brand, option, grp AS seg, CAST(c_nationkey AS VARCHAR) AS nat, CAST(year(ts) AS VARCHAR) AS yr FROM grouped g JOIN parts USING (key)),
+    LATERAL (VALUES ('segment', seg), ('nation', nat), ('year', yr), ('segment_nation', seg || ' × ' || nat), ('segment_year', seg || ' × ' || yr), ('nation_year', nat || ' × ' || yr)) v(attribute, grp)
+    GROUP BY dataset, brand, attribute, grp, option QUALIFY sum(count(*)) OVER (PARTITION BY dataset, brand, attribute, grp) >= 10"""
+CUTS = {"cut": CUT_SQL, **ceiling_ctes("sce", "cut", "dataset, brand, attribute, grp"), "sub": CAGG("attribute, grp", "sce")}
+
+
+def cuts(s):
+    rows = s.grouped.join(s.part.select("key", F.col("p_brand").alias("brand")), "key")
+    return E.cross_cuts(rows, ["dataset", "brand"], {"segment": F.col("group"), "nation": F.col("c_nationkey"), "year": F.year("ts")})
+
+
+def exact_subgroups(s):
+    return E.subgroup_ceilings(cuts(s), resamples=None)
+
+
 @query("ceiling_subgroup")
 def ceiling_subgroup(s):
-    d = S.question_distributions(s.grouped.withColumn("year", F.year("ts")), ["group", "year", "key"]).select(
-        F.concat_ws(" × ", "group", "year").alias("group"), "key", "counts"
-    )
-    return B.ceiling_agg(B.ceiling(d, resamples=100), ["group"])
+    return E.subgroup_ceilings(cuts(s))
+
+
+@query("ceiling_cross_cuts", 'SELECT dataset, brand, attribute, grp AS "group", list(n ORDER BY option)::VARCHAR AS counts FROM cut GROUP BY ALL', ctes="grouped", cut=CUT_SQL)
+def ceiling_cross_cuts(s):
+    return cuts(s).withColumn("counts", F.concat(F.lit("["), F.array_join(F.transform("counts", lambda c: c.cast("string")), ", "), F.lit("]")))
 
 
-@query("ceiling_subgroup_spread", "SELECT min(mean) AS min, quantile_cont(mean, 0.25) AS p25, quantile_cont(mean, 0.5) AS median, quantile_cont(mean, 0.75) AS p75, max(mean) AS max FROM ce", "min p25 median p75 max", ctes="qopt", ce=CE_SQL)
+@query("ceiling_subgroup_expected", 'SELECT * RENAME (grp AS "group") FROM sub', "mean", ctes="grouped", **CUTS)
+def ceiling_subgroup_expected(s):
+    return exact_subgroups(s)
+
+
+@query("ceiling_subgroup_spread", "SELECT min(mean) AS min, quantile_cont(mean, 0.25) AS p25, quantile_cont(mean, 0.5) AS median, quantile_cont(mean, 0.75) AS p75, max(mean) AS max FROM sub", "min p25 median p75 max", ctes="grouped", **CUTS)
 def ceiling_subgroup_spread(s):
-    return B.ceiling_spread(closed_form(s))[0]
+    return B.ceiling_spread(exact_subgroups(s))[0]
+
+
+@query("ceiling_subgroup_worst", 'SELECT * RENAME (grp AS "group") FROM sub ORDER BY sub.mean, attribute, grp LIMIT 5', "mean", ctes="grouped", **CUTS)
+def ceiling_subgroup_worst(s):
+    return B.ceiling_spread(exact_subgroups(s), ties=["attribute", "group"])[1]
+
+
+@query("ceiling_subgroup_flags", "SELECT flag, count(*) AS n FROM sub GROUP BY flag", ctes="grouped", **CUTS)
+def ceiling_subgroup_flags(s):
+    return B.ceiling_spread(exact_subgroups(s))[2]
 
 
 def _inferred(s, n: int, by: str, source):
     d = source.withColumn("counts", B.counts_from_probs(F.col("p_human"), n)).select(by, "key", "counts")
-    return B.ceiling_agg(B.ceiling(d, resamples=100), [by], inferred=True)
+    return B.ceiling_agg(B.ceiling(d), [by], inferred=True)
 
 
 @query("ceiling_subpop")
