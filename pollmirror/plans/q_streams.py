@@ -27,15 +27,39 @@ def s_access_counts(s):
 LIMIT, SECONDS = 2, 43_200
 
 
-@query("s_rate_limit")
+# ordered replay: one row of every key per step, with the accepted times that are still in its window
+REPLAY_SQL = f"""SELECT api_key, count(*) AS n, count(*) FILTER (ok) AS n_allowed FROM (
+    WITH RECURSIVE ev AS (SELECT user_id AS api_key, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    run AS (SELECT api_key, rn, true AS ok, [t] AS held FROM ev WHERE rn = 1
+      UNION ALL SELECT e.api_key, e.rn, len(list_filter(r.held, lambda h: h >= e.t - {SECONDS * 1_000_000})) < {LIMIT} AS ok,
+        CASE WHEN len(list_filter(r.held, lambda h: h >= e.t - {SECONDS * 1_000_000})) < {LIMIT} THEN list_append(list_filter(r.held, lambda h: h >= e.t - {SECONDS * 1_000_000}), e.t)
+          ELSE list_filter(r.held, lambda h: h >= e.t - {SECONDS * 1_000_000}) END AS held
+        FROM run r JOIN ev e ON e.api_key = r.api_key AND e.rn = r.rn + 1)
+    SELECT api_key, ok FROM run) GROUP BY api_key"""
+
+
+def submissions(s):
+    return event_stream(s).select(F.col("event_id").alias("id"), F.col("user_id").alias("api_key"), F.col("ts").alias("submitted_at"))
+
+
+@query("s_rate_limit", REPLAY_SQL)
 def s_rate_limit(s):
     out, ck = C.shared_folder(s.spark, "limit"), C.shared_folder(s.spark, "limit-ck")
-    d = event_stream(s).select(F.col("event_id").alias("id"), F.col("user_id").alias("api_key"), F.col("ts").alias("submitted_at"))
-    C.drain(L.rate_limit(d, LIMIT, SECONDS), out, ck)
-    r = s.spark.read.schema("id long, api_key long, submitted_at timestamp, allowed boolean").parquet(out)
+    C.drain(L.rate_limit(submissions(s), LIMIT, SECONDS), out, ck, conf=L.STORE)
+    r = s.spark.read.schema(L.DECIDED).parquet(out)
     return r.groupBy("api_key").agg(F.count("*").alias("n"), F.count_if("allowed").alias("n_allowed"))
 
 
+@query("s_busy_windows", f"""SELECT api_key, strftime(start, '%Y-%m-%d %H:%M') AS start, count(*) AS n, count(*) > {LIMIT} AS over FROM (
+    SELECT user_id AS api_key, time_bucket(INTERVAL {SECONDS // 4} SECONDS, ts, TIMESTAMP '1970-01-01') - k * INTERVAL {SECONDS // 4} SECONDS AS start FROM events, range(0, 4) r(k))
+    WHERE start + INTERVAL {SECONDS} SECONDS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY api_key, start""")
+def s_busy_windows(s):
+    out, ck = C.shared_folder(s.spark, "busy"), C.shared_folder(s.spark, "busy-ck")
+    C.drain(L.busy_windows(submissions(s), LIMIT, SECONDS, SECONDS // 4), out, ck)
+    d = s.spark.read.schema("api_key long, start timestamp, n long, over boolean").parquet(out)
+    return d.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+
+
 @query("s_rate_limit_batch", f"SELECT event_id AS id, user_id AS api_key, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL {SECONDS} SECONDS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS recent FROM events")
 def s_rate_limit_batch(s):
     d = s.table("events").select(F.col("event_id").alias("id"), F.col("user_id").alias("api_key"), F.col("ts").alias("submitted_at"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,22 @@ def table_stream(spark: SparkSession, folder: str, table: str, files_per_trigger
     )
 
 
-def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
-    """Run a stream over everything available into a Parquet folder."""
-    stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str] | None) -> Iterator[None]:
+    """Session settings for as long as a stream is started and run; the old ones come back."""
+    old = {k: spark.conf.get(k, None) for k in conf or {}}
+    for k, v in (conf or {}).items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", conf: dict[str, str] | None = None) -> list:
+    """Run a stream over everything available into a Parquet folder; returns the progress of its batches."""
+    with settings(stream.sparkSession, conf):
+        query = stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    return list(query.recentProgress)

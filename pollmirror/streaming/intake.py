@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,16 +73,65 @@ def gate(docs: DataFrame, marker: str) -> DataFrame:
     )
 
 
-def run_intake(docs: DataFrame, marker: str, out: str, checkpoint: str) -> None:
-    """Gate a stream of documents into accepted and rejected tables.
+#: Hash buckets of the table of taken ids; a batch reads those that its own ids fall into.
+BUCKETS = 64
+TAKEN = "run_id string, bucket int, batch bigint"
 
-    A run id is taken once. Every micro-batch overwrites its own partition, so a batch
-    replayed after a failure leaves the same tables.
+
+def bucket_of(run_id: Column) -> Column:
+    return F.pmod(F.xxhash64(run_id), F.lit(BUCKETS)).cast("int")
+
+
+def not_taken(batch: DataFrame, batch_id: int, taken: str) -> DataFrame:
+    """Rows of a batch whose run id no earlier batch took, one per id.
+
+    The table of taken ids is partitioned by bucket and batch: only the buckets of this batch's
+    ids are read, and a batch that is run again does not see the ids it wrote itself.
+    """
+    spark = batch.sparkSession
+    own = batch.dropDuplicates(["run_id"]).withColumn("bucket", bucket_of(F.col("run_id")))
+    buckets = [r.bucket for r in own.select("bucket").distinct().collect()]  # at most BUCKETS
+    try:
+        known = spark.read.schema(TAKEN).parquet(taken)
+    except AnalysisException as exc:  # no batch has written yet
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return own
+    known = known.where(F.col("bucket").isin(buckets) & (F.col("batch") < batch_id)).select("bucket", "run_id")
+    return own.join(known, ["bucket", "run_id"], "left_anti")
+
+
+def run_intake(docs: DataFrame, marker: str, out: str, checkpoint: str, arrival: Column | None = None, horizon: str = "1 day") -> list:
+    """Gate a stream of documents into accepted and rejected tables; returns the progress of its batches.
+
+    A run id is taken once, for ever, with state that does not grow: ids seen within ``horizon`` of
+    their arrival are stream state and dropped there; older ones are found in the table of
+    taken ids, which every batch anti-joins before it writes. Arrival is the time of the batch, or
+    a column of times that never go back by more than the horizon. Every micro-batch overwrites its own
+    partitions, so a batch replayed after a failure leaves the same tables; ``out`` and
+    ``checkpoint`` belong together. Documents without an id are judged each, none is taken for another.
     """
-    gated = gate(docs.dropDuplicates(["run_id"]), marker)
+    arrived = docs.select("run_id", "raw", (F.current_timestamp() if arrival is None else arrival).cast("timestamp").alias("arrival"))
+    recent = arrived.where("run_id IS NOT NULL").withWatermark("arrival", horizon).dropDuplicatesWithinWatermark(["run_id"])
+    unnamed = docs.where("run_id IS NULL").select("run_id", "raw")
+    taken = f"{out}/taken"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        for status, name in (("validating", "accepted"), ("rejected", "rejected")):
-            batch.where(F.col("status") == status).write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
-
-    gated.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        batch.persist()
+        fresh = not_taken(batch.where("run_id IS NOT NULL"), batch_id, taken)
+        rows = fresh.unionByName(batch.where("run_id IS NULL").withColumn("bucket", F.lit(None).cast("int"))).persist()
+        try:
+            gated = gate(rows.drop("bucket"), marker)
+            for status, name in (("validating", "accepted"), ("rejected", "rejected")):
+                gated.where(F.col("status") == status).write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+            # ids last: a batch that failed half way has taken none
+            ids = rows.where("run_id IS NOT NULL").select("run_id", "bucket", F.lit(batch_id).cast("bigint").alias("batch"))
+            ids.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(taken)
+        finally:
+            rows.unpersist()
+            batch.unpersist()
+
+    stream = recent.drop("arrival").unionByName(unnamed)
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return list(query.recentProgress)
