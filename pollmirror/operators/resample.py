@@ -167,10 +167,21 @@ def percentile_ci(replicates: DataFrame, by: list[str], lo: float = 0.025, hi: f
     )
 
 
-def paired_test(a: DataFrame, b: DataFrame, by: list[str], value: str = "parity", resamples: int = 10_000, seed: int = 42, hashed: bool = False) -> DataFrame:
-    """Centred paired bootstrap on shared keys: delta, p value and verdict."""
+def paired_diffs(a: DataFrame, b: DataFrame, by: list[str], value: str = "parity") -> DataFrame:
+    """by, key, d: a minus b on the questions both sides have."""
     side = lambda d, n: d.select(*by, "key", F.col(value).alias(n))
-    diffs = side(a, "_a").join(side(b, "_b"), [*by, "key"]).select(*by, "key", (F.col("_a") - F.col("_b")).alias("d"))
+    return side(a, "_a").join(side(b, "_b"), [*by, "key"]).select(*by, "key", (F.col("_a") - F.col("_b")).alias("d"))
+
+
+def run_pair_diffs(scored: DataFrame, by: list[str], run: str = "model", value: str = "parity") -> DataFrame:
+    """by, run_a, run_b, key, d for every pair of runs that share questions; a question has few runs."""
+    side = lambda s: scored.select(*by, "key", F.col(run).alias(f"run_{s}"), F.col(value).alias(f"_{s}"))
+    pairs = side("a").join(side("b"), [*by, "key"]).where("run_a < run_b")
+    return pairs.select(*by, "run_a", "run_b", "key", (F.col("_a") - F.col("_b")).alias("d"))
+
+
+def paired_bootstrap(diffs: DataFrame, by: list[str], resamples: int = 10_000, seed: int = 42, hashed: bool = False) -> DataFrame:
+    """Centred bootstrap of the mean difference per group: delta, p value and verdict."""
     obs = diffs.groupBy(*by).agg(F.avg("d").alias("delta"), F.count("*").alias("n"))
     reps = (boot_means_hash if hashed else boot_means)(diffs, by, "key", "d", resamples, seed)
     p = F.avg((F.round(F.abs(F.col("mean") - F.col("delta")), 12) >= F.round(F.abs("delta"), 12)).cast("double"))
@@ -179,6 +190,11 @@ def paired_test(a: DataFrame, b: DataFrame, by: list[str], value: str = "parity"
     )
 
 
+def paired_test(a: DataFrame, b: DataFrame, by: list[str], value: str = "parity", resamples: int = 10_000, seed: int = 42, hashed: bool = False) -> DataFrame:
+    """Centred paired bootstrap on shared keys: delta, p value and verdict."""
+    return paired_bootstrap(paired_diffs(a, b, by, value), by, resamples, seed, hashed)
+
+
 def proportion_ci(counts: DataFrame, resamples: int = 2000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
     """BCa interval of every category share in a frequency table (count, total).
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import special as SP
 from ..functions.tables import SAMPLE_SIZES
 from ..operators import agreement as A
 from ..operators import ceilings as E
@@ -12,13 +11,11 @@ from ..operators import clustering as K
 from ..operators import curves as C
 from ..operators import resample as B
 from ..operators import scoring as S
+from ..operators import statistics as V
 from .oracle import hex8, jsd_of
 from .q_rollups import WAVE_LONG, policies
 from .registry import query
 
-R = 50  # replicates of the hash-drawn checks
-
-
 # --- SQL helpers --------------------------------------------------------------------
 
 
@@ -30,46 +27,6 @@ def gamma_p(a: str, z: str) -> str:
     )
 
 
-def cdf(x: str) -> str:
-    return f"(0.5e0 * (1e0 + sign({x}) * ({gamma_p('0.5e0', f'(({x}) * ({x}) / 2e0)')})))"
-
-
-def _poly(x: str, cs) -> str:
-    out = f"({cs[0]!r}::DOUBLE)"
-    for c in cs[1:]:
-        out = f"({out} * {x} + {c!r}::DOUBLE)"
-    return out
-
-
-def quantile_sql(p: str) -> str:
-    tail = lambda e: f"({_poly(f'sqrt(-2e0 * ln({e}))', SP.C)} / {_poly(f'sqrt(-2e0 * ln({e}))', [*SP.D, 1.0])})"
-    mid = f"({_poly(f'(({p} - 0.5e0) * ({p} - 0.5e0))', SP.A)} * ({p} - 0.5e0) / {_poly(f'(({p} - 0.5e0) * ({p} - 0.5e0))', [*SP.B, 1.0])})"
-    return f"(CASE WHEN {p} < {SP.TAIL} THEN {tail(p)} WHEN {p} <= 1e0 - {SP.TAIL} THEN {mid} ELSE -{tail(f'(1e0 - {p})')} END)"
-
-
-def boot_ctes(source: str, by: str, key: str, value: str, resamples: int, seed: str = "42") -> dict:
-    group = f"concat_ws('/', {by})"
-    return {
-        "bx": f"SELECT {by}, {group} AS g, {value} AS x, row_number() OVER (PARTITION BY {by} ORDER BY substr(md5({key}), 1, 2), {key}) - 1 AS idx, count(*) OVER (PARTITION BY {by}) AS n FROM {source}",
-        "bd": f"SELECT g, b, n, CAST(floor({hex8(f'''concat_ws('|', {seed}, g, b, idx)''')} / 4294967296e0 * n) AS BIGINT) AS t FROM bx, range(0, {resamples}) r(b)",
-        "bm": f"SELECT {', '.join('bx.' + c.strip() for c in by.split(','))}, bd.b, avg(bx.x) AS mean FROM bd JOIN bx ON bx.g = bd.g AND bx.idx = bd.t GROUP BY ALL",
-    }
-
-
-def bca_ctes(by: str, resamples: int) -> dict:
-    lo, hi = f"{1 / (resamples + 1)!r}::DOUBLE", f"{resamples / (resamples + 1)!r}::DOUBLE"
-    zl, zh = quantile_sql("0.025e0"), quantile_sql("0.975e0")
-    on = " AND ".join(f"a.{c.strip()} = b.{c.strip()}" for c in by.split(","))
-    place = lambda z: f"CAST(floor(greatest({lo}, least({hi}, {cdf(f'(z0 + (z0 + {z}) / (1e0 - acc * (z0 + {z})))')})) * {resamples}) AS BIGINT)"
-    return {
-        "mom": f"SELECT {by}, any_value(m) AS estimate, count(*) AS n, sum((x - m) ** 3) / (6e0 * sum((x - m) ** 2) ** 1.5e0) AS acc FROM (SELECT *, avg(x) OVER (PARTITION BY {by}) AS m FROM bx) GROUP BY {by} HAVING count(*) >= 5",
-        "bel": f"SELECT {', '.join('a.' + c.strip() for c in by.split(','))}, greatest({lo}, least({hi}, avg(CASE WHEN round(a.mean, 12) < round(b.estimate, 12) THEN 1e0 ELSE 0e0 END))) AS below FROM bm a JOIN mom b ON {on} GROUP BY ALL",
-        "zz": f"SELECT b.*, {quantile_sql('a.below')} AS z0 FROM bel a JOIN mom b ON {on}",
-        "ab": f"SELECT *, {place(zl)} AS lo_at, {place(zh)} AS hi_at FROM (SELECT * REPLACE (CASE WHEN isnan(acc) OR acc IS NULL THEN 0e0 ELSE acc END AS acc) FROM zz)",
-        "ci": f"SELECT b.*, list_sort(a.l)[b.lo_at + 1] AS ci_lower, list_sort(a.l)[b.hi_at + 1] AS ci_upper FROM (SELECT {by}, list(mean) AS l FROM bm GROUP BY {by}) a JOIN ab b ON {on}",
-    }
-
-
 # --- agreement ----------------------------------------------------------------------
 
 FREQ_SQL = "SELECT dataset, option, count(*) AS count, sum(count(*)) OVER (PARTITION BY dataset) AS total, count(*) / sum(count(*)) OVER (PARTITION BY dataset) AS share FROM base GROUP BY dataset, option"
@@ -231,35 +188,61 @@ def core_sample(s):
 # --- bootstrap ----------------------------------------------------------------------
 
 
-@query("bca_ci", "SELECT run_id, estimate, n, ci_lower, ci_upper FROM ci", "estimate ci_lower ci_upper", ctes="scored", **boot_ctes("scored", "run_id", "key", "parity", R), **bca_ctes("run_id", R))
+@query("bca_ci")
 def bca_ci(s):
-    reps = B.boot_means_hash(s.scored, ["run_id"], "key", "parity", R)
-    return B.bca_interval(s.scored, reps, ["run_id"], "parity", R)
+    return V.statistic_ci(s.scored, ["run_id"], "key", ["parity"])
+
+
+@query("bca_ci_median")
+def bca_ci_median(s):
+    return V.statistic_ci(s.scored, ["run_id"], "key", ["jsd"], "median")
+
+
+@query("bca_ci_cv")
+def bca_ci_cv(s):
+    return V.statistic_ci(s.scored, ["run_id"], "key", ["parity"], "cv")
+
+
+@query("bca_ci_tau")
+def bca_ci_tau(s):
+    """Do questions that people refuse get refused by the model, over the questions of a run?"""
+    return V.statistic_ci(s.scored, ["run_id"], "key", ["human_refusal_rate", "model_refusal_rate"], "tau")
+
 
+ESTIMATE_SQL = """SELECT run_id, count(*) AS n, avg(parity) AS mean, quantile_cont(jsd, 0.5) AS median, stddev_samp(parity) / avg(parity) AS cv, corr(human_refusal_rate, model_refusal_rate) AS correlation FROM scored GROUP BY run_id HAVING count(*) >= 5"""
 
-RUN_ROWS = "SELECT run_id, key, metric, x FROM (SELECT run_id, key, jsd, tau, abs(model_refusal_rate - human_refusal_rate) AS r, parity FROM scored), LATERAL (VALUES ('p_dist', jsd), ('p_rank', tau), ('p_refuse', r), ('sps', parity)) v(metric, x)"
 
+@query("bca_estimates", ESTIMATE_SQL, "mean median cv correlation", ctes="scored")
+def bca_estimates(s):
+    """The estimates of several statistics side by side."""
+    of = {"mean": ["parity"], "median": ["jsd"], "cv": ["parity"], "correlation": ["human_refusal_rate", "model_refusal_rate"]}
+    out = None
+    for name, columns in of.items():
+        one = V.statistic_ci(s.scored, ["run_id"], "key", columns, name, resamples=10)
+        one = one.select("run_id", *(["n"] if out is None else []), F.col("estimate").alias(name))
+        out = one if out is None else out.join(one, "run_id")
+    return out
 
-@query("run_ci", """SELECT run_id, metric, n, CASE WHEN metric IN ('p_dist', 'p_refuse') THEN 1e0 - ci_upper WHEN metric = 'p_rank' THEN (1e0 + ci_lower) / 2e0 ELSE ci_lower END AS ci_lower,
-    CASE WHEN metric IN ('p_dist', 'p_refuse') THEN 1e0 - ci_lower WHEN metric = 'p_rank' THEN (1e0 + ci_upper) / 2e0 ELSE ci_upper END AS ci_upper FROM ci""", "ci_lower ci_upper", ctes="scored",
-       rr=RUN_ROWS, **boot_ctes("rr", "run_id, metric", "key", "x", R), **bca_ctes("run_id, metric", R))
+
+@query("run_ci")
 def run_ci(s):
-    return B.run_ci(s.scored, R, hashed=True)
+    return B.run_ci(s.scored)
 
 
 @query("run_ci_kernel")
 def run_ci_kernel(s):
-    return B.run_ci(s.scored, 2000)
+    """Intervals of the resampled values themselves, before they are turned into scores."""
+    return V.statistic_ci(B.run_metric_rows(s.scored), ["run_id", "metric"], "key", ["x"])
 
 
-PAIR_SQL = "SELECT a.dataset, a.key, a.parity - b.parity AS d FROM scored a JOIN scored b ON a.key = b.key AND a.model = 'm1' AND b.model = 'm3'"
+@query("paired_test")
+def paired_test(s):
+    return B.paired_bootstrap(B.run_pair_diffs(s.scored, ["dataset"]), ["dataset", "run_a", "run_b"])
 
 
-@query("paired_test", """SELECT dataset, delta, n, p_value, CASE WHEN p_value < 0.05e0 THEN 'significant' ELSE 'not significant' END AS verdict FROM (SELECT o.dataset, o.delta, o.n, avg(CASE WHEN round(abs(m.mean - o.delta), 12) >= round(abs(o.delta), 12) THEN 1e0 ELSE 0e0 END) AS p_value
-    FROM bm m JOIN (SELECT dataset, avg(d) AS delta, count(*) AS n FROM pr GROUP BY dataset) o ON o.dataset = m.dataset GROUP BY ALL)""", "delta p_value", ctes="scored", pr=PAIR_SQL, **boot_ctes("pr", "dataset", "key", "d", R))
-def paired_test(s):
-    a, b = s.scored.where("model = 'm1'"), s.scored.where("model = 'm3'")
-    return B.paired_test(a, b, ["dataset"], resamples=R, hashed=True)
+@query("paired_deltas", "SELECT a.dataset, a.model AS run_a, b.model AS run_b, avg(a.parity - b.parity) AS delta, count(*) AS n FROM scored a JOIN scored b ON a.dataset = b.dataset AND a.key = b.key AND a.model < b.model GROUP BY ALL", "delta", ctes="scored")
+def paired_deltas(s):
+    return B.run_pair_diffs(s.scored, ["dataset"]).groupBy("dataset", "run_a", "run_b").agg(F.avg("d").alias("delta"), F.count("*").alias("n"))
 
 
 @query("j_compare_significance")
@@ -268,10 +251,9 @@ def j_compare_significance(s):
     return B.paired_test(a, b, ["dataset"])
 
 
-@query("ensemble_ci", "SELECT run_id, quantile_cont(mean, 0.025) AS ci_low, quantile_cont(mean, 0.975) AS ci_high FROM bm GROUP BY run_id", "ci_low ci_high", ctes="scored", e4="SELECT * FROM scored WHERE model = 'm4'", **boot_ctes("e4", "run_id", "key", "parity", R))
+@query("ensemble_ci")
 def ensemble_ci(s):
-    reps = B.boot_means_hash(s.scored.where("model = 'm4'"), ["run_id"], "key", "parity", R)
-    return B.percentile_ci(reps, ["run_id"])
+    return B.percentile_ci(B.boot_means(s.scored, ["run_id"], "key", "parity", 1000), ["run_id"])
 
 
 DRIFT = {"wy": """SELECT *, abs(ya - yb) AS gap, concat_ws('|', stem, key_a, key_b) AS pair, 'all' AS a FROM (SELECT *, """ + " , ".join(
@@ -281,13 +263,17 @@ DRIFT = {"wy": """SELECT *, abs(ya - yb) AS gap, concat_ws('|', stem, key_a, key
 
 @query("temporal_drift", "SELECT gap, avg(jsd) AS mean_jsd, count(*) AS n_pairs FROM wy GROUP BY gap", "mean_jsd", "gap", ctes="wopt", **WAVE_LONG, **DRIFT)
 def temporal_drift(s):
-    return B.temporal_drift(s.waves, R, hashed=True)[2]
+    return B.temporal_drift(s.waves)[2]
 
 
-@query("temporal_drift_overall", "SELECT avg(w.jsd) AS mean_drift, count(*) AS n_pairs, count(DISTINCT stem) AS n_stems, min(c.lo) AS ci_low, min(c.hi) AS ci_high FROM wy w, (SELECT quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM bm) c",
-       "mean_drift ci_low ci_high", ctes="wopt", **WAVE_LONG, **DRIFT, **boot_ctes("wy", "a", "pair", "jsd", R))
+@query("temporal_drift_overall", "SELECT avg(jsd) AS mean_drift, count(*) AS n_pairs, count(DISTINCT stem) AS n_stems FROM wy", "mean_drift", ctes="wopt", **WAVE_LONG, **DRIFT)
 def temporal_drift_overall(s):
-    return B.temporal_drift(s.waves, R, hashed=True)[1]
+    return B.temporal_drift(s.waves)[1].select("mean_drift", "n_pairs", "n_stems")
+
+
+@query("temporal_drift_ci")
+def temporal_drift_ci(s):
+    return B.temporal_drift(s.waves)[1]
 
 
 # --- ceilings -----------------------------------------------------------------------

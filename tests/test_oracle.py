@@ -9,7 +9,7 @@ from oracle_check import compare, duck
 
 SF = "/root/testdata/sf0.001"
 PICKED = """jsd tau_b question_score run_score sample_distribution config_id parse_provider qset_hash leaderboard question_summary
-concordance contamination_risk ensemble_blend demographic_eval split_sps v_perq v_reagg v_schema validate run_ci kripp_alpha_ordinal
+concordance contamination_risk ensemble_blend demographic_eval split_sps v_perq v_reagg v_schema validate bca_estimates paired_deltas kripp_alpha_ordinal
 curve_real_expected convergence_n src_wave_json src_microdata core_sample s_intake""".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
