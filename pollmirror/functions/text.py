@@ -1,32 +1,56 @@
-"""Text, key and hash expressions (all JVM-side)."""
+"""Text, key and hash expressions, JVM-side but for the topics' automaton."""
 
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import tables as T
-from .distance import bind
 
 
-def topic(text: Column, taxonomy: dict[str, list[str]] | None = None) -> Column:
-    """First topic with a keyword inside the lower-cased text, else the fallback.
+@lru_cache(maxsize=8)
+def _automaton(words: tuple[tuple[str, int], ...]):
+    """One automaton over all keywords, each with the place of its topic."""
+    import ahocorasick
 
-    Plain substring tests short-circuit in taxonomy order; the whole text is searched.
-    """
+    a = ahocorasick.Automaton()
+    for word, rank in words:
+        a.add_word(word, rank)
+    a.make_automaton()
+    return a
 
-    def first(low):
-        out = None
-        for name, words in (taxonomy or T.TOPICS).items():
-            hit = reduce(lambda a, b: a | b, [low.contains(w) for w in words])
-            out = F.when(hit, name) if out is None else out.when(hit, name)
-        return out.otherwise(T.FALLBACK_TOPIC)
 
-    # bound, so the text is lower-cased once and not once per keyword
-    return F.when(text.isNull() | (text == ""), None).otherwise(bind(F.lower(text), first))
+def topic(text: Column, taxonomy: dict[str, list[str]] | None = None) -> Column:
+    """First topic with a keyword inside the lower-cased text, else the fallback; null for a null or empty text.
+
+    Every text is read once by an automaton of all keywords, up to the first keyword of the first
+    topic or its end; the whole text counts. A keyword of several topics is the first one's.
+    """
+    topics = taxonomy or T.TOPICS
+    names = [*topics, T.FALLBACK_TOPIC]
+    place: dict[str, int] = {}
+    for rank, words in enumerate(topics.values()):
+        for word in words:
+            place.setdefault(word, rank)
+    key = tuple(place.items())
+
+    def first(low: pa.Array) -> pa.Array:
+        a, out = _automaton(key), []
+        for t in low.to_pylist():
+            best = len(names) - 1
+            for _, rank in a.iter(t or ""):
+                if rank < best:
+                    best = rank
+                    if not best:
+                        break
+            out.append(names[best] if t else None)
+        return pa.array(out, pa.string())
+
+    return F.arrow_udf(first, "string")(F.lower(text))
 
 
 def is_refusal_text(text: Column) -> Column:

@@ -12,7 +12,7 @@ from ..operators import curves as C
 from ..operators import resample as B
 from ..operators import scoring as S
 from ..operators import statistics as V
-from .oracle import hex8, jsd_of
+from .oracle import hex8
 from .q_rollups import WAVE_LONG, policies
 from .registry import query
 

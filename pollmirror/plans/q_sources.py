@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import tables as T
 from ..functions import text as X
 from ..operators import scoring as S
+from ..sources import runs as R
 from ..sources import sinks as K
 from ..sources import surveys as V
+from ..streaming import common as C
 from .registry import query
 
 # counts per part, ship year and option as text, some of it unusable
@@ -96,8 +98,8 @@ def wave_info(s):
     return info.join(years, F.lit(True)).withColumn("wave_dir", F.concat(F.lit("W"), "y")).drop("y")
 
 
-def _wave_sql(key: str) -> str:
-    return f"""SELECT 'W' || y AS wave_dir, {key} AS key, text, option, CASE option WHEN 'AF' THEN 0 WHEN 'AO' THEN 1 WHEN 'NF' THEN 2 WHEN 'Refused' THEN 3 ELSE -1 END AS pos, n / sum(n) OVER (PARTITION BY y, key) AS p
+def _wave_sql(key: str, name: str = "'W' || y") -> str:
+    return f"""SELECT {name} AS wave_dir, {key} AS key, text, option, CASE option WHEN 'AF' THEN 0 WHEN 'AO' THEN 1 WHEN 'NF' THEN 2 WHEN 'Refused' THEN 3 ELSE -1 END AS pos, n / sum(n) OVER (PARTITION BY y, key) AS p
         FROM (SELECT year(ts) AS y, g.key, p_name AS text, option, count(*) AS n FROM grouped g JOIN parts p ON p.key = g.key WHERE p_size > 3 GROUP BY ALL)"""
 
 
@@ -111,9 +113,12 @@ def src_survey_json(s):
     return V.wave_questions(wave_files(s), wave_info(s), key_prefix=True).drop("options")
 
 
-@query("src_wave_json_tech", _wave_sql("key"), "p", "pos", ctes="grouped parts")
+# every other wave is one of the technology panel, in folders of its own name
+@query("src_wave_json_tech", f"SELECT * FROM ({_wave_sql('key', chr(39) + 'Tech_W' + chr(39) + ' || y')}) WHERE CAST(right(wave_dir, 4) AS INT) % 2 = 0", "p", "pos", ctes="grouped parts")
 def src_wave_json_tech(s):
-    return V.wave_questions(wave_files(s), wave_info(s)).drop("options")
+    even = F.substring("wave_dir", 2, 4).cast("int") % 2 == 0
+    named = lambda d: d.withColumn("wave_dir", F.when(even, F.concat(F.lit("Tech_"), "wave_dir")).otherwise(F.col("wave_dir")))
+    return V.wave_questions(named(wave_files(s)), named(wave_info(s)), waves="Tech_W????").drop("options")
 
 
 @query("group_dist_counts", """SELECT attribute, key, 'W' || y AS wave_dir, grp AS "group", option, n / sum(n) OVER (PARTITION BY key, y, grp) AS p FROM (SELECT CASE year(ts) WHEN 1997 THEN 'SEX' ELSE 'NONE' END AS attribute, key, year(ts) AS y, grp, option, count(*) AS n FROM grouped WHERE grp <> 'MACHINERY' GROUP BY ALL)
@@ -195,20 +200,21 @@ def group_dist_probs(s):
     return d.select("qkey", "group", F.explode("dist").alias("option", "p"))
 
 
-# month rows: answers per part and month laid out wide; empty cells are missing
-OPTIONS = ["AF", "AO", "NF"]
+# month rows: answers per data set and month laid out wide, one column per option; empty cells are missing
+OPTIONS = ["AF", "AO", "NF", "NO", "RF", "RO", "Refused"]
 
 
 def month_rows(s, by: str):
     d = s.base if by == "dataset" else s.grouped
-    wide = d.groupBy("dataset", *([] if by == "dataset" else ["group"]), F.date_format("ts", "yyyy-MM-dd").alias("date")).pivot("option", OPTIONS).count()
-    return wide.withColumnRenamed("AF", "af ").withColumn("NF", F.col("NF").cast("string"))
+    wide = d.groupBy("dataset", *([] if by == "dataset" else ["group"]), F.date_format("ts", "yyyy-MM").alias("date")).pivot("option", OPTIONS).count()
+    return wide.withColumnRenamed("AF", "af ").withColumn("NF", F.col("NF").cast("string")).withColumnRenamed("Refused", "REFUSED")
 
 
 def _month_sql(cols: str, src: str) -> str:
-    return f"""SELECT {cols}, option, CASE option WHEN 'AF' THEN 0 WHEN 'AO' THEN 1 ELSE 2 END AS pos, avg(x / (a + b + c)) AS p FROM (
-        SELECT {cols}, a, b, c, option, CASE option WHEN 'AF' THEN a WHEN 'AO' THEN b ELSE c END AS x FROM (SELECT {cols}, CAST(ts AS DATE) AS d, count(*) FILTER (option = 'AF') AS a, count(*) FILTER (option = 'AO') AS b, count(*) FILTER (option = 'NF') AS c FROM {src} GROUP BY ALL),
-        (VALUES ('AF'), ('AO'), ('NF')) o(option) WHERE a > 0 AND b > 0 AND c > 0) GROUP BY {cols}, option"""
+    place = " ".join(f"WHEN '{o}' THEN {i}" for i, o in enumerate(OPTIONS))
+    return f"""SELECT {cols}, option, CASE option {place} END AS pos, avg(x / t) AS p FROM (
+        SELECT {cols}, m, option, count(*) AS x, sum(count(*)) OVER w AS t, count(*) OVER w AS k FROM (SELECT *, strftime(ts, '%Y-%m') AS m FROM {src}) GROUP BY {cols}, m, option
+        WINDOW w AS (PARTITION BY {cols}, m)) WHERE k = {len(OPTIONS)} GROUP BY {cols}, option"""
 
 
 @query("src_monthly_csv", _month_sql("dataset", "base"), "p", "pos", ctes="base")
@@ -274,6 +280,67 @@ def run_file_meta(s):
     return d.select("run_id", X.run_timestamp(F.col("run_id"), F.lit("later")).alias("t"))
 
 
+# run documents as files: one of every run, those of one data set foreign, those of one model cut short
+def run_files(s) -> str:
+    d = K.run_documents(s.runs, s.scored)
+    doc = F.struct(
+        F.when(F.col("dataset") == "pilot (2024)", "other").otherwise("survey").alias("benchmark"), F.struct("dataset").alias("config"), "scores",
+        F.struct(F.size("per_question").alias("n_questions")).alias("aggregate"),
+        F.transform("per_question", lambda q: F.struct(q["key"].alias("key"), q["jsd"].alias("jsd"), q["tau"].alias("kendall_tau"), q["parity"].alias("parity"))).alias("per_question"),
+    )
+    text = F.to_json(doc)
+    text = F.when(F.col("run_id").endswith("_m7"), F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
+    folder = C.shared_folder(s.spark, "runs")
+    d.withColumn("text", F.to_json(doc)).select("run_id", text.alias("value")).write.partitionBy("run_id").text(folder)
+    return folder
+
+
+def bronze(s) -> DataFrame:
+    out = C.shared_folder(s.spark, "bronze")
+    R.write_bronze(s.spark, run_files(s), out, "*.txt")
+    return s.spark.read.parquet(out)
+
+
+@query("scan_runs", """SELECT run_id, r.dataset, round(r.sps, 6) AS sps, count(*) AS n_questions, count(*) AS n_rows, min(s.key) AS first_key, sum(s.jsd) AS jsd_sum
+    FROM runs r JOIN scored s USING (run_id) WHERE r.dataset <> 'pilot (2024)' AND NOT run_id LIKE '%m7' GROUP BY run_id, r.dataset, r.sps""", "jsd_sum", ctes="runs scored")
+def scan_runs(s):
+    d = R.bronze_runs(bronze(s), "survey")
+    return d.select(
+        "run_id", F.col("config.dataset").alias("dataset"), F.col("scores.sps").alias("sps"), F.col("aggregate.n_questions").alias("n_questions"),
+        F.size("per_question").alias("n_rows"), F.array_min("per_question.key").alias("first_key"), F.aggregate("per_question", F.lit(0.0), lambda a, q: a + q["jsd"]).alias("jsd_sum"),
+    )
+
+
+@query("scan_runs_status", "SELECT CASE WHEN run_id LIKE '%m7' THEN 'corrupt' WHEN dataset = 'pilot (2024)' THEN 'foreign' ELSE 'ok' END AS status, count(*) AS n FROM runs GROUP BY 1", ctes="runs")
+def scan_runs_status(s):
+    return R.bronze_status(bronze(s), "survey").groupBy("status").agg(F.count("*").alias("n"))
+
+
+# the question table is written for all data sets, then one is refreshed with its answers of later years
+CACHED_SQL = """SELECT dataset, key, option, n / sum(n) OVER (PARTITION BY dataset, key) AS p FROM (
+    SELECT dataset, key, option, count(*) AS n FROM base WHERE dataset <> 'gss' OR year(ts) >= 1995 GROUP BY ALL)"""
+
+
+@query("cached_questions", CACHED_SQL, "p", ctes="base")
+def cached_questions(s):
+    def long(base):
+        d = S.question_distributions(base, ["dataset", "key"])
+        return d.select("dataset", "key", F.explode(F.arrays_zip(F.col("options").alias("option"), F.col("p_human").alias("p"))).alias("z")).select("dataset", "key", "z.option", "z.p")
+
+    path = C.shared_folder(s.spark, "questions")
+    V.write_questions(long(s.base), path)
+    V.write_questions(long(s.base.where("dataset = 'gss' AND year(ts) >= 1995")), path)
+    return V.cached_questions(s.spark, path).select("dataset", "key", "option", "p")
+
+
+@query("cached_questions_one", f"SELECT * FROM ({CACHED_SQL}) WHERE dataset = 'ntia'", "p", ctes="base")
+def cached_questions_one(s):
+    path = C.shared_folder(s.spark, "questions")
+    d = s.questions.select("dataset", "key", F.explode(F.arrays_zip(F.col("options").alias("option"), F.col("p_human").alias("p"))).alias("z")).select("dataset", "key", "z.option", "z.p")
+    V.write_questions(d, path)
+    return V.cached_questions(s.spark, path, "ntia").select("dataset", "key", "option", "p")
+
+
 @query("sink_index", "SELECT run_id, dataset, display_name, n_questions, samples_per_question, sps, p_dist, p_rank, p_refuse, mean_jsd, mean_tau, temperature FROM runs", "sps p_dist p_rank p_refuse mean_jsd mean_tau temperature", "samples_per_question", ctes="runs")
 def sink_index(s):
     return K.index_rows(s.runs).select(

@@ -40,6 +40,34 @@ def scan_runs(spark: SparkSession, path: str, marker: str) -> DataFrame:
     return d.withColumn("ts", X.run_timestamp(F.col("run_id"), F.col("timestamp")))
 
 
+def write_bronze(spark: SparkSession, path: str, out: str, glob: str = "*.json") -> None:
+    """Documents of a folder tree, written once as VARIANT with their files' metadata.
+
+    A document's run id is the ``run_id`` of its folder, else its file name. A text that is no JSON
+    keeps its raw form, so nothing of the folder is lost; a file without a byte holds no document.
+    """
+    d = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    run_id = F.col("run_id").cast("string") if "run_id" in d.columns else X.file_stem(F.col("_metadata.file_name"))
+    doc = F.try_parse_json("value")
+    d.select(
+        run_id.alias("run_id"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_modification_time").alias("modified"),
+        doc.alias("doc"), F.when(doc.isNull(), F.col("value")).alias("raw"),
+    ).write.mode("overwrite").parquet(out)
+
+
+def bronze_status(bronze: DataFrame, marker: str) -> DataFrame:
+    """Every document's status: ok, foreign (another benchmark or no object) or corrupt (no JSON)."""
+    own = F.try_variant_get("doc", "$.benchmark", "string").eqNullSafe(F.lit(marker))
+    return bronze.withColumn("status", F.when(F.col("doc").isNull(), "corrupt").when(own, "ok").otherwise("foreign"))
+
+
+def bronze_runs(bronze: DataFrame, marker: str) -> DataFrame:
+    """Typed documents of the bronze table, each path read at its own type; a field of another type is null."""
+    typed = F.try_variant_get("doc", "$", f"struct<{RUN_SCHEMA}>")
+    d = bronze_status(bronze, marker).where("status = 'ok'").select("run_id", typed.alias("d")).select("d.*", "run_id")
+    return d.withColumn("ts", X.run_timestamp(F.col("run_id"), F.col("timestamp")))
+
+
 def scan_bronze(spark: SparkSession, path: str) -> DataFrame:
     """Whole text per file for the shape checks."""
     d = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)

@@ -7,6 +7,8 @@ the cluster; the outputs are long rows (key, option, pos, p).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,9 +166,15 @@ def preferred_files(files: DataFrame) -> DataFrame:
     return files.join(choice, ["wave_dir", "attribute"], "left_semi")
 
 
-def wave_questions(files: DataFrame, info: DataFrame, key_prefix: bool = False) -> DataFrame:
-    """Overall distributions of every wave, all subgroups summed, for keys with metadata."""
-    counts = wave_counts(preferred_files(files)).groupBy("wave_dir", "key", "option").agg(F.sum("n").alias("p"))
+def in_waves(files: DataFrame, glob: str) -> DataFrame:
+    """Files of the wave folders that match a name pattern with * and ?."""
+    pattern = re.escape(glob).replace(r"\*", ".*").replace(r"\?", ".")
+    return files.where(F.col("wave_dir").rlike(f"^{pattern}$"))
+
+
+def wave_questions(files: DataFrame, info: DataFrame, key_prefix: bool = False, waves: str = "*") -> DataFrame:
+    """Overall distributions of every wave whose folder matches ``waves``, all subgroups summed, for keys with metadata."""
+    counts = wave_counts(preferred_files(in_waves(files, waves))).groupBy("wave_dir", "key", "option").agg(F.sum("n").alias("p"))
     dist = renormalise(counts, ["wave_dir", "key"])
     meta = info.where("key <> ''").select(
         "wave_dir", "key", F.coalesce("question", "key").alias("text"), parse_options(F.col("references")).alias("options")
@@ -297,10 +305,16 @@ def proportion_groups(raw: DataFrame, attribute: str, only: str | None = None, l
 
 
 def write_questions(long: DataFrame, path: str) -> None:
-    """The normalised question table, written once and pruned by dataset when re-read."""
-    long.write.mode("overwrite").partitionBy("dataset").parquet(path)
+    """The normalised question table, one partition per dataset.
+
+    Only the datasets in ``long`` are written: one that is refreshed is replaced whole, the others stay as
+    they are. Rows of a dataset are spread by question, so a large one is several files.
+    """
+    spread = long.repartition("dataset", F.pmod(F.xxhash64("key"), F.lit(16)))
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset").parquet(path)
 
 
 def cached_questions(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
-    d = spark.read.parquet(path)
+    """The written table; of one dataset only its own partition is read."""
+    d = spark.read.option("basePath", path).parquet(path)
     return d if dataset is None else d.where(F.col("dataset") == dataset)

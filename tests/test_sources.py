@@ -3,6 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from pollmirror.functions import tables as T
+from pollmirror.functions import text as X
 from pollmirror.sources import runs as RS
 from pollmirror.sources import surveys as V
 
@@ -151,3 +153,59 @@ def test_cached_questions_prune_by_dataset(spark, tmp_path):
     got = V.cached_questions(spark, str(tmp_path / "q"), "gss")
     assert [r.key for r in got.collect()] == ["K"]
     assert "PartitionFilters: [isnotnull(dataset" in got._jdf.queryExecution().toString()
+
+
+def test_bronze_keeps_every_document_and_types_the_own_ones(spark, tmp_path):
+    texts = {
+        "ok_20260102_030405": '{"benchmark": "survey", "config": {"dataset": "gss", "temperature": "hot"}, "scores": {"sps": 0.5}, "per_question": [{"key": "a", "jsd": 0.25}]}',
+        "foreign": '{"benchmark": "other"}', "list": "[1]", "cut": '{"benchmark": "survey"',
+    }
+    (tmp_path / "in").mkdir()
+    for name, text in texts.items():
+        (tmp_path / "in" / f"{name}.json").write_text(text)
+    (tmp_path / "in" / "notes.md").write_text("not a document")
+    RS.write_bronze(spark, str(tmp_path / "in"), str(tmp_path / "bronze"))
+    bronze = spark.read.parquet(str(tmp_path / "bronze"))
+    status = {r.run_id: (r.status, r.raw, r.file_size) for r in RS.bronze_status(bronze, "survey").collect()}
+    kinds = {"ok_20260102_030405": "ok", "foreign": "foreign", "list": "foreign", "cut": "corrupt"}
+    assert status == {k: (kinds[k], t if kinds[k] == "corrupt" else None, len(t)) for k, t in texts.items()}
+    (r,) = RS.bronze_runs(bronze, "survey").collect()
+    assert (r.run_id, r.config.dataset, r.config.temperature, r.scores.sps, r.per_question[0].jsd) == ("ok_20260102_030405", "gss", None, 0.5, 0.25)
+    (tmp_path / "tree" / "run_id=a b").mkdir(parents=True)
+    (tmp_path / "tree" / "run_id=a b" / "part.json").write_text('{"benchmark": "survey"}')
+    RS.write_bronze(spark, str(tmp_path / "tree"), str(tmp_path / "bronze2"))
+    assert [r.run_id for r in spark.read.parquet(str(tmp_path / "bronze2")).collect()] == ["a b"]
+
+
+def test_refreshing_one_dataset_leaves_the_others(spark, tmp_path):
+    path, schema = str(tmp_path / "q"), "dataset string, key string, option string, p double"
+    V.write_questions(spark.createDataFrame([("gss", "a", "x", 0.5), ("gss", "b", "x", 0.5), ("wvs", "a", "y", 1.0)], schema), path)
+    V.write_questions(spark.createDataFrame([("gss", "a", "x", 0.75)], schema), path)
+    got = sorted((r.dataset, r.key, r.p) for r in V.cached_questions(spark, path).collect())
+    assert got == [("gss", "a", 0.75), ("wvs", "a", 1.0)]
+    one = V.cached_questions(spark, path, "wvs")
+    assert [r.key for r in one.collect()] == ["a"]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dataset" in plan and "= wvs" in plan
+
+
+def test_waves_by_name_pattern(spark):
+    d = spark.createDataFrame([("W1",), ("Tech_W10",), ("Tech_W2",), ("TechxW3",), ("W.1",)], "wave_dir string")
+    names = lambda glob: sorted(r.wave_dir for r in V.in_waves(d, glob).collect())
+    assert names("*") == sorted(["W1", "Tech_W10", "Tech_W2", "TechxW3", "W.1"])
+    assert names("Tech_W?") == ["Tech_W2"] and names("Tech_*") == ["Tech_W10", "Tech_W2"] and names("W.*") == ["W.1"]
+
+
+def test_topic_by_automaton_equals_substring_search(spark):
+    import numpy as np
+
+    words = [w for ws in T.TOPICS.values() for w in ws]
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice([*words, "zzz", "THE", "Qx", "İ"], int(rng.integers(1, 5)))).title()[int(rng.integers(0, 3)) :] for _ in range(500)] + [None, "", "x", "elec", "ELECTION"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(3)
+    low = {r.i: r.low for r in d.selectExpr("i", "lower(text) AS low").collect()}
+    want = {i: next((n for n, ws in T.TOPICS.items() if any(w in t for w in ws)), T.FALLBACK_TOPIC) if t else None for i, t in low.items()}
+    assert {r.i: r.t for r in d.select("i", X.topic(F.col("text")).alias("t")).collect()} == want
+    own = {"first": ["ab", "bc"], "second": ["ab", "cd"]}
+    got = d.limit(1).select(X.topic(F.lit("XABX"), own).alias("a"), X.topic(F.lit("cd"), own).alias("b"), X.topic(F.lit("q"), own).alias("c")).first()
+    assert tuple(got) == ("first", "second", T.FALLBACK_TOPIC)
