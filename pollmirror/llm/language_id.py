@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, fold, mix64
+from .common import BLOCK, fold, mix64, written
 
 ORDERS = (2, 3, 4)
 #: Expected number of labelled texts per language that the filters are learned from (the fit is on a sample).
@@ -19,7 +19,11 @@ FIT_DOCS = 1000
 #: An n-gram belongs to a language if it is at least this often in it, and at least so frequent
 #: against the language where it is most frequent.
 MIN_COUNT, MIN_SHARE = 3, 0.1
-SLOT_BITS, HASHES = 20, 3
+HASHES = 3
+#: Slots per n-gram of the language that has most; a filter has 2^16 to 2^22 slots.
+SLOTS_EACH, LEAST_BITS, MOST_BITS = 12, 16, 22
+#: A text is in no learned language if fewer of its n-grams than this share are known to one.
+MIN_SCORE = 0.3
 UND = "und"
 
 
@@ -28,33 +32,45 @@ def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
-def _pieces(texts: list[str | None], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of characters with every run of non-letters as one space, and the text of each character.
+def _block(text: str, owner: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters with every run of non-letters of one text as one space, their texts, and which are new."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.where(_letters()[codes], codes, np.uint32(32))
+    keep = np.ones(len(codes), bool)
+    keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32) | (owner[1:] != owner[:-1])
+    return codes[keep], owner[keep], fresh[keep]
 
-    A longer text comes in pieces that overlap by one n-gram less a character.
+
+def _blocks(texts: list[str | None], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of whole texts, each with a space on either side; a text longer than ``size`` comes in pieces.
+
+    A piece begins with the last characters of the one before it, which are not new there, so that
+    n-grams across the cut are seen once.
     """
     buf: list[str] = []
     owner: list[int] = []
     total = 0
 
     def flush():
-        codes = np.frombuffer(" ".join(["", *buf, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        who = np.repeat(np.array([owner[0], *owner]), [1, *[len(p) + 1 for p in buf]])
-        codes = np.where(_letters()[codes], codes, np.uint32(32))
-        keep = np.ones(len(codes), bool)
-        keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32)
-        return codes[keep], who[keep]
+        who = np.repeat(np.array(owner), [len(p) + 2 for p in buf])
+        return _block("".join(f" {p} " for p in buf), who, np.ones(len(who), bool))
 
     for i, t in enumerate(texts):
         t = (t or "").lower()
-        for a in range(0, max(len(t), 1), size):
-            piece = t[max(0, a - max(ORDERS) + 1) : a + size]
-            buf.append(piece)
-            owner.append(i)
-            total += len(piece)
-            if total >= size:
-                yield flush()
-                buf, owner, total = [], [], 0
+        if len(t) > size:
+            held = " "
+            for a in range(0, len(t), size):
+                piece = held + t[a : a + size] + (" " if a + size >= len(t) else "")
+                block = _block(piece, np.full(len(piece), i), np.arange(len(piece)) >= len(held))
+                yield block
+                held = block[0][-max(ORDERS) + 1 :].tobytes().decode("utf-32-le", "surrogatepass")
+            continue
+        buf.append(t)
+        owner.append(i)
+        total += len(t)
+        if total >= size:
+            yield flush()
+            buf, owner, total = [], [], 0
     if buf:
         yield flush()
 
@@ -63,9 +79,9 @@ def ngrams(texts: list[str | None], size: int = BLOCK // 2) -> Iterator[tuple[np
     """64-bit keys of the n-grams of all orders, and the index of the text each is from.
 
     N-grams run over one word and the spaces round it, so each has a letter and at most an
-    outer space on each side.
+    outer space on each side. Those of a text do not depend on the texts beside it.
     """
-    for codes, who in _pieces(texts, size):
+    for codes, who, fresh in _blocks(texts, size):
         x = codes.astype(np.uint64)
         space = codes == 32
         for n in ORDERS:
@@ -73,12 +89,14 @@ def ngrams(texts: list[str | None], size: int = BLOCK // 2) -> Iterator[tuple[np
             if m <= 0:
                 continue
             key = np.full(m, n, np.uint64)
-            good = ~(space[:m] & space[n - 1 :]) if n == 2 else np.ones(m, bool)
+            good = (who[:m] == who[n - 1 :]) & fresh[n - 1 :]
+            if n == 2:
+                good &= ~(space[:m] & space[1:])
             for j in range(n):
                 key = key * np.uint64(0x9E3779B97F4A7C15) + x[j : m + j]
                 if 0 < j < n - 1:
                     good &= ~space[j : m + j]
-            yield mix64(key[good]), who[:m][good] if n == 2 else np.maximum(who[:m], who[n - 1 :])[good]
+            yield mix64(key[good]), who[:m][good]
 
 
 @dataclass
@@ -118,8 +136,8 @@ class Filters:
 def fit_filters(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", fit_docs: int = FIT_DOCS) -> Filters:
     """Filters from rows with a text and a language; Spark counts n-grams and builds the slots.
 
-    About ``fit_docs`` rows per language, chosen by hash of the id, are read. Each language's
-    n-grams set bits in 2^20 slots, so the model has at most 8 MB per 64 languages.
+    About ``fit_docs`` rows per language, chosen by hash of the id, are read, so the number of
+    n-grams is bounded. The slots follow it: at most 32 MB per 64 languages.
     """
     rows = labelled.select(
         F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(F.lit("fit"), F.col(f"`{id_col}`")).alias("h")
@@ -127,7 +145,7 @@ def fit_filters(labelled: DataFrame, text: str = "text", lang: str = "lang", id_
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return Filters([], [], np.zeros((1 << SLOT_BITS, 1), np.uint64), np.zeros(0))
+        return Filters([], [], np.zeros((1 << LEAST_BITS, 1), np.uint64), np.zeros(0))
     cut = F.lit(False)
     for name in languages:
         cut = cut | ((F.col("lang") == name) & (F.pmod("h", F.lit(1 << 30)) < int(min(1.0, fit_docs / sizes[name]) * (1 << 30))))
@@ -140,7 +158,7 @@ def fit_filters(labelled: DataFrame, text: str = "text", lang: str = "lang", id_
                 yield pa.RecordBatch.from_arrays([pa.array(both[0].astype(np.int32)), pa.array(both[1].view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     counts = rows.where(cut).select("lang", "text").mapInArrow(count, "lang int, gram bigint, n bigint")
-    totals = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    totals = written(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
     by_lang = totals.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("found"))  # at most one entry per language
     weight = {r.lang: r.n for r in totals.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     all_n = F.array(*[F.lit(float(weight.get(i, 1))) for i in range(len(languages))])
@@ -151,8 +169,11 @@ def fit_filters(labelled: DataFrame, text: str = "text", lang: str = "lang", id_
         .where((F.col("f.n") >= MIN_COUNT) & (F.col("f.share") >= MIN_SHARE * F.col("most")))
         .select("gram", F.col("f.lang").alias("lang"))
     )
+    members = written(members, "language-members")
+    largest = members.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    bits = min(max(int(np.ceil(np.log2(max(largest * SLOTS_EACH, 1)))), LEAST_BITS), MOST_BITS)
     words = (len(languages) + 63) // 64
-    model = Filters(languages, [sizes[x] for x in languages], np.zeros((1 << SLOT_BITS, words), np.uint64), np.zeros(len(languages)))
+    model = Filters(languages, [sizes[x] for x in languages], np.zeros((1 << bits, words), np.uint64), np.zeros(len(languages)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,8 +183,8 @@ def fit_filters(labelled: DataFrame, text: str = "text", lang: str = "lang", id_
                 yield pa.RecordBatch.from_arrays([pa.array(s), pa.array((lang_no // 64).astype(np.int32)), pa.array(bit.view(np.int64))], ["slot", "word", "mask"])
 
     placed = members.mapInArrow(place, "slot bigint, word int, mask bigint").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask"))
-    for r in placed.toLocalIterator():  # at most 2^20 slots per 64 languages
-        model.masks[r.slot, r.word] = np.uint64(r.mask & 0xFFFFFFFFFFFFFFFF)
+    found = placed.toArrow()  # at most one row per slot and 64 languages
+    model.masks[found["slot"].to_numpy(), found["word"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
     for i in range(len(languages)):
         fill = float(((model.masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean())
         model.false_rate[i] = min(fill**HASHES, 0.99)
@@ -198,9 +219,11 @@ def identify_languages(docs: DataFrame, text: str = "text", lang: str = "lang",
 
 
 def keep_languages(docs: DataFrame, model: Filters, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text is in a learned language.
+    """The rows of ``docs`` whose text is in a learned language, with all their columns.
 
-    Rejected are texts predicted ``und`` and texts with a score of 0, which no filter knows.
+    Rejected are null texts, texts without a letter, and texts of which fewer than ``MIN_SCORE`` of
+    the n-grams are known to the language predicted. Repeated rows are judged each, very long texts
+    whole; no column is added, so none can clash; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
@@ -210,6 +233,6 @@ def keep_languages(docs: DataFrame, model: Filters, text: str = "text") -> DataF
             for start in range(0, batch.num_rows, 512):
                 b = batch.slice(start, 512)
                 lang, score = shared.value.predict(b.column(at).to_pylist())
-                yield b.filter(pa.array([x != UND and s > 0 for x, s in zip(lang, score)], pa.bool_()))
+                yield b.filter(pa.array([x != UND and s >= MIN_SCORE for x, s in zip(lang, score)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
