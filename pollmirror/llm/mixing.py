@@ -16,13 +16,16 @@ SEED = "mix"
 
 
 def _sized(docs: DataFrame, text: str, id_col: str, source: str, seed: str) -> DataFrame:
+    """The caller's columns as one value, so that none can clash, and what the mix needs of them."""
     draw = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))).cast("binary"))
-    return docs.withColumns({
-        "__size": F.regexp_count(text_of(text), F.lit(WORD)).cast("bigint"),
-        "__draw": F.conv(F.substring(draw, 1, 3), 16, 10).cast("int"),
-        "__null": F.col(f"`{source}`").isNull(),
-        "__source": F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")),
-    })
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
+        F.col(f"`{id_col}`").alias("__id"),
+        F.regexp_count(text_of(text), F.lit(WORD)).cast("bigint").alias("__size"),
+        F.conv(F.substring(draw, 1, 3), 16, 10).cast("int").alias("__draw"),
+        F.col(f"`{source}`").isNull().alias("__null"),
+        F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("__source"),
+    )
 
 
 def source_rates(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX_RATE) -> DataFrame:
@@ -78,12 +81,12 @@ def source_rates(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate:
 
 
 def with_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", seed: str = SEED) -> DataFrame:
-    """``docs`` with __size, __source_size, __target and __copies (how often the mix takes the document).
+    """Every row of ``docs`` as __row, with __id, __size, __source_size, __target and __copies (how often the mix takes it).
 
     A size is the number of words; a null or empty text has none, and its copies add no words. A
     null source is a source of its own and comes last. Every row counts by itself, repeated ones
     too; rows of one id share their draw. Draws depend on the id alone, so a rerun takes the same
-    copies. An empty table gives no rows.
+    copies. An empty table gives no rows; columns of ``docs`` may have any name.
     """
     sized = _sized(docs, text, id_col, source, seed)
     rates = written(source_rates(sized), "mix-rates")
@@ -96,7 +99,7 @@ def with_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sou
 def mix_report(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies of every document."""
     return with_copies(docs, text, id_col, source, seed).select(
-        F.col(f"`{id_col}`").alias("doc_id"),
+        F.col("__id").alias("doc_id"),
         F.col("__size").alias("size"),
         F.col("__source_size").alias("source_size"),
         F.col("__target").alias("target"),
@@ -108,7 +111,7 @@ def mix_report(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sour
 def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", seed: str = SEED) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of ``docs``."""
     taken = with_copies(docs, text, id_col, source, seed).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select("__row.*")
 
 
 def mix_sql(docs: str = "documents", seed: str = SEED) -> str:

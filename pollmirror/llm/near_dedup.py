@@ -227,6 +227,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 
 def keep_one_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each component is kept."""
-    gone = near_duplicates(docs, text, id_col, k, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    """The rows of ``docs``, with all their columns, that stay when one document of each component is kept.
+
+    Of a component the rows of its smallest id stay; rows without words, and rows with a null id, are
+    components of their own. The caller's columns travel as one value, so none can clash.
+    """
+    gone = near_duplicates(docs, text, id_col, k, percent).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"))
+    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
