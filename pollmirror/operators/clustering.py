@@ -1,4 +1,4 @@
-"""Persona clusters: answer patterns grouped by Ward's criterion, k picked by silhouette."""
+"""Persona clusters of answer patterns, k picked by silhouette: bisecting k-means, and exact Ward for small cohorts."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..streaming.common import shared_folder
+
 MAX_PATTERNS = 2_000
 
 
@@ -61,8 +63,8 @@ def _silhouette(x: np.ndarray, weight: np.ndarray, label: np.ndarray) -> float:
     return float((s * weight).sum() / weight.sum())
 
 
-def cluster_patterns(points: DataFrame, by: list[str], min_k: int = 2, max_k: int = 5) -> DataFrame:
-    """Cluster of every distinct answer pattern per cohort, with its size and the silhouette.
+def ward_clusters(points: DataFrame, by: list[str], min_k: int = 2, max_k: int = 5) -> DataFrame:
+    """Exact Ward clusters of small cohorts: every distinct answer pattern with its size and the silhouette.
 
     ``points``: by, persona, question, answer. Personas with the same answers are merged
     by Spark first, so a cohort of any size reaches the kernel as its distinct patterns
@@ -108,3 +110,99 @@ def dominant_answers(points: DataFrame, by: list[str]) -> DataFrame:
         F.min(F.struct(-F.col("_n"), "answer")).getField("answer").alias("dominant"),
         (F.max("_n") / F.sum("_n")).alias("share"),
     )
+
+
+# --- any number of patterns: bisecting k-means, all cohorts at once -------------------
+
+
+def _held(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back, so that rounds do not pile up."""
+    path = shared_folder(df.sparkSession, "clusters")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _summaries(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Per group ``s``: its weight, and how many personas gave each answer, as many as the answer sheet has."""
+    cells = rows.select(*by, "size", F.explode("answers").alias("answer")).groupBy(*by, "answer").agg(F.sum("size").alias("_n"))
+    maps = cells.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("answer", F.col("_n").cast("double")))).alias("counts"))
+    weights = rows.groupBy(*by).agg(F.sum("size").cast("double").alias("weight"))
+    return maps.join(weights, by).select(*by, F.struct("counts", "weight").alias("s"))
+
+
+def _matches(answers: Column, s: Column) -> Column:
+    """Answers that a sheet shares with the personas of a group, added up."""
+    return F.aggregate(answers, F.lit(0.0), lambda a, x: a + F.coalesce(F.try_element_at(s["counts"], x), F.lit(0.0)))
+
+
+def _to_mean(answers: Column, s: Column) -> Column:
+    """Squared distance of a one-hot sheet to the mean of a group."""
+    square = F.aggregate(F.map_values(s["counts"]), F.lit(0.0), lambda a, n: a + n * n)
+    return F.round(F.size(answers) - _matches(answers, s) * 2.0 / s["weight"] + square / (s["weight"] * s["weight"]), 9)
+
+
+def _split(rows: DataFrame, by: list[str], rounds: int) -> DataFrame:
+    """by, pattern of the right halves of the cluster that deviates most in every cohort; none if no cluster has two patterns."""
+    far = rows.join(_summaries(rows, [*by, "cluster"]), [*by, "cluster"]).withColumn("_d", _to_mean(F.col("answers"), F.col("s")))
+    clusters = far.groupBy(*by, "cluster").agg(
+        F.sum(F.col("_d") * F.col("size")).alias("_sse"), F.count("*").alias("_k"), F.min(F.struct(-F.col("_d"), "pattern", "answers")).getField("answers").alias("_a")
+    )
+    worst = clusters.where("_k > 1").groupBy(*by).agg(F.min(F.struct(-F.round("_sse", 6), "cluster", "_a")).alias("_p"))
+    mine = rows.join(worst.select(*by, F.col("_p.cluster").alias("cluster"), F.col("_p._a").alias("_a")), [*by, "cluster"])
+    same = lambda seed: F.size(F.array_intersect("answers", seed))
+    second = mine.groupBy(*by).agg(F.min(F.struct(same("_a"), "pattern", "answers")).getField("answers").alias("_b"))
+    side = _held(mine.join(second, by).withColumn("right", same("_b") > same("_a")).select(*by, "pattern", "answers", "size", "right"))
+    for _ in range(rounds):
+        means = _summaries(side, [*by, "right"])
+        of = lambda right: F.first(F.when(F.col("right") == right, F.col("s")), ignorenulls=True)  # one row a side
+        pair = means.groupBy(*by).agg(of(False).alias("_l"), of(True).alias("_r"))
+        nearer = _to_mean(F.col("answers"), F.col("_r")) < _to_mean(F.col("answers"), F.col("_l"))
+        side = _held(side.join(pair, by).withColumn("right", F.coalesce(nearer, "right")).drop("_l", "_r"))
+    return side.where("right").select(*by, "pattern")
+
+
+def _silhouettes(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Mean silhouette per cohort over squared distances, from the clusters' answer counts; a singleton has a = 0."""
+    clusters = _summaries(rows, [*by, "cluster"]).groupBy(*by).agg(F.collect_list(F.struct("cluster", "s")).alias("_all"))  # few clusters
+    total = lambda c: (F.size("answers") * c["s"]["weight"] - _matches(F.col("answers"), c["s"])) * 2.0
+    own = F.filter("_all", lambda c: c["cluster"] == F.col("cluster"))[0]
+    others = F.filter("_all", lambda c: c["cluster"] != F.col("cluster"))
+    a = F.when(own["s"]["weight"] > 1, total(own) / (own["s"]["weight"] - 1)).otherwise(0.0)
+    d = rows.join(clusters, by).select(*by, "size", a.alias("_a"), F.array_min(F.transform(others, lambda c: total(c) / c["s"]["weight"])).alias("_b"))
+    top = F.greatest("_a", "_b")
+    one = F.when(F.col("_b").isNull() | (top == 0), 0.0).otherwise((F.col("_b") - F.col("_a")) / top)
+    return d.groupBy(*by).agg((F.sum(one * F.col("size")) / F.sum("size")).alias("silhouette"))
+
+
+def cluster_patterns(points: DataFrame, by: list[str], min_k: int = 2, max_k: int = 5, rounds: int = 4) -> DataFrame:
+    """by, pattern, size, cluster, n_clusters, silhouette of every distinct answer pattern per cohort.
+
+    In every cohort at once, the cluster of the largest squared deviation is split in two, ``max_k``
+    - 1 times. A split starts from the pattern farthest from the mean and the one that shares least
+    with it, and moves patterns to the nearer mean ``rounds`` times. Of the divisions into ``min_k``
+    to ``max_k`` clusters the one of the largest silhouette is taken, the coarser of equal ones.
+
+    Patterns meet one row per cohort, the answer counts of its clusters, whose size is that of the
+    answer sheet. No two patterns are compared and no cohort is gathered, so it may have any number
+    of them. A cohort with fewer patterns than clusters is split as far as it goes; of one pattern it is
+    one cluster with a silhouette of 0. Ties go to the first pattern by name, so the result does not
+    depend on the partitioning. ``points``: by, persona, question, answer, every persona answering
+    every question.
+    """
+    sheets = points.groupBy(*by, "persona").agg(F.array_sort(F.collect_list(F.struct("question", "answer"))).alias("_s"))
+    named = F.transform("_s", lambda x: F.concat_ws("=", x["question"], x["answer"]))
+    rows = sheets.groupBy(*by, named.alias("answers"), F.array_join("_s.answer", "|").alias("pattern")).agg(F.count("*").alias("size"))
+    rows = _held(rows.withColumn("cluster", F.lit(0)))
+    scores, labels = None, rows.select(*by, "pattern", "size", F.array(F.lit(0)).alias("_l"))
+    for level in range(1, max_k):
+        right = _split(rows, by, rounds).withColumn("_m", F.lit(True))
+        rows = rows.join(right, [*by, "pattern"], "left").withColumn("cluster", F.when(F.col("_m"), level).otherwise(F.col("cluster"))).drop("_m")
+        rows = _held(rows)
+        labels = labels.join(rows.select(*by, "pattern", "cluster"), [*by, "pattern"]).withColumn("_l", F.concat("_l", F.array("cluster"))).drop("cluster")
+        if level + 1 >= min_k:
+            one = _silhouettes(rows, by).withColumn("_k", F.lit(level + 1))
+            scores = one if scores is None else scores.unionByName(one)
+    best = scores.groupBy(*by).agg(F.min(F.struct(-F.round("silhouette", 9), "_k", "silhouette")).alias("_b"))
+    found = labels.join(best.select(*by, F.col("_b._k").alias("_k"), F.col("_b.silhouette").alias("silhouette")), by).withColumn("cluster", F.element_at("_l", F.col("_k")))
+    made = found.groupBy(*by).agg(F.countDistinct("cluster").alias("n_clusters"))
+    return found.join(made, by).select(*by, "pattern", "size", F.col("cluster").cast("bigint").alias("cluster"), "n_clusters", "silhouette")

@@ -163,3 +163,33 @@ def max_before(df: DataFrame, order: str, value: str, name: str, cells: int = CE
         .withColumn(name, F.greatest("_in", "_head"))
         .drop("_cell", "_in", "_head")
     )
+
+
+# --- opt-in approximations --------------------------------------------------------------
+
+#: Size of a quantile sketch; its rank error is about 1.3 % at 200 and shrinks almost in proportion.
+SKETCH = 800
+
+
+def quantile_sketch(df: DataFrame, by: list[str], value: str, k: int = SKETCH) -> DataFrame:
+    """by, sketch: a mergeable quantile sketch (KLL) of ``value`` per group, of bounded size.
+
+    Sketches are made map-side, may be stored per partition of a table, and merge to any coarser
+    group without the values (``merged_sketches``).
+    """
+    return df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, by: list[str], k: int = SKETCH) -> DataFrame:
+    """by, sketch of coarser groups from the sketches of finer ones."""
+    return sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch", k).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, by: list[str], probs: dict[str, float]) -> DataFrame:
+    """One column per named probability, a value whose rank is near it; ends are exact."""
+    return sketches.select(*by, *[F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias(name) for name, p in probs.items()])
+
+
+def approx_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], k: int = SKETCH) -> DataFrame:
+    """``quantiles`` by sketch: one aggregation of bounded state in place of ordering cells; not interpolated."""
+    return sketch_quantiles(quantile_sketch(df, by, value, k), by, probs)

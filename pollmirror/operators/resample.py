@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..functions import special as SP
 from ..functions import text as X
 from ..functions.tables import SAMPLE_SIZES
-from .ranking import dense_index, quantiles, rank_within
+from .ranking import approx_quantiles, dense_index, quantiles, rank_within
 
 CHUNK_ROWS = 20_000
 #: Distinct count vectors whose ceilings a task remembers.
@@ -309,9 +309,10 @@ def ceiling_levels(ceilings: DataFrame, level: list[str], inferred: bool = False
     return per, overall
 
 
-def ceiling_spread(per_group: DataFrame, worst: int = 5, ties: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Quartiles of the group ceilings, the worst groups (equal ones by ``ties``) and the flag counts."""
-    q = quantiles(per_group, [], "mean", {"min": 0.0, "p25": 0.25, "median": 0.5, "p75": 0.75, "max": 1.0}, bounds=(0, 1))
+def ceiling_spread(per_group: DataFrame, worst: int = 5, ties: Sequence[str] = (), approx: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Quartiles of the group ceilings (``approx``: by sketch), the worst groups (equal ones by ``ties``) and the flag counts."""
+    probs = {"min": 0.0, "p25": 0.25, "median": 0.5, "p75": 0.75, "max": 1.0}
+    q = approx_quantiles(per_group, [], "mean", probs) if approx else quantiles(per_group, [], "mean", probs, bounds=(0, 1))
     return q, per_group.orderBy("mean", *ties).limit(worst), per_group.groupBy("flag").agg(F.count("*").alias("n"))
 
 
@@ -357,6 +358,30 @@ def multinomial_hash(questions: DataFrame, n: int, replicates: int = 1, seed: in
     return d.groupBy("key", "b", hit.alias("option")).agg(F.count("*").alias("draws"))
 
 
+def multinomial_counts(questions: DataFrame, n: int, replicates: int = 1, seed: int = 42) -> DataFrame:
+    """dataset, key, option, draws: per option its count in every replicate of ``n`` draws.
+
+    Counts are split off option by option with conditional binomials, from a generator seeded by the
+    question, so no draw is a row and ``n`` may be any number. Question rows without answers have no
+    rows. ``questions``: dataset, key, options, counts.
+    """
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for ds, key, options, counts in zip(pdf["dataset"], pdf["key"], pdf["options"], pdf["counts"]):
+                rng, left = np.random.default_rng(_number(seed, ds, key)), np.full(replicates, n, dtype=np.int64)
+                rest = float(np.sum(counts))
+                for option, c in zip(options, counts):
+                    taken = rng.binomial(left, min(1.0, c / rest)) if rest > 0 else np.zeros_like(left)
+                    out.append((ds, key, option, taken))
+                    left, rest = left - taken, rest - c
+            yield pd.DataFrame(out, columns=["dataset", "key", "option", "draws"])
+
+    rows = questions.select("dataset", "key", "options", "counts").where(F.aggregate("counts", F.lit(0.0), lambda a, x: a + x) > 0)
+    return spread(rows, ["key"]).mapInPandas(draw, "dataset string, key string, option string, draws array<bigint>")
+
+
 CURVE = "dataset string, key string, n long, jsd_mean double, jsd_p10 double, jsd_p90 double, replicates long"
 
 
@@ -462,11 +487,11 @@ def convergence_n(curves: DataFrame, by: list[str], epsilon: float = 0.02, delta
     return d.groupBy(*by).agg(found.getField("hit").alias("convergence_n"))
 
 
-def curve_summary(converged: DataFrame, by: list[str]) -> DataFrame:
-    """Question counts and p50 / p90 / p99 of the reached n, cut to whole numbers."""
+def curve_summary(converged: DataFrame, by: list[str], approx: bool = False) -> DataFrame:
+    """Question counts and p50 / p90 / p99 of the reached n (``approx``: by sketch), cut to whole numbers."""
     probs = {"convergence_n_p50": 0.5, "convergence_n_p90": 0.9, "convergence_n_p99": 0.99}
     n = converged.groupBy(*by).agg(F.count("*").alias("n_questions"), F.count("convergence_n").alias("n_converged"))
-    q = quantiles(converged.withColumn("_n", F.col("convergence_n").cast("double")), by, "_n", probs)
+    q = (approx_quantiles if approx else quantiles)(converged.withColumn("_n", F.col("convergence_n").cast("double")), by, "_n", probs)
     j = n.join(q, by, "left") if by else n.join(q, F.lit(True), "left")
     return j.select(
         *by, "n_questions", "n_converged", (F.col("n_questions") - F.col("n_converged")).alias("n_unconverged"),

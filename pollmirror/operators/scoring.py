@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distance as D
 from ..functions import text as X
-from .ranking import quantiles
+from .ranking import approx_quantiles, quantiles
 
 
 def question_distributions(answers: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
@@ -138,9 +138,9 @@ def subgroup_consistency(score: Column) -> Column:
 
 
 def run_score(
-    scored: DataFrame, by: list[str] | None = None, groups: DataFrame | None = None, median: bool = True
+    scored: DataFrame, by: list[str] | None = None, groups: DataFrame | None = None, median: bool = True, approx: bool = False
 ) -> DataFrame:
-    """Run scores from scored questions; ``groups`` optionally adds p_sub and p_cond per run."""
+    """Run scores from scored questions; ``groups`` optionally adds p_sub and p_cond per run, ``approx`` takes the median from a sketch."""
     by = by or ["run_id", "dataset"]
     agg = scored.groupBy(*by).agg(
         F.count("*").alias("n_questions"),
@@ -149,7 +149,8 @@ def run_score(
         refusal_calibration(F.col("model_refusal_rate"), F.col("human_refusal_rate")).alias("p_refuse"),
     )
     if median:
-        agg = agg.join(quantiles(scored, by, "jsd", {"median_jsd": 0.5}, bounds=(0, 1)), by)
+        q = approx_quantiles(scored, by, "jsd", {"median_jsd": 0.5}) if approx else quantiles(scored, by, "jsd", {"median_jsd": 0.5}, bounds=(0, 1))
+        agg = agg.join(q, by)
     agg = (
         agg.withColumn("p_dist", F.lit(1.0) - F.col("mean_jsd"))
         .withColumn("p_rank", (F.lit(1.0) + F.col("mean_tau")) / 2.0)

@@ -378,6 +378,11 @@ def ceiling_subgroup_spread(s):
     return B.ceiling_spread(exact_subgroups(s))[0]
 
 
+@query("ceiling_subgroup_spread_approx")
+def ceiling_subgroup_spread_approx(s):
+    return B.ceiling_spread(exact_subgroups(s), approx=True)[0]
+
+
 @query("ceiling_subgroup_worst", 'SELECT * RENAME (grp AS "group") FROM sub ORDER BY sub.mean, attribute, grp LIMIT 5', "mean", ctes="grouped", **CUTS)
 def ceiling_subgroup_worst(s):
     return B.ceiling_spread(exact_subgroups(s), ties=["attribute", "group"])[1]
@@ -421,8 +426,20 @@ DRAW_SQL = {
 }
 
 
-@query("multinomial_sample", "SELECT d.key, d.b, c.option, count(*) AS draws FROM dr d JOIN cumq c ON c.key = d.key AND d.at >= c.lo AND d.at < c.hi GROUP BY ALL", "", "b", ctes="qopt", **DRAW_SQL)
+@query("multinomial_sample")
 def multinomial_sample(s):
+    return B.multinomial_counts(s.questions, 10_000, 500)
+
+
+@query("multinomial_totals", "SELECT dataset, key, count(*) AS n_options, 5000000 AS total FROM qopt GROUP BY dataset, key", "", "total", ctes="qopt")
+def multinomial_totals(s):
+    """Every replicate hands out its draws whole."""
+    d = B.multinomial_counts(s.questions, 10_000, 500)
+    return d.groupBy("dataset", "key").agg(F.count("*").alias("n_options"), F.sum(F.aggregate("draws", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("total"))
+
+
+@query("multinomial_hash", "SELECT d.key, d.b, c.option, count(*) AS draws FROM dr d JOIN cumq c ON c.key = d.key AND d.at >= c.lo AND d.at < c.hi GROUP BY ALL", "", "b", ctes="qopt", **DRAW_SQL)
+def multinomial_hash(s):
     return B.multinomial_hash(s.questions, 20, 2)
 
 
@@ -501,6 +518,11 @@ def curve_report(s):
     return B.curve_summary(converged(s), ["dataset"])
 
 
+@query("curve_report_approx")
+def curve_report_approx(s):
+    return B.curve_summary(converged(s), ["dataset"], approx=True)
+
+
 @query("curve_compare", "SELECT r.dataset, r.key, r.n, r.jsd_mean - c.jsd_mean AS delta_jsd_mean FROM rv r JOIN cv c ON c.key = r.key AND c.n = r.n", "delta_jsd_mean", "n", ctes="qopt", **CURVE, **REAL_CURVE)
 def curve_compare(s):
     return B.curve_compare(C.expected_curve(s.questions, replace=False), C.expected_curve(s.questions))

@@ -308,6 +308,11 @@ def run_score(s):
     )
 
 
+@query("run_score_approx")
+def run_score_approx(s):
+    return S.run_score(s.scored, approx=True).select("run_id", "dataset", "n_questions", "mean_jsd", "median_jsd", "mean_tau", "sps")
+
+
 @query("temporal_breakdown", f"""SELECT run_id, y AS temporal_year, 1e0 - avg(jsd) AS p_dist, (1e0 + avg(tau)) / 2e0 AS p_rank, avg(jsd) AS mean_jsd, count(*) AS n_questions
     FROM (SELECT s.*, {YEAR_OF_SURVEY} AS y FROM scored s JOIN parts p ON p.key = s.key) WHERE y > 0 GROUP BY run_id, y""",
        "p_dist p_rank mean_jsd", "temporal_year", "scored parts")

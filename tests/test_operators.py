@@ -187,7 +187,7 @@ def test_clusters_and_silhouette(spark):
     people = {f"p{i}": ("x", "y", "z") if i < 5 else ("u", "v", "w") for i in range(9)}
     rows = [("c", p, f"q{j}", a) for p, ans in people.items() for j, a in enumerate(ans)]
     d = spark.createDataFrame(rows, "cohort string, persona string, question string, answer string")
-    got = C.cluster_patterns(d, ["cohort"]).collect()
+    got = C.ward_clusters(d, ["cohort"]).collect()
     assert {r.pattern: r["size"] for r in got} == {"x|y|z": 5, "u|v|w": 4}
     assert len({r.cluster for r in got}) == 2 and got[0].silhouette == pytest.approx(1.0)
     labelled = d.withColumn("label", F.when(F.col("persona") < "p5", "a").otherwise("b"))
