@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import written
 
 #: Curves of ``COORDINATES`` projected coordinates each; a query probes those where its projection is longest.
 CURVES, COORDINATES, PROBES = 32, 3, 16
-#: A probe reads at least this share of the rows, in blocks of the ordering of bounded size.
+#: Vectors are ordered in bands of equal numbers by their distance from the mean; a query is put in every
+#: band, in its own direction, at this many times the band's radius.
+BANDS, REACH = 4, 1.4
+#: A probe reads at least this share of a band, in blocks of the ordering of bounded size.
 SHARE = 0.05
-BLOCK_ROWS, MAX_BLOCK_ROWS, SIDE = 1024, 8192, 2
+BLOCK_ROWS, MAX_BLOCK_ROWS, SIDE = 512, 8192, 1
 BITS = 13
 EVERY, TOP = 20, 20
 
@@ -43,18 +48,18 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def windows(rows: int) -> tuple[int, int]:
-    """Rows of a block, and blocks that a probe reads on each side of its own, for a table of ``rows`` distinct vectors.
+    """Rows of a block, and blocks that a probe reads on each side of its own, for ``rows`` distinct vectors.
 
-    A window holds at least ``SHARE`` of the rows. Up to about 100,000 rows it is 5 blocks of 1,024; then
+    A window holds at least ``SHARE`` of a band. Up to about 120,000 rows it is 3 blocks of 512; then
     blocks grow to ``MAX_BLOCK_ROWS``, which bounds the memory of a task; then more blocks are read.
     """
-    wanted = int(np.ceil(SHARE * rows))
+    wanted = int(np.ceil(SHARE * rows / BANDS))
     block = min(max(BLOCK_ROWS, -(-wanted // (2 * SIDE + 1))), MAX_BLOCK_ROWS)
     return block, max(SIDE, -(-(-(-wanted // block) - 1) // 2))
 
 
-def curve_keys(vectors: np.ndarray, scale: float, curves: int = CURVES) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and projected lengths of vectors (one row each) on every curve.
+def curve_keys(vectors: np.ndarray, curves: int = CURVES) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and projected lengths of vectors (one row each, of about unit variance a component) on every curve.
 
     Coordinates come in groups of ``COORDINATES`` from random rotations, as many as the curves need;
     every curve has a shift of its own.
@@ -64,13 +69,41 @@ def curve_keys(vectors: np.ndarray, scale: float, curves: int = CURVES) -> tuple
     turned = []
     while sum(t.shape[1] for t in turned) < COORDINATES * curves:
         turned.append(vectors @ np.linalg.qr(rng.standard_normal((dim, dim)))[0])
-    y = np.concatenate(turned, axis=1)[:, : COORDINATES * curves].reshape(len(vectors), curves, COORDINATES) / scale
+    y = np.concatenate(turned, axis=1)[:, : COORDINATES * curves].reshape(len(vectors), curves, COORDINATES)
     shift = rng.random((curves, COORDINATES)) * 0.25
     cells = np.clip((y + 4 + shift) / 8.25 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
     keys = hilbert_keys(cells.reshape(-1, COORDINATES), BITS).reshape(len(vectors), curves)
     return keys, np.linalg.norm(y, axis=2)
 
 
+@dataclass
+class Layout:
+    """Where vectors of one length lie: their mean, and the edges and radii of the bands round it."""
+
+    mean: np.ndarray
+    edges: np.ndarray
+    radii: np.ndarray
+
+    def keys(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Band and keys of vectors as candidates."""
+        z = vectors - self.mean
+        radius = np.linalg.norm(z, axis=1)
+        band = np.searchsorted(self.edges, radius)
+        unit = np.maximum(self.radii[band], np.finfo(float).tiny) / np.sqrt(vectors.shape[1])
+        return band, curve_keys(z / unit[:, None])[0]
+
+    @staticmethod
+    def query_keys(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of vectors as queries, the same in every band, and which curves they probe.
+
+        What counts is the product with a candidate's difference from the mean, so only the
+        direction of the whole vector matters.
+        """
+        size = np.linalg.norm(vectors, axis=1, keepdims=True)
+        keys, lengths = curve_keys(vectors / size * REACH * np.sqrt(vectors.shape[1]))
+        return keys, np.argsort(np.argsort(-lengths, axis=1), axis=1) < PROBES
+
+
 def _usable(v: Column) -> Column:
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0)
@@ -82,61 +115,96 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _layouts(classes: DataFrame) -> dict[int, Layout]:
+    """The layout of every length, from one pass for the means and one for the radii."""
+    parts = classes.select(F.size("v").alias("dim"), F.posexplode("v").alias("at", "x"))
+    means: dict[int, dict[int, float]] = {}
+    for r in parts.groupBy("dim", "at").agg(F.avg(F.col("x").cast("double")).alias("m")).collect():  # one row per component
+        means.setdefault(r.dim, {})[r["at"]] = r.m
+    mean = {dim: np.array([m[i] for i in range(dim)]) for dim, m in means.items()}
+
+    def radii(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch["v"].value_lengths().to_numpy()
+            for dim in np.unique(sizes):
+                some = batch.filter(pa.array(sizes == dim))
+                r = np.linalg.norm(_matrix(some["v"]) - mean[int(dim)], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), dim, np.int64)), pa.array(r)], ["dim", "r"])
+
+    at = [i / (2 * BANDS) for i in range(1, 2 * BANDS)]
+    found = classes.select("v").mapInArrow(radii, "dim bigint, r double").groupBy("dim").agg(F.percentile_approx("r", F.array(*map(F.lit, at)), 10_000).alias("q"))
+    return {r.dim: Layout(mean[r.dim], np.array(r.q[1::2]), np.array(r.q[::2])) for r in found.collect()}  # one row per length
+
+
 def nearest(vectors: DataFrame, vec: str = "embedding", id_col: str = "vec_id", every: int = EVERY, top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score: for every vector whose id is divisible by ``every`` its ``top`` nearest found.
 
-    All distinct vectors are put in order along ``CURVES`` Hilbert curves of ``COORDINATES``
-    projected coordinates, range-partitioned by (curve, key), and cut into blocks of equal size. A
-    query reads its own block and blocks on each side (``windows``) of the curves where its projection
-    is longest; what it finds there is merged and ranked by the inner product in double precision.
-    Windows hold a fixed share of the rows at least, so that recall does not fall as rows are added;
-    the work is queries times rows.
+    The largest inner product is sought, so lengths and the mean matter: distinct vectors less their mean
+    are parted in ``BANDS`` bands by length, and within a band put in order along ``CURVES`` Hilbert
+    curves of ``COORDINATES`` projected coordinates, range-partitioned by (curve, key) and cut into
+    blocks of equal size. A query is put in every band in its own direction and reads its block and
+    blocks on each side (``windows``) of the curves where its projection is longest; what it finds
+    there is merged and ranked by the inner product in double precision. Only ids and keys are
+    ordered; vectors join the blocks afterwards. Windows hold a fixed share of the rows at least,
+    so that recall does not fall as rows are added; the work is queries times rows.
 
     Equal vectors are one entry; of each at most ``top`` + 1 smallest ids can be in a result, and
     only those are expanded. Ties go to the smaller id. Vectors that are null, empty, zero or hold
     null or non-finite components, and rows with a null id, take no part. Vectors of different
-    lengths are never compared. Repeated rows are one candidate. An empty table gives no rows.
+    lengths are never compared. Repeated rows are one candidate. An empty table gives no rows; other
+    columns are not read.
     """
-    rows = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vec}`").cast("array<double>").alias("v"))
+    kind = vectors.schema[vec].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    v = F.col(f"`{vec}`").cast("array<float>" if single else "array<double>")
+    rows = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), v.alias("v"))
     rows = rows.where(F.col("id").isNotNull() & _usable(F.col("v"))).distinct()
     asks = F.pmod("id", F.lit(every)) == 0
     classes = written(rows.groupBy("v").agg(F.min("id").alias("cls"), F.max(asks).alias("asks")), "nn-classes")
     ids = written(rows.join(classes.select("v", "cls"), "v").select("id", "cls"), "nn-ids")
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) / F.size("v")
-    scale = float(np.sqrt(classes.agg(F.avg(square)).first()[0] or 1.0))
+    layouts = _layouts(classes)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def entries(cls: pa.Array, row: np.ndarray, curve: np.ndarray, key: np.ndarray, ask: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(curve), pa.array(key), cls.take(pa.array(row)), pa.array(np.full(len(row), ask))], ["curve", "key", "cls", "ask"])
+
         for batch in batches:
             sizes = batch["v"].value_lengths().to_numpy()
             for dim in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == dim))
+                first = int(dim) * BANDS * CURVES
                 for at in range(0, part.num_rows, 1024):
                     some = part.slice(at, 1024)
-                    keys, lengths = curve_keys(_matrix(some["v"]), scale)
-                    probe = (np.argsort(np.argsort(-lengths, axis=1), axis=1) < PROBES) & some["asks"].to_numpy(zero_copy_only=False)[:, None]
-                    n = some.num_rows
-                    index = pa.array(np.repeat(np.arange(n), CURVES))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.tile(np.arange(CURVES) + int(dim) * CURVES, n)), pa.array(keys.reshape(-1)), some["cls"].take(index), pa.array(probe.reshape(-1)), some["v"].take(index)],
-                        ["curve", "key", "cls", "probe", "v"],
-                    )
-
-    placed = classes.select("cls", "asks", "v").mapInArrow(place, "curve bigint, key bigint, cls bigint, probe boolean, v array<double>")
+                    x = _matrix(some["v"])
+                    band, keys = layouts[int(dim)].keys(x)
+                    curve = first + band[:, None] * CURVES + np.arange(CURVES)
+                    yield entries(some["cls"], np.repeat(np.arange(len(x)), CURVES), curve.reshape(-1), keys.reshape(-1), False)
+                    asking = np.flatnonzero(some["asks"].to_numpy(zero_copy_only=False))
+                    if len(asking):
+                        keys, probe = Layout.query_keys(x[asking])
+                        row, c = np.nonzero(probe)
+                        for b in range(BANDS):
+                            yield entries(some["cls"], asking[row], first + b * CURVES + c, keys[row, c], True)
+
+    schema = "curve bigint, key bigint, cls bigint, ask boolean"
+    placed = classes.select("cls", "asks", "v").mapInArrow(place, schema)
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64("cls")
     ordered = placed.withColumn("tie", tie).repartitionByRange(parts, "curve", "key", "tie").sortWithinPartitions("curve", "key", "tie").drop("tie")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every entry with the number of candidates before it in its partition."""
         from pyspark import TaskContext
 
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))], [*batch.schema.names, "part", "at"])
-            at += n
+            own = ~batch["ask"].to_numpy(zero_copy_only=False)
+            upto = at + np.cumsum(own)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(own), part, np.int32)), pa.array(upto - own)], [*batch.schema.names, "part", "at"])
+            at = int(upto[-1]) if len(own) else at
 
-    index = written(ordered.mapInArrow(number, "curve bigint, key bigint, cls bigint, probe boolean, v array<double>, part int, at bigint"), "nn-index")
-    sizes = {r.part: r.n for r in index.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per partition
+    index = written(ordered.mapInArrow(number, f"{schema}, part int, at bigint"), "nn-index")
+    sizes = {r.part: r.n for r in index.groupBy("part").agg(F.count_if(~F.col("ask")).alias("n")).collect()}  # one row per partition
     before, total = {}, 0
     for p in sorted(sizes):
         before[p], total = total, total + sizes[p]
@@ -145,9 +213,8 @@ def nearest(vectors: DataFrame, vec: str = "embedding", id_col: str = "vec_id",
         offset = F.element_at(F.create_map(*[F.lit(x) for p in before for x in (p, before[p])]), F.col("part")).cast("bigint")
     block_rows, side = windows(total // CURVES)
     index = index.withColumn("block", F.floor((offset + F.col("at")) / block_rows).cast("bigint"))
-    entries = index.select("block", "curve", "cls", F.lit(False).alias("ask"), "v")
-    asked = index.where("probe").withColumn("block", F.explode(F.sequence(F.col("block") - side, F.col("block") + side)))
-    both = entries.unionByName(asked.select("block", "curve", "cls", F.lit(True).alias("ask"), "v"))
+    near = F.when(F.col("ask"), F.sequence(F.col("block") - side, F.col("block") + side)).otherwise(F.array("block"))
+    both = index.select(F.explode(near).alias("block"), "curve", "cls", "ask").join(classes.select("cls", "v"), "cls")
 
     def search(table: pa.Table) -> pa.Table:
         ask, curve = table["ask"].to_numpy(), table["curve"].to_numpy()

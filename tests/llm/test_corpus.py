@@ -191,26 +191,41 @@ def test_neighbours_equal_brute_force_on_a_small_table(spark):
         assert [i for _, i in sorted(found)] == np.lexsort((np.arange(200), -s))[:20].tolist()
 
 
-def test_neighbour_windows_keep_their_share_and_recall_as_rows_grow():
+def test_neighbour_windows_keep_their_share():
     for n in (0, 1, 5_000, 200_000, 3_000_000, 10**9):
         block, side = neighbours.windows(n)
-        assert (2 * side + 1) * block >= 0.05 * n and block <= 8192
-    n, asked = 200_000, 20
-    x = np.random.default_rng(8).standard_normal((n, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    keys = np.concatenate([neighbours.curve_keys(x[a : a + 10_000], 1 / 8)[0] for a in range(0, n, 10_000)])
-    lengths = neighbours.curve_keys(x[:asked], 1 / 8)[1]
-    block, side = neighbours.windows(n)
-    places = [np.argsort(keys[:, c], kind="stable") for c in range(keys.shape[1])]
+        assert (2 * side + 1) * block >= 0.05 * n / neighbours.BANDS and block <= 8192
+
+
+LENGTHS = {
+    "unit": lambda u, rng: u,
+    "log-normal": lambda u, rng: u * rng.lognormal(0, 0.5, (len(u), 1)),
+    "wide log-normal": lambda u, rng: u * rng.lognormal(0, 1, (len(u), 1)),
+    "offset": lambda u, rng: u + np.r_[1.0, np.zeros(u.shape[1] - 1)],
+}
+
+
+@pytest.mark.parametrize("name, n", [*((k, 20_000) for k in LENGTHS), ("log-normal", 80_000), ("offset", 80_000)])
+def test_neighbours_of_the_query_itself_have_the_recall(spark, name, n):
+    rng = np.random.default_rng(8)
+    u = rng.standard_normal((n, 48))
+    x = LENGTHS[name](u / np.linalg.norm(u, axis=1, keepdims=True), rng).astype(np.float32)
+    import pyarrow as pa
+
+    table = pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.array(list(x), pa.list_(pa.float32())), "cls": pa.array(np.zeros(n)), "asks": pa.array(["x"] * n)})
+    every = n // 40
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(table), every=every).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    x = x.astype(np.float64)
     found = 0
-    for q in range(asked):
-        seen = np.zeros(n, bool)
-        for c in np.argsort(-lengths[q])[: neighbours.PROBES]:
-            own = int(np.flatnonzero(places[c] == q)[0]) // block
-            seen[places[c][max(own - side, 0) * block : (own + side + 1) * block]] = True
-        near = np.argsort(-(x @ x[q]))[1:21]
-        found += seen[near].sum()
-    assert found / (20 * asked) >= 0.9
+    assert len(got) == 40
+    for q, near in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert all(abs(s[i] - score) < 1e-12 * max(1, abs(score)) for i, score in near.items()) and len(near) == 20
+        found += len(set(np.argsort(-s)[:20].tolist()) & set(near))
+    assert found >= 0.9 * 40 * 20, found / 800
 
 
 @pytest.mark.parametrize("share", [5e-7, 1e-4, 1.0])
