@@ -30,7 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": lambda s, d: classify_quality(load(s, d, "documents"), load(s, d, "labels")),
     "op5_near_dedup": lambda s, d: near_duplicates(load(s, d, "documents")),
     "op6_exact_dedup": lambda s, d: exact_dedup(load(s, d, "documents")),
-    "op7_license_scan": lambda s, d: scan_licenses(load(s, d, "documents")).drop("spans"),
+    "op7_license_scan": lambda s, d: scan_licenses(load(s, d, "documents")),
     "op8_ppm_score": lambda s, d: score_texts(load(s, d, "documents")),
     "op9_secret_scan": lambda s, d: scan_secrets(load(s, d, "documents")),
     "op10_bpe": lambda s, d: bpe_digests(load(s, d, "documents")),
