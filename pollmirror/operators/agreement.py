@@ -17,7 +17,7 @@ def frequency_table(answers: DataFrame, by: list[str], categories: DataFrame | N
     if categories is not None:
         # the category list is per group (or global): a bounded cross of groups and categories
         keys = [c for c in categories.columns if c in by]
-        wanted = total.join(categories, keys) if keys else total.crossJoin(F.broadcast(categories))
+        wanted = total.join(categories, keys) if keys else total.crossJoin(categories)
         d = wanted.join(counts, [*by, "option"], "left").fillna(0, ["count"])
     else:
         d = counts.join(total, by)

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
 from ..functions import tables as T
 from ..functions import text as X
+from ..streaming.common import shared_folder
 from .scoring import score_pairs
 
 TOP_KEYS = ["benchmark", "version", "config", "aggregate", "per_question"]
@@ -385,8 +385,11 @@ def validate(
     tier1 = [v_bounds(runs), v_dist(questions), v_count(runs, questions), v_holdout(questions)]
     if hashes is not None:
         tier1.append(v_qset(runs, hashes))
-    # one row per finding, a small table that three later steps read
-    first = union(tier1).persist(StorageLevel.MEMORY_AND_DISK)
+    # one row per finding, a small table that three later steps read: written once, so nothing stays in memory
+    found = union(tier1)
+    folder = shared_folder(found.sparkSession, "findings")
+    found.write.parquet(folder)
+    first = found.sparkSession.read.schema(found.schema).parquet(folder)
     failed = first.where("severity = 'error'").select("run_id").distinct()
     clean = lambda d: d.join(failed, "run_id", "left_anti")
     parts = [first, v_perq(clean(questions)), v_reagg(clean(runs), clean(questions))]

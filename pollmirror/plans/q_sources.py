@@ -75,7 +75,7 @@ def src_microdata(s):
 
 @query("microdata_for_question", "SELECT DISTINCT l_orderkey || '@' || y AS respondent_id FROM mi WHERE l_suppkey = 5", mi=MICRO_SQL)
 def microdata_for_question(s):
-    return V.microdata_for_question(V.microdata(micro_raw(s), "GSS_"), "5", "GSS_").select("respondent_id")
+    return V.microdata_for_question(micro_raw(s), "5", "GSS_").select("respondent_id")
 
 
 # wave files: one document per ship year and part, groups are market segments

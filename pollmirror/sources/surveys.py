@@ -139,10 +139,16 @@ def microdata(raw: DataFrame, prefix: str, only_year: str | None = None) -> Data
     )
 
 
-def microdata_for_question(rows: DataFrame, key: str, prefix: str) -> DataFrame:
-    """Respondents who answered the question, asked for by its bare or prefixed id."""
-    full = key if key.startswith(prefix) else prefix + key
-    return rows.where(F.map_contains_key("responses", full))
+def microdata_for_question(raw: DataFrame, key: str, prefix: str, only_year: str | None = None) -> DataFrame:
+    """Rows of the respondents who answered the question, asked for by its bare or prefixed id.
+
+    The long lines are cut to those respondents before any row is built.
+    """
+    bare = key[len(prefix) :] if key.startswith(prefix) else key
+    rid, year = clean("respondent_id").alias("_r"), clean("year").alias("_y")
+    answered = raw.where((clean("question_id") == bare) & (clean("option") != "")).select(rid, year).distinct()
+    kept = raw.join(answered, (clean("respondent_id") == F.col("_r")) & (clean("year") == F.col("_y")), "left_semi")
+    return microdata(kept, prefix, only_year)
 
 
 # --- wave files -----------------------------------------------------------------------

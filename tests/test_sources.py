@@ -84,10 +84,13 @@ def test_microdata(spark, tmp_path):
     path.write_text(
         "respondent_id,year,question_id,option,subgroup_age_band\n1,2018,A,x,18-34\n1,2018,A,y,35-49\n1,2018,B,z,\n2,2018,A,,18-34\n2,2020,B,w,\n"
     )
-    rows = V.microdata(V.read_csv(spark, str(path), ["respondent_id", "year", "question_id", "option"]), "GSS_")
+    raw = V.read_csv(spark, str(path), ["respondent_id", "year", "question_id", "option"])
+    rows = V.microdata(raw, "GSS_")
     got = {r.respondent_id: (r.responses, r.subgroup) for r in rows.collect()}
     assert got == {"1@2018": ({"GSS_A": "y", "GSS_B": "z"}, {"age_band": "18-34"}), "2@2020": ({"GSS_B": "w"}, {})}
-    assert [r.respondent_id for r in V.microdata_for_question(rows, "A", "GSS_").collect()] == ["1@2018"]
+    assert [r.respondent_id for r in V.microdata_for_question(raw, "A", "GSS_").collect()] == ["1@2018"]
+    (one,) = V.microdata_for_question(raw, "GSS_A", "GSS_").collect()
+    assert (one.responses, one.subgroup) == ({"GSS_A": "y", "GSS_B": "z"}, {"age_band": "18-34"})
 
 
 @pytest.fixture
