@@ -58,7 +58,10 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sal
     )
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.unhex(F.sha2(text_of(text), 256)).alias("__digest"))
     nth = F.row_number().over(Window.partitionBy("__digest", "doc_id").orderBy("doc_id"))
-    return rows.join(one, "__digest").select(
+    # dealt by digest and id after the join: so a hot digest is split in the join (skew handling may cut its
+    # side, as nothing relies on where its rows lie) and its rows are spread by id for the numbering
+    labelled = rows.join(one, "__digest").repartition("__digest", "doc_id")
+    return labelled.select(
         "doc_id",
         "keep_id",
         "group_size",

@@ -3,8 +3,8 @@
 The trie holds, for contexts of 0 to ``ORDER`` bytes, how often each symbol followed in the
 training texts. A symbol is coded at the longest context that knows it; every longer known
 context costs an escape (method C: distinct symbols against occurrences), and symbols that a
-longer context knew are excluded below. Statistics are fixed after training, so both the symbol
-and the and the escape of a node depend on the node alone: the law of a position is that of its last
+longer context knew are excluded below. Statistics are fixed after training, so both the symbols
+and the escape of a node depend on the node alone: the law of a position is that of its last
 ``ORDER`` + 1 symbols, and is worked out once for each distinct run of them.
 """
 

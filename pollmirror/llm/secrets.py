@@ -147,9 +147,6 @@ def battery(token: Column) -> Column:
     return F.when(F.length(body) > 1, F.transform(F.array(base), judged)[0])
 
 
-
-
-
 def candidates(text: Column) -> Column:
     """Candidate runs with their test results: array of struct(start, end, evidence, random, cls)."""
     spans = F.filter(_located(text, CANDIDATE), lambda r: F.length(F.regexp_replace(r["g"], "=+$", "")) >= 20)
