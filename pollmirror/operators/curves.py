@@ -145,7 +145,7 @@ def curve_walk(
         while len(found) < replicates:
             size = min(block, replicates - len(found))
             drawn = rng.multinomial(n, share, size=size) if replace else rng.multivariate_hypergeometric(counts, n, size=size, method="marginals")
-            found = np.concatenate([found, _jsd_rows(drawn / n, np.broadcast_to(share, drawn.shape))])
+            found = np.concatenate([found, _jsd_rows(drawn / n, share)])
             ordered = np.sort(found)
             errors = 1.96 * float(found.std(ddof=1)) / np.sqrt(len(found)) if len(found) > 1 else np.inf, max(quantile_error(ordered, 0.1), quantile_error(ordered, 0.9))
             if tolerance is not None and max(errors) <= tolerance:

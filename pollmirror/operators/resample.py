@@ -229,12 +229,14 @@ def proportion_ci(counts: DataFrame, resamples: int = 2000, seed: int = 42, conf
 # --- split-half ceilings -------------------------------------------------------------
 
 
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log2(np.where(x > 0, x, 1.0))
+
+
 def _jsd_rows(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    m = (p + q) / 2.0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        a = np.where(p > 0, p * np.log2(np.where(p > 0, p, 1.0) / np.where(m > 0, m, 1.0)), 0.0)
-        b = np.where(q > 0, q * np.log2(np.where(q > 0, q, 1.0) / np.where(m > 0, m, 1.0)), 0.0)
-    return (a.sum(axis=-1) + b.sum(axis=-1)) / 2.0
+    """JSD of every row of ``p`` and the row of ``q`` beside it, or the one ``q`` there is."""
+    both = (_xlogx(p).sum(axis=-1) + _xlogx(q).sum(axis=-1)) / 2.0
+    return np.maximum(both - _xlogx((p + q) / 2.0).sum(axis=-1), 0.0)
 
 
 def _tau_rows(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -393,7 +395,7 @@ def _curve(grid: DataFrame, draw, replicates: int, seed: int) -> DataFrame:
             out = []
             for ds, key, w, n in zip(pdf["dataset"], pdf["key"], pdf["w"], pdf["n"]):
                 sample, full = draw(np.random.default_rng(_number(seed, ds, key, n)), np.asarray(w), int(n))
-                d = _jsd_rows(sample, np.broadcast_to(full, sample.shape))
+                d = _jsd_rows(sample, full)
                 lo, hi = np.percentile(d, [10, 90])
                 out.append((ds, key, n, float(d.mean()), lo, hi, replicates))
             yield pd.DataFrame(out, columns=["dataset", "key", "n", "jsd_mean", "jsd_p10", "jsd_p90", "replicates"])

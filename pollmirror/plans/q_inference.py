@@ -209,7 +209,7 @@ def bca_ci_tau(s):
     return V.statistic_ci(s.scored, ["run_id"], "key", ["human_refusal_rate", "model_refusal_rate"], "tau")
 
 
-ESTIMATE_SQL = """SELECT run_id, count(*) AS n, avg(parity) AS mean, quantile_cont(jsd, 0.5) AS median, stddev_samp(parity) / avg(parity) AS cv, corr(human_refusal_rate, model_refusal_rate) AS correlation FROM scored GROUP BY run_id HAVING count(*) >= 5"""
+ESTIMATE_SQL = """SELECT run_id, count(*) AS n, avg(parity) AS mean, quantile_cont(jsd, 0.5) AS median, stddev_samp(parity) / avg(parity) AS cv, CASE WHEN var_pop(human_refusal_rate) * var_pop(model_refusal_rate) > 0 THEN corr(human_refusal_rate, model_refusal_rate) ELSE 0e0 END AS correlation FROM scored GROUP BY run_id HAVING count(*) >= 5"""
 
 
 @query("bca_estimates", ESTIMATE_SQL, "mean median cv correlation", ctes="scored")
