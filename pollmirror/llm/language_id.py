@@ -16,8 +16,8 @@ from .common import BLOCK, fold, mix64, written
 ORDERS = (2, 3, 4)
 #: Expected number of labelled texts per language that the filters are learned from (the fit is on a sample).
 FIT_DOCS = 1000
-#: An n-gram belongs to a language if it is at least this often in it, and at least so frequent
-#: against the language where it is most frequent.
+#: An n-gram belongs to a language if at least this many of its texts have it, and if it is at least so
+#: frequent against the language where it is most frequent.
 MIN_COUNT, MIN_SHARE = 3, 0.1
 HASHES = 3
 #: Slots per n-gram of the language that has most; a filter has 2^16 to 2^22 slots.
@@ -153,9 +153,12 @@ def fit_filters(labelled: DataFrame, text: str = "text", lang: str = "lang", id_
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang_of = np.array([languages.index(x) for x in batch["lang"].to_pylist()])
-            for keys, who in ngrams(batch["text"].to_pylist()):
-                both, n = np.unique(np.stack([lang_of[who].astype(np.uint64), keys]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0].astype(np.int32)), pa.array(both[1].view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+            # once per text, so that no long text speaks for its language alone
+            found = [[keys for keys, _ in ngrams([t])] for t in batch["text"].to_pylist()]
+            grams = [np.unique(np.concatenate([np.zeros(0, np.uint64), *f])) for f in found]
+            lang_no = np.repeat(lang_of, [len(g) for g in grams]).astype(np.int32)
+            keys = np.concatenate([np.zeros(0, np.uint64), *grams]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(lang_no), pa.array(keys), pa.array(np.ones(len(keys), np.int64))], ["lang", "gram", "n"])
 
     counts = rows.where(cut).select("lang", "text").mapInArrow(count, "lang int, gram bigint, n bigint")
     totals = written(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
