@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import SAMPLE_SIZES
-from .resample import _jsd_rows, _number, spread
+from .resample import OptionCells, _jsd_rows, _number, ordered_percentile, spread
 
 EPSILON, DELTA = 0.02, 0.005
 #: A count this many deviations (and as many units) off its mean has no weight in double precision.
@@ -114,12 +114,15 @@ def stop_size(points: Sequence[tuple[int, float]], epsilon: float = EPSILON, del
     return False, None
 
 
-def quantile_error(ordered: np.ndarray, q: float, z: float = 1.96) -> float:
-    """Half the distance of the order statistics that hold the quantile with 95 % confidence, whatever the law."""
-    b = len(ordered)
+def quantile_error(ordered: np.ndarray, q: float, z: float = 1.96) -> float | np.ndarray:
+    """Half the distance of the order statistics that hold the quantile with 95 % confidence, whatever the law.
+
+    ``ordered``: values in order, or rows of such.
+    """
+    b = ordered.shape[-1]
     half = z * np.sqrt(b * q * (1 - q))
     low, high = max(int(np.floor(b * q - half)) - 1, 0), min(int(np.ceil(b * q + half)), b - 1)
-    return float(ordered[high] - ordered[low]) / 2
+    return (ordered[..., high] - ordered[..., low]) / 2
 
 
 WALK = "dataset string, key string, n bigint, jsd_mean double, jsd_p10 double, jsd_p90 double, replicates bigint, mean_error double, quantile_error double, convergence_n bigint"
@@ -129,12 +132,12 @@ def curve_walk(
     questions: DataFrame, sizes: Sequence[int] = SAMPLE_SIZES, replicates: int = 500, replace: bool = True, tolerance: float | None = None,
     epsilon: float = EPSILON, delta: float = DELTA, block: int = 100, seed: int = 42, whole: bool = False,
 ) -> DataFrame:
-    """Drawn curve points, their error bounds and the converged size; one kernel walks a question's sizes.
+    """Drawn curve points, their error bounds and the converged size; one kernel walks the sizes of its questions.
 
-    The walk ends where the rule of ``stop_size`` is decided, unless the ``whole`` curve is wanted.
-    Replicates come in blocks. With a ``tolerance`` they end as soon as the mean's and the
-    percentiles' 95 % errors are within it, else at ``replicates``. Draws need the option counts
-    alone and are seeded by question and size. Without replacement, sizes above the pool are left
+    The walk of a question ends where the rule of ``stop_size`` is decided, unless the ``whole`` curve is
+    wanted. A batch of questions is drawn and compared at once, see ``OptionCells``. With a
+    ``tolerance`` a question's replicates come in blocks instead, and end as soon as the mean's and the
+    percentiles' 95 % errors are within it. Draws need the option counts alone. Without replacement, sizes above the pool are left
     out. ``questions``: dataset, key, counts.
     """
     wanted = sorted(int(s) for s in sizes)
@@ -148,26 +151,35 @@ def curve_walk(
             found = np.concatenate([found, _jsd_rows(drawn / n, share)])
             ordered = np.sort(found)
             errors = 1.96 * float(found.std(ddof=1)) / np.sqrt(len(found)) if len(found) > 1 else np.inf, max(quantile_error(ordered, 0.1), quantile_error(ordered, 0.9))
-            if tolerance is not None and max(errors) <= tolerance:
+            if max(errors) <= tolerance:
                 break
         low, high = np.percentile(found, [10, 90])
         return float(found.mean()), float(low), float(high), len(found), *errors
 
+    def points(names: list[tuple], counts: list[np.ndarray], n: int) -> list[tuple[float, ...]]:
+        if tolerance is not None:
+            return [point(np.random.default_rng(_number(seed, *name, n)), c, n) for name, c in zip(names, counts)]
+        d = OptionCells(names, counts, seed).replicates(n, replicates, replace)
+        error = 1.96 * d.std(axis=1, ddof=1) / np.sqrt(replicates) if replicates > 1 else np.full(len(d), np.inf)
+        edge = np.maximum(quantile_error(d, 0.1), quantile_error(d, 0.9))
+        return list(zip(d.mean(axis=1).tolist(), ordered_percentile(d, 10).tolist(), ordered_percentile(d, 90).tolist(), [replicates] * len(d), error.tolist(), edge.tolist()))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for ds, key, c in zip(pdf["dataset"], pdf["key"], pdf["counts"]):
-                counts = np.asarray(c, dtype=np.int64)
-                rows, decided, answer = [], False, None
-                for n in wanted:
-                    if not replace and n > counts.sum():
-                        break
-                    rows.append((n, *point(np.random.default_rng(_number(seed, ds, key, n)), counts, n)))
-                    if not decided:
-                        decided, answer = stop_size([r[:2] for r in rows], epsilon, delta)
-                    if decided and not whole:
-                        break
-                out += [(ds, key, *r, answer) for r in rows]
+            names = list(zip(pdf["dataset"], pdf["key"]))
+            counts = [np.asarray(c, dtype=np.int64) for c in pdf["counts"]]
+            pool = [int(c.sum()) for c in counts]
+            rows: list[list[tuple]] = [[] for _ in names]
+            state: list[tuple[bool, int | None]] = [(False, None)] * len(names)
+            for n in wanted:
+                going = [i for i in range(len(names)) if (whole or not state[i][0]) and (replace or n <= pool[i])]
+                if not going:
+                    continue
+                for i, found in zip(going, points([names[i] for i in going], [counts[i] for i in going], n)):
+                    rows[i].append((n, *found))
+                    if not state[i][0]:
+                        state[i] = stop_size([r[:2] for r in rows[i]], epsilon, delta)
+            out = [(*name, *r, answer) for name, of, (_, answer) in zip(names, rows, state) for r in of]
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in WALK.split(", ")])
             yield frame.astype({"convergence_n": "Int64"})
 

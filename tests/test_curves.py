@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pollmirror.operators import curves as C
@@ -107,3 +108,36 @@ def test_blocks_end_within_the_tolerance(spark):
 ])
 def test_stop_rule(points, want):
     assert C.stop_size(points) == want and want[1] == rule(points, C.EPSILON, C.DELTA)
+
+
+def test_questions_drawn_at_once_follow_their_own_law():
+    rng = np.random.default_rng(11)
+    counts = [rng.integers(0, 40, int(rng.integers(2, 7))) + (np.arange(1) == 0) for _ in range(60)]
+    names = [("d", f"q{i}") for i in range(60)]
+    cells = B.OptionCells(names, counts, 7)
+    drawn = cells._shared(50, B._uniforms(7, 50, 4000))
+    assert (drawn >= 0).all() and (np.add.reduceat(drawn, cells.starts, axis=1) == 50).all()
+    p = cells.share
+    sd = np.sqrt(50 * p * (1 - p))
+    assert (np.abs(drawn.mean(axis=0) - 50 * p) <= 5 * sd / math.sqrt(4000) + 1e-9).all()
+    some = sd > 0
+    assert np.abs(drawn.var(axis=0)[some] / sd[some] ** 2 - 1).max() < 0.15
+    first = drawn[:, cells.starts]  # turned apart, questions hardly move together
+    assert np.abs(np.mean(np.corrcoef(first.T)[np.triu_indices(60, 1)])) < 0.1
+    alone = B.OptionCells(names[3:5], counts[3:5], 7).replicates(50, 500)
+    assert np.allclose(alone, cells.replicates(50, 500)[3:5], atol=1e-12)  # whatever stands beside a question
+    kept = B.OptionCells(names[3:5], counts[3:5], 7).replicates(2, 500, replace=False)
+    want = np.random.default_rng(B._number(7, "d", "q3", 2)).multivariate_hypergeometric(counts[3], 2, size=500, method="marginals") / 2
+    assert np.allclose(kept[0], np.sort(B._jsd_rows(want, counts[3] / counts[3].sum())), atol=1e-12)
+
+
+def test_counts_leave_in_batches_of_bounded_draws(spark, monkeypatch):
+    d = spark.createDataFrame([("d", f"q{i}", ["a", "b"], [i + 1, 3]) for i in range(40)], "dataset string, key string, options array<string>, counts array<long>")
+    kernels, frame = [], type(d)
+    real = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, fn, schema: kernels.append(fn) or real(self, fn, schema))
+    monkeypatch.setattr(B, "DRAWS_AT_ONCE", 4 * 10 * 500)  # ten rows of 500 replicates
+    rows = B.multinomial_counts(d, 100, 500).collect()
+    assert len(rows) == 80 and all(len(r.draws) == 500 for r in rows)
+    batch = pa.RecordBatch.from_pylist([r.asDict() for r in d.collect()])
+    assert max(b.num_rows for b in kernels[0](iter([batch]))) == 10
