@@ -20,29 +20,29 @@ def _union_jsd(a: Column, b: Column) -> Column:
 def pair_jsd(dists: DataFrame, by: list[str], item: str, dist: str = "dist", extra: list[str] | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """JSD of every pair ``item_a < item_b`` sharing a ``by`` group.
 
-    A group of n rows is cut into ceil(n / cell_rows) cells and each pair of cells is
-    its own join key, so no task ever joins more than ``cell_rows`` squared rows of a
-    hot group. Callers fold the pairs at once; the partial aggregate runs in the join's
-    stage and only its sums are shuffled. Pair results themselves are the wanted output
+    A group of n rows is cut into ceil(n / cell_rows) cells. Every pair of cells is one row that
+    holds both, so no task ever holds more than two cells of a hot group, and a group of one cell,
+    the usual case, is gathered once and never joined. Callers fold the pairs at once; the
+    partial aggregate runs where they are made and only its sums are shuffled. Pair results themselves are the wanted output
     (a model x model matrix), so the comparisons cannot be avoided, only spread.
     """
     extra = extra or []
-    sizes = dists.groupBy(*by).agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("_cells"))
-    d = dists.select(*by, item, dist, *extra).join(sizes, by)
+    cols = [item, dist, *extra]
+    sizes = dists.where(F.col(item).isNotNull()).groupBy(*by).agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("_cells"))
+    d = dists.where(F.col(item).isNotNull()).select(*by, *cols).join(sizes, by)
     d = d.withColumn("_own", F.pmod(F.xxhash64(item), F.col("_cells")).cast("int"))
-    left = d.withColumn("_ci", F.col("_own")).withColumn("_cj", F.explode(F.sequence("_own", F.col("_cells") - 1)))
-    right = d.withColumn("_cj", F.col("_own")).withColumn("_ci", F.explode(F.sequence(F.lit(0), "_own")))
-    a = left.select(*by, "_ci", "_cj", *[F.col(c).alias(f"{c}_l") for c in [item, dist, *extra]])
-    b = right.select(*by, "_ci", "_cj", *[F.col(c).alias(f"{c}_r") for c in [item, dist, *extra]])
-    joined = a.join(b, [*by, "_ci", "_cj"]).where(
-        (F.col(f"{item}_l") < F.col(f"{item}_r"))
-        | ((F.col("_ci") != F.col("_cj")) & (F.col(f"{item}_l") != F.col(f"{item}_r")))
+    meets = F.transform(
+        F.sequence(F.lit(0), F.col("_cells") - 1),
+        lambda c: F.struct(F.least("_own", c).alias("_ci"), F.greatest("_own", c).alias("_cj")),
     )
-    flip = F.col(f"{item}_l") > F.col(f"{item}_r")
-    ends = [
-        F.when(flip, F.col(f"{c}_r")).otherwise(F.col(f"{c}_l")).alias(f"{c}_a") for c in [item, *extra]
-    ] + [F.when(flip, F.col(f"{c}_l")).otherwise(F.col(f"{c}_r")).alias(f"{c}_b") for c in [item, *extra]]
-    return joined.select(*by, *ends, _union_jsd(F.col(f"{dist}_l"), F.col(f"{dist}_r")).alias("jsd"))
+    d = d.withColumn("_m", F.explode(meets)).select(*by, "_m._ci", "_m._cj", F.struct("_own", *cols).alias("_r"))
+    cells = d.groupBy(*by, "_ci", "_cj").agg(F.collect_list("_r").alias("_rows"))
+    one = cells.withColumn("_a", F.explode("_rows"))
+    # within a cell every pair once; between two cells only pairs across
+    after = F.filter("_rows", lambda r: (F.col(f"_a.{item}") < r[item]) & ((F.col("_ci") == F.col("_cj")) | (F.col("_a._own") != r["_own"])))
+    two = one.withColumn("_b", F.explode(after))
+    ends = [F.col(f"_{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in [item, *extra]]
+    return two.select(*by, *ends, _union_jsd(F.col(f"_a.{dist}"), F.col(f"_b.{dist}")).alias("jsd"))
 
 
 def concordance(dists: DataFrame, run_jsd: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -36,7 +36,7 @@ def pair_sql(group: str) -> str:
 
 
 def model_maps(s):
-    return s.scored.select("dataset", "key", "model", "run_id", F.map_from_arrays("options", "p_model").alias("dist"))
+    return s.shares.select("dataset", "key", "model", "run_id", F.map_from_arrays("options", "p_model").alias("dist"))
 
 
 @query("j_pairwise_shared", """SELECT dataset, model_a, model_b, avg(jsd) AS mean_jsd, count(*) AS n_shared FROM pairs GROUP BY ALL""",
@@ -152,7 +152,7 @@ MODAL_SQL = "SELECT run_id, key, arg_max(option, (p_model, -pos)) AS modal FROM
     FROM scored a JOIN scored b ON a.key = b.key JOIN modal ma ON ma.run_id = a.run_id AND ma.key = a.key JOIN modal mb ON mb.run_id = b.run_id AND mb.key = b.key
     WHERE a.model = 'm1' AND b.model = 'm3'""", "a_jsd b_jsd delta_jsd", ctes="scored", modal=MODAL_SQL)
 def j_compare_runs(s):
-    a, b = s.scored.where("model = 'm1'"), s.scored.where("model = 'm3'")
+    a, b = s.shares.where("model = 'm1'"), s.shares.where("model = 'm3'")
     d = R.compare_runs(a, b).join(a.select("key", "dataset"), "key")
     return d.orderBy(F.desc_nulls_last(F.abs("delta_jsd")), "key")
 
@@ -350,7 +350,7 @@ def normalised_sps(s):
 
 
 def raw_dists(s):
-    best = R.dedup_best_run(s.runs).where("family = 'raw'").select("run_id", F.col("display_name").alias("name"), "mean_jsd")
+    best = R.dedup_best_run(s.runs_of(s.shares)).where("family = 'raw'").select("run_id", F.col("display_name").alias("name"), "mean_jsd")
     d = model_maps(s).join(best, "run_id").drop("model").withColumnRenamed("name", "model")
     return d, best.join(s.base.select("run_id", "dataset").distinct(), "run_id")
 
@@ -505,7 +505,7 @@ QR_SQL = {
 
 def qroll(s):
     names = P.with_display(s.models, s.names).select("model", "provider", "display_name", "family")
-    return R.question_rollup(s.scored.join(names, "model"))
+    return R.question_rollup(s.shares.join(names, "model"))
 
 
 @query("question_rollup", "SELECT dataset, key, family, display_name, is_ensemble, run_id, n_samples FROM qr", ctes="scored cfg", **QR_SQL)
@@ -787,7 +787,7 @@ def oracle_pick(s):
 
 @query("best_file", "SELECT dataset, run_id, sps FROM runs WHERE run_id IN (SELECT run_id FROM scored GROUP BY run_id HAVING var_pop(jsd) >= 1e-10) QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY sps DESC, n_questions DESC, run_id) = 1", "sps", ctes="runs scored")
 def best_file(s):
-    return E.best_run(s.runs, s.scored, ["dataset"]).select("dataset", "run_id", "sps")
+    return E.best_run(s.runs, s.metrics, ["dataset"]).select("dataset", "run_id", "sps")
 
 
 @query("blend_delta", """SELECT a.dataset, count(*) FILTER (a.jsd - s.jsd < -1e-9) AS improved, count(*) FILTER (a.jsd - s.jsd > 1e-9) AS worsened, count(*) AS n, avg(a.jsd - s.jsd) AS mean_delta

@@ -5,9 +5,11 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import types as T
 
+from pollmirror.operators.pairs import pair_jsd
 from pollmirror.plans import registry
-from pollmirror.plans.q_sources import wave_files
+from pollmirror.plans.bridge import Survey
 
 registry.load_all()
 QUESTIONS, YEARS = 12, (1995, 1996, 1997, 1998, 1999)
@@ -53,3 +55,21 @@ def test_drift_has_its_interval(spark, folder):
     (row,) = run(spark, folder, "temporal_drift_overall").collect()
     assert row["n_stems"] == QUESTIONS and row["n_pairs"] == 10 * QUESTIONS
     assert row["ci_low"] < row["mean_drift"] < row["ci_high"]
+
+
+def test_run_scores_keep_no_texts_or_arrays(spark, folder):
+    s = Survey.open(spark, folder)
+    assert not any(isinstance(f.dataType, (T.ArrayType, T.MapType)) for f in s.metrics.schema.fields)
+    wide = {(r["run_id"], r["key"]): (r["jsd"], r["tau"], r["in_tok"]) for r in s.scored.collect()}
+    assert wide == {(r["run_id"], r["key"]): (r["jsd"], r["tau"], r["in_tok"]) for r in s.metrics.collect()}
+
+
+def test_pairs_of_a_group_are_gathered_not_joined(spark):
+    rows = [("g" if i < 30 else "h", f"m{i:02d}", {"a": (i + 1.0) / 40, "b": (39.0 - i) / 40}) for i in range(36)] + [("g", None, {"a": 1.0})]
+    d = spark.createDataFrame(rows, "g string, model string, dist map<string,double>")
+    for cell_rows in (64, 4):
+        pairs = pair_jsd(d, ["g"], "model", cell_rows=cell_rows)
+        assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # the sizes alone
+        got = [(r["g"], r["model_a"], r["model_b"]) for r in pairs.collect()]
+        want = [(g, a, b) for g, a, _ in rows for h, b, _ in rows if g == h and a and b and a < b]
+        assert sorted(got) == sorted(want)
