@@ -135,7 +135,7 @@ def v_reagg(s):
 
 def raw_rows(s):
     """Preserved raw answers: the first valid sample of a cell, blank for one model."""
-    return s.scored.where("raw_option IS NOT NULL").select(
+    return s.samples.where("raw_option IS NOT NULL").select(
         "run_id", "key", F.when(F.col("model") == "m6", " ").otherwise(F.col("raw_text")).alias("raw_text"),
         F.col("raw_option").alias("selected_option"),
     )
@@ -154,17 +154,18 @@ RAW_SQL = {
     SELECT run_id, 'RAW_RESPONSES_MODE' FROM rawj WHERE model <> 'm6' AND top - own > 1e0 / sqrt(n) + 1e-6 UNION ALL
     SELECT DISTINCT run_id, 'RAW_RESPONSES_MISSING' FROM cells WHERE model = 'm7') GROUP BY ALL""", ctes="long cells base qopt", **RAW_SQL)
 def v_raw(s):
-    runs = s.base.select("run_id", "model").distinct().select("run_id", (F.col("model") != "m7").alias("has_raw"))
-    return V.v_raw(runs, s.scored, raw_rows(s)).groupBy("run_id", "code").agg(F.count("*").alias("n"))
+    runs = s.samples.select("run_id", "model").distinct().select("run_id", (F.col("model") != "m7").alias("has_raw"))
+    return V.v_raw(runs, s.samples, raw_rows(s)).groupBy("run_id", "code").agg(F.count("*").alias("n"))
 
 
 @query("v_graduate", """SELECT severity, count(*) AS n FROM (SELECT CASE WHEN dataset IN ('gss', 'ntia') THEN 'error' ELSE 'warning' END AS severity FROM rawj JOIN cells USING (run_id, key) WHERE rawj.model <> 'm6' AND top - own > 1e0 / sqrt(n) + 1e-6
     UNION ALL SELECT 'warning' FROM rawj WHERE model = 'm6') GROUP BY severity""", ctes="long cells base qopt", **RAW_SQL)
 def v_graduate(s):
-    runs = s.base.select("run_id", "dataset").distinct().select(
+    # a run without cells has no findings, so the runs are read from the cells
+    runs = s.samples.select("run_id", "dataset").distinct().select(
         "run_id", F.lit(True).alias("has_raw"), F.when(F.col("dataset").isin("gss", "ntia"), 2).alias("schema_version")
     )
-    return V.v_graduate(V.v_raw(runs, s.scored, raw_rows(s)), runs).groupBy("severity").agg(F.count("*").alias("n"))
+    return V.v_graduate(V.v_raw(runs, s.samples, raw_rows(s)), runs).groupBy("severity").agg(F.count("*").alias("n"))
 
 
 # raw documents of several shapes, one per part
