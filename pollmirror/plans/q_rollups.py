@@ -663,7 +663,7 @@ def demo_rows(s):
     cond = counts.groupBy("run_id", "key", "group").agg(
         F.map_from_entries(F.collect_list(F.struct("selected_option", F.col("n").cast("double")))).alias("p_cond")
     )
-    return G.group_rows(human, cond, s.scored.select("run_id", "key", "options", "p_model"))
+    return G.group_rows(human, cond, s.sides.select("run_id", "key", "options", "p_model"))
 
 
 def demo_eval(s):
