@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables as T
@@ -64,16 +64,20 @@ def clean(c: Column | str) -> Column:
 
 
 def shares(long: DataFrame, by: list[str], weight: str, carry: list[str] | None = None) -> DataFrame:
-    """weight -> share per group as ``p``; the totals are one row per group and joined back."""
-    total = long.groupBy(*by).agg(F.sum(weight).alias("_t")).where("_t > 0")
-    return long.join(total, by).withColumn("p", F.col(weight) / F.col("_t")).drop("_t", weight)
+    """weight -> share per group as ``p``, for groups with a total above 0.
+
+    A group is the options of a question, so its total is taken over it in place and ``long`` is made once.
+    """
+    d = long.dropna(subset=by).withColumn("_t", F.sum(weight).over(Window.partitionBy(*by))).where("_t > 0")
+    return d.withColumn("p", F.col(weight) / F.col("_t")).select(*by, *[c for c in long.columns if c not in (*by, weight, "p")], "p")
 
 
 def renormalise(long: DataFrame, by: list[str]) -> DataFrame:
-    """Divide by the total only when it is off 1 by more than 0.01."""
-    total = long.groupBy(*by).agg(F.sum("p").alias("_t"))
+    """Divide by the total of a group, the options of a question, only when it is off 1 by more than 0.01."""
+    d = long.dropna(subset=by).withColumn("_t", F.sum("p").over(Window.partitionBy(*by)))
     off = (F.abs(F.col("_t") - 1.0) > 0.01) & (F.col("_t") > 0)
-    return long.join(total, by).withColumn("p", F.when(off, F.col("p") / F.col("_t")).otherwise(F.col("p"))).drop("_t")
+    d = d.withColumn("p", F.when(off, F.col("p") / F.col("_t")).otherwise(F.col("p")))
+    return d.select(*by, *[c for c in long.columns if c not in by])
 
 
 def parse_options(refs: Column) -> Column:
@@ -180,7 +184,9 @@ def in_waves(files: DataFrame, glob: str) -> DataFrame:
 
 def wave_questions(files: DataFrame, info: DataFrame, key_prefix: bool = False, waves: str = "*") -> DataFrame:
     """Overall distributions of every wave whose folder matches ``waves``, all subgroups summed, for keys with metadata."""
-    counts = wave_counts(preferred_files(in_waves(files, waves))).groupBy("wave_dir", "key", "option").agg(F.sum("n").alias("p"))
+    counts = wave_counts(preferred_files(in_waves(files, waves))).select("wave_dir", "key", "option", "n")
+    # spread by question once: the sums, the totals and the metadata meet there
+    counts = counts.repartition("wave_dir", "key").groupBy("wave_dir", "key", "option").agg(F.sum("n").alias("p"))
     dist = renormalise(counts, ["wave_dir", "key"])
     meta = info.where("key <> ''").select(
         "wave_dir", "key", F.coalesce("question", "key").alias("text"), parse_options(F.col("references")).alias("options")
@@ -195,10 +201,12 @@ def group_distributions(counts: DataFrame, wave_order: str = "wave_dir") -> Data
 
     Waves are ordered by the number in their name, then by name.
     """
-    d = shares(counts.where("group <> 'nan'"), [wave_order, "attribute", "key", "group"], "n")
+    # spread by question once: the totals of its groups and its latest wave are taken there
+    d = counts.where("group <> 'nan'").repartition("attribute", "key")
+    d = shares(d, ["attribute", "key", wave_order, "group"], "n")
     number = F.regexp_extract(F.col(wave_order).cast("string"), r"(\d+)", 1).try_cast("bigint")
-    latest = d.groupBy("attribute", "key").agg(F.max_by(wave_order, F.struct(number, wave_order)).alias(wave_order))
-    return d.join(latest, ["attribute", "key", wave_order])
+    latest = F.max(F.struct(number.alias("number"), F.col(wave_order).alias("wave"))).over(Window.partitionBy("attribute", "key"))
+    return d.withColumn("_l", latest).where(F.col(wave_order) == F.col("_l.wave")).drop("_l")
 
 
 # --- probability tables ---------------------------------------------------------------
