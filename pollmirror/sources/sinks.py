@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
@@ -29,8 +29,33 @@ def run_documents(runs: DataFrame, questions: DataFrame) -> DataFrame:
     rows = questions.groupBy("run_id").agg(
         F.array_sort(F.collect_list(F.struct("key", "options", "p_human", "p_model", "jsd", "tau", "parity"))).alias("per_question")
     )
-    scores = F.struct(*[D.clean_round(F.col(c)).alias(c) for c in ("sps", "p_dist", "p_rank", "p_refuse")])
-    return runs.join(rows, "run_id").select("run_id", "dataset", scores.alias("scores"), "per_question")
+    return runs.join(rows, "run_id").select("run_id", "dataset", run_scores().alias("scores"), "per_question")
+
+
+def run_scores() -> Column:
+    """The scores of a run as its document has them."""
+    return F.struct(*[D.clean_round(F.col(c)).alias(c) for c in ("sps", "p_dist", "p_rank", "p_refuse")])
+
+
+def write_run_documents(runs: DataFrame, questions: DataFrame, path: str, name: str = "per_question", tail: Column | None = None) -> None:
+    """The JSON document of every run, a file in its own folder, written line by line in order of the keys.
+
+    ``runs``: run_id and the members of the document; ``questions``: run_id and the members of an element of its array
+    ``name``, key among them. A run without questions has no document. No task holds a document: its lines are sorted, which may
+    spill, and streamed to the file. ``tail`` closes the document, from the columns of ``runs``.
+    """
+    own = [c for c in runs.columns if c != "run_id"]
+    head = runs.join(questions.select("run_id").distinct(), "run_id", "left_semi").withColumn("_head", F.to_json(F.struct(*own)))
+    start = F.concat(F.expr("left(_head, length(_head) - 1)"), F.when(F.length("_head") > 2, ",").otherwise(""), F.lit(f'"{name}":['))
+    element = F.to_json(F.struct(*[c for c in questions.columns if c != "run_id"]))
+    line = lambda d, place, key, value: d.select("run_id", F.lit(place).alias("_place"), key.alias("_key"), value.alias("value"))
+    lines = line(head, 0, F.lit(""), start).unionByName(line(questions.join(runs.select("run_id"), "run_id", "left_semi"), 1, F.col("key"), element))
+    lines = lines.unionByName(line(head, 2, F.lit(""), F.lit("]}") if tail is None else tail))
+    # the number of a line tells the first element, which no comma precedes
+    w = Window.partitionBy("run_id").orderBy("_place", "_key", "value")
+    lines = lines.withColumn("_no", F.row_number().over(w))
+    text = F.when((F.col("_place") == 1) & (F.col("_no") > 2), F.concat(F.lit(","), "value")).otherwise(F.col("value"))
+    lines.select("run_id", text.alias("value")).write.partitionBy("run_id").text(path)
 
 
 def write_routed(df: DataFrame, public: str, restricted: str, fmt: str = "json") -> None:
