@@ -18,7 +18,7 @@ def local_session(cpus: str = "8", name: str = "pollmirror") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.maxPlanStringLength", "4096")
+        .config("spark.sql.maxPlanStringLength", "16384")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
